@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.functions.hashing import hash_key, hash_pick, hash_uniform
 from evenkeel.functions.numeric import half_even, half_even_to, lerp
 from evenkeel.operators import cluster as C
 from evenkeel.operators.neighbours import knn
 from evenkeel.operators.rank import (
-    group_sizes, largest_remainder, rank_cuts, row_key, sample_exact, sample_replacement,
+    cut_rows, group_sizes, largest_remainder, row_key, sample_exact, sample_replacement,
 )
 from evenkeel.operators.small import bounded_rows, local, local_frame, same
 
@@ -139,13 +140,14 @@ def smote_bases(df: DataFrame, by: list[str], quotas: DataFrame, mode: str = "al
         return drawn.select(*by, id_col, (F.col("draw") + 1).alias("copy"))
     if mode != "allocated":
         raise ValueError(f"unknown mode: {mode}")
-    q = local(quotas.where(F.col("quota") > 0).select(
-        *by, "n", "quota", F.floor(F.col("quota") / F.col("n")).cast("long").alias("each"),
-        (F.col("quota") % F.col("n")).alias("rank")))
-    key = row_key(id_col, seed, "base")
-    cuts = rank_cuts(df, by, id_col, q.select(*by, "n", "rank"), key).drop("rank")
-    plan = local(q.alias("l").join(cuts.alias("r"), same(by), "left").select(
-        *[F.col(f"l.{c}") for c in by], "l.each", "r.cut_key", "r.cut_id"))
+    spark, key = df.sparkSession, row_key(id_col, seed, "base")
+    q = [(*[r[c] for c in by], r["n"], r["quota"]) for r in bounded_rows(quotas.select(*by, "n", "quota")) if r["quota"] > 0]
+    cuts, schema = cut_rows(df, by, id_col, [(*g, n, m % n) for *g, n, m in q], key)
+    found = {tuple(g): (k, i) for *g, _, k, i in cuts}
+    plan = local_frame(
+        spark, [(*g, m // n, *found.get(tuple(g), (None, None))) for *g, n, m in q],
+        T.StructType([*[df.schema[c] for c in by], T.StructField("each", T.LongType()),
+                      schema["cut_key"], schema["cut_id"]]))
     extra = F.coalesce((key < F.col("r.cut_key")) | (
         (key == F.col("r.cut_key")) & (F.struct(F.col(id_col)) <= F.col("r.cut_id"))), F.lit(False))
     copies = F.col("r.each") + F.when(extra, 1).otherwise(0)

@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.kernels import list_column, matrix, squared_distances
 from evenkeel.functions.numeric import euclidean
-from evenkeel.operators.rank import rank_cuts, row_key
+from evenkeel.operators.passes import start_rows, sum_rows
 from evenkeel.operators.scale import moments
-from evenkeel.operators.small import bounded_rows, local, local_frame, same, small
+from evenkeel.operators.small import local, same, small
 
-#: Rows the starting centres are drawn from.
-SEED_ROWS = 2_000
 #: Rows of one block in the exact silhouette.
 BLOCK_ROWS = 2048
 
@@ -30,6 +28,7 @@ class Clustering:
     centers: np.ndarray
     cost: float
     silhouette: float | None = None
+    sizes: list[int] | None = None
 
     def assign(self, df: DataFrame, features: str = "features", name: str = "cluster") -> DataFrame:
         return assign_nearest(df, self.centers, features, name)
@@ -73,15 +72,37 @@ def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.asarray(centers)
 
 
-def _seed_rows(df: DataFrame, id_col: str, features: str, n: int, seed: int) -> np.ndarray:
-    """The rows with the lowest hashes, at most SEED_ROWS: starting points only."""
-    if n > SEED_ROWS:
-        key = row_key(id_col, seed, "start")
-        one = local_frame(df.sparkSession, [(n, SEED_ROWS)], "n long, rank long")
-        cut = rank_cuts(df, [], id_col, one, key).first()["cut_key"]
-        df = df.where(key <= cut)
-    rows = bounded_rows(df.select(id_col, features).orderBy(id_col), 2 * SEED_ROWS)
-    return np.asarray([r[features] for r in rows], dtype=np.float64)
+def _sums(x: np.ndarray, models: list[np.ndarray], width: int) -> np.ndarray:
+    """Per centre of all models, one below the other: row count, inertia, vector sum."""
+    out = []
+    for centers in models:
+        d = squared_distances(x, centers)
+        near = d.argmin(1)
+        hot = np.zeros((len(x), len(centers)))
+        hot[np.arange(len(x)), near] = 1.0
+        out.append(np.column_stack([hot.sum(0), hot.T @ d[np.arange(len(x)), near], hot.T @ x]))
+    return np.concatenate(out) if out else np.zeros((0, width + 2))
+
+
+def _move(sums: np.ndarray, models: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+    """New centres and cost of every model; a centre without rows stays where it is."""
+    out, at = [], 0
+    for centers in models:
+        part = sums[at:at + len(centers)]
+        at += len(centers)
+        n = part[:, :1]
+        out.append((np.where(n > 0, part[:, 2:] / np.maximum(n, 1), centers), float(part[:, 1].sum())))
+    return out
+
+
+def _warm(x: np.ndarray, k: int, rng: np.random.Generator, max_iter: int, limit: float) -> np.ndarray:
+    centers = _plus_plus(x, k, rng)
+    for _ in range(max_iter):
+        new = _move(_sums(x, [centers], x.shape[1]), [centers])[0][0]
+        shift, centers = float(((new - centers) ** 2).sum()), new
+        if shift <= limit:
+            break
+    return centers
 
 
 def fit_kmeans(
@@ -90,8 +111,8 @@ def fit_kmeans(
 ) -> list[Clustering]:
     """Best of ``n_init`` starts for every k in ``ks``; all models share each pass over the data.
 
-    A pass sends one partial sum per (partition, model, cluster) through a shuffle and
-    brings model-sized centres back. Stops when all centres moved less than ``tol`` times
+    Starts are settled on a small hashed sample first, so few passes over all rows remain;
+    those decide. A pass returns one sum per (partition, model, cluster). Stops when all centres moved less than ``tol`` times
     the mean feature variance.
     """
     rows = df.select(id_col, F.col(features).cast("array<double>").alias(features)).persist(
@@ -100,29 +121,22 @@ def fit_kmeans(
         row = moments(rows, [], features).first()
         n = row["n"]
         limit = tol * float(np.mean(row["var"]))
-        start = _seed_rows(rows, id_col, features, n, seed)
-        models = {}
-        for k in ks:
-            for s in range(n_init if k > 1 else 1):
-                models[k, s] = _plus_plus(start, k, np.random.default_rng([seed, k, s]))
+        width = len(row["mean"])
+        start = np.asarray([r[features] for r in start_rows(rows, id_col, n, seed)], dtype=np.float64)
+        models = {
+            (k, s): _warm(start, k, np.random.default_rng([seed, k, s]), max_iter, limit)
+            for k in ks for s in range(n_init if k > 1 else 1)}
         cost = {m: float("inf") for m in models}
         moving = set(models)
         for _ in range(max_iter):
             if not moving:
                 break
             names = sorted(moving)
-            sums = _lloyd_sums(rows, [models[m] for m in names], features)
-            for i, m in enumerate(names):
-                new = models[m].copy()
-                cost[m] = 0.0
-                for c in range(len(new)):
-                    if (i, c) in sums:
-                        count, total, inertia = sums[i, c]
-                        new[c] = total / count
-                        cost[m] += inertia
+            sums = _all_sums(rows, [models[m] for m in names], features, width)
+            for m, (new, inertia) in zip(names, _move(sums, [models[m] for m in names])):
                 if float(((new - models[m]) ** 2).sum()) <= limit:
                     moving.discard(m)
-                models[m] = new
+                models[m], cost[m] = new, inertia
         out = []
         for k in ks:
             best = min((m for m in models if m[0] == k), key=lambda m: (cost[m], m[1]))
@@ -132,40 +146,21 @@ def fit_kmeans(
         rows.unpersist()
 
 
-def _lloyd_sums(rows: DataFrame, models: list[np.ndarray], features: str) -> dict:
+def _all_sums(rows: DataFrame, models: list[np.ndarray], features: str, width: int) -> np.ndarray:
+    count = sum(len(m) for m in models)
+
     def run(batches):
-        acc: dict[tuple[int, int], list] = {}
+        acc = np.zeros((count, width + 2))
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            x = matrix(b.column(0))
-            for i, centers in enumerate(models):
-                d = squared_distances(x, centers)
-                near = d.argmin(1)
-                low = d[np.arange(len(x)), near]
-                hot = np.zeros((len(x), len(centers)))
-                hot[np.arange(len(x)), near] = 1.0
-                totals, counts, costs = hot.T @ x, hot.sum(0), hot.T @ low
-                for c in np.nonzero(counts)[0]:
-                    old = acc.get((i, int(c)))
-                    acc[i, int(c)] = [counts[c], totals[c], costs[c]] if old is None else [
-                        old[0] + counts[c], old[1] + totals[c], old[2] + costs[c]]
-        if acc:
-            keys = sorted(acc)
+            if b.num_rows:
+                acc += _sums(matrix(b.column(0)), models, width)
+        hit = np.nonzero(acc[:, 0])[0]
+        if len(hit):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
-                 pa.array([acc[k][0] for k in keys]), list_column(np.array([acc[k][1] for k in keys])),
-                 pa.array([acc[k][2] for k in keys])],
-                names=["model", "cluster", "n", "total", "cost"])
+                [pa.array(hit.astype(np.int32)), list_column(acc[hit])], names=["at", "values"])
 
-    parts = rows.select(features).mapInArrow(
-        run, "model int, cluster int, n double, total array<double>, cost double")
-    sums = parts.groupBy("model", "cluster").agg(
-        F.sum("n").alias("n"),
-        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
-        F.sum("cost").alias("cost"))
-    return {(r["model"], r["cluster"]): (r["n"], np.asarray(r["total"]), r["cost"])
-            for r in bounded_rows(sums)}
+    parts = rows.select(features).mapInArrow(run, "at int, values array<double>")
+    return sum_rows(parts, rows.rdd.getNumPartitions(), count, width + 2)
 
 
 def silhouettes(df: DataFrame, models: list[Clustering], features: str = "features") -> list[float]:
@@ -177,49 +172,42 @@ def silhouettes(df: DataFrame, models: list[Clustering], features: str = "featur
     rows = df.select(F.col(features).cast("array<double>").alias(features))
     centers = [m.centers for m in models]
 
+    width = len(centers[0][0])
+    count = sum(len(c) for c in centers)
+    partitions = rows.rdd.getNumPartitions()
+
     def totals(batches):
-        acc: dict[tuple[int, int], list] = {}
+        acc = np.zeros((count, width + 2))
         for b in batches:
             if b.num_rows == 0:
                 continue
             x = matrix(b.column(0))
-            norm = (x * x).sum(1)
-            for i, c in enumerate(centers):
+            norm, at = (x * x).sum(1), 0
+            for c in centers:
                 near = squared_distances(x, c).argmin(1)
-                for j in np.unique(near):
-                    part = near == j
-                    old = acc.setdefault((i, int(j)), [0.0, np.zeros(x.shape[1]), 0.0])
-                    old[0] += part.sum()
-                    old[1] = old[1] + x[part].sum(0)
-                    old[2] += norm[part].sum()
-        if acc:
-            keys = sorted(acc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
-                 pa.array([float(acc[k][0]) for k in keys]), list_column(np.array([acc[k][1] for k in keys])),
-                 pa.array([float(acc[k][2]) for k in keys])],
-                names=["model", "cluster", "n", "total", "norm"])
-
-    stats = rows.mapInArrow(totals, "model int, cluster int, n double, total array<double>, norm double")
-    stats = bounded_rows(stats.groupBy("model", "cluster").agg(
-        F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
-        F.sum("norm").alias("norm")))
-    table = []
-    for i, c in enumerate(centers):
-        n, mean, norm = np.zeros(len(c)), np.zeros_like(c), np.zeros(len(c))
-        for r in stats:
-            if r["model"] == i:
-                j = r["cluster"]
-                n[j], mean[j], norm[j] = r["n"], np.asarray(r["total"]) / r["n"], r["norm"] / r["n"]
-        table.append((n, mean, norm))
+                hot = np.zeros((len(x), len(c)))
+                hot[np.arange(len(x)), near] = 1.0
+                acc[at:at + len(c)] += np.column_stack([hot.sum(0), hot.T @ norm, hot.T @ x])
+                at += len(c)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(count, dtype=np.int32)), list_column(acc)], names=["at", "values"])
+
+    sums = sum_rows(rows.mapInArrow(totals, "at int, values array<double>"), partitions, count, width + 2)
+    table, at = [], 0
+    for m, c in zip(models, centers):
+        part = sums[at:at + len(c)]
+        at += len(c)
+        n = part[:, 0]
+        m.sizes = n.astype(int).tolist()
+        table.append((n, part[:, 2:] / np.maximum(n, 1)[:, None], part[:, 1] / np.maximum(n, 1)))
 
     def scores(batches):
-        sums, count = np.zeros(len(centers)), 0
+        total, seen = np.zeros(len(centers)), 0
         for b in batches:
             if b.num_rows == 0:
                 continue
             x = matrix(b.column(0))
-            count += len(x)
+            seen += len(x)
             for i, c in enumerate(centers):
                 n, mean, norm = table[i]
                 near = squared_distances(x, c).argmin(1)
@@ -233,12 +221,12 @@ def silhouettes(df: DataFrame, models: list[Clustering], features: str = "featur
                 with np.errstate(invalid="ignore", divide="ignore"):
                     s = np.where(np.isfinite(other), (other - a) / np.maximum(a, other), 0.0)
                 s[(size <= 1) | ~np.isfinite(s)] = 0.0
-                sums[i] += s.sum()
-        yield pa.RecordBatch.from_arrays([list_column(sums[None, :]), pa.array([count])], names=["s", "n"])
+                total[i] += s.sum()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([0], pa.int32()), list_column(np.append(total, seen)[None, :])], names=["at", "values"])
 
-    row = rows.mapInArrow(scores, "s array<double>, n long").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"), F.sum("n").alias("n")).first()
-    return [float(v) / row["n"] for v in row["s"]]
+    out = sum_rows(rows.mapInArrow(scores, "at int, values array<double>"), partitions, 1, len(centers) + 1)[0]
+    return [float(v) / out[-1] for v in out[:-1]]
 
 
 def silhouette_exact(df: DataFrame, cluster: str = "cluster", id_col: str = "row_id",
@@ -315,23 +303,17 @@ def choose_k(
         return one, []
     models = fit_kmeans(df, list(range(k_min, k_max + 1)), id_col, features, n_init, max_iter, tol, seed)
     scores = silhouettes(df, models, features)
-    smallest = _smallest_clusters(df, models, features) if min_cluster_rows > 0 else [n] * len(models)
     table = []
-    for m, s, low in zip(models, scores, smallest):
+    for m, s in zip(models, scores):
+        low = min(size for size in m.sizes if size > 0)
         m.silhouette = s if low >= min_cluster_rows else -1.0
-        table.append({"k": m.k, "silhouette": m.silhouette, "cost": m.cost, "smallest": int(low)})
+        table.append({"k": m.k, "silhouette": m.silhouette, "cost": m.cost, "smallest": low})
     best = max(models, key=lambda m: (m.silhouette, -m.k))
     if min_cluster_rows > 0 and best.silhouette == -1.0:
         return one, table
     return best, table
 
 
-def _smallest_clusters(df: DataFrame, models: list[Clustering], features: str) -> list[int]:
-    sums = _lloyd_sums(df.select(F.col(features).cast("array<double>").alias(features)),
-                       [m.centers for m in models], features)
-    return [int(min((v[0] for (i, _), v in sums.items() if i == j), default=0)) for j in range(len(models))]
-
-
 def merge_small_clusters(sizes: DataFrame, centers: DataFrame, min_rows: int) -> DataFrame:
     """cluster -> merged: each small cluster goes to the large one with the nearest centre.
 

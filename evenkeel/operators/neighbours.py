@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions.kernels import matrix, squared_distances
-from evenkeel.operators.rank import group_sizes, sample_exact
-from evenkeel.operators.small import cut_lineage, local, same
+from evenkeel.operators.rank import sample_exact
+from evenkeel.operators.small import bounded_rows, cut_lineage, local, local_frame, same
 
 BLOCK_ROWS = 2048
 #: Pivots of all groups together; they are shipped to every task.
@@ -49,7 +49,7 @@ def knn(
     t_vecs = _vectors(q_rows if to_self else _rows(targets, by, id_col, features), by, m)
     q_vecs = (t_vecs.select(*by, "_h", "features", F.get("ids", F.lit(0)).alias("qid")) if to_self
               else q_rows.groupBy(*by, "_h", "features").agg(F.min("id").alias("qid")))
-    found = _search(q_vecs, t_vecs, by, m, block_rows, max_cells)
+    found = _search(q_vecs, t_vecs, by, m, block_rows, max_cells, to_self)
     w = Window.partitionBy(*by, "qid").orderBy("distance", "id")
     best = (
         found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= m)
@@ -83,41 +83,50 @@ def _vectors(rows: DataFrame, by: list[str], m: int) -> DataFrame:
     )
 
 
-def _search(q: DataFrame, t: DataFrame, by: list[str], m: int, block_rows: int, max_cells: int) -> DataFrame:
-    sizes = local(group_sizes(t, by))
-    groups = max(sizes.count(), 1)
-    cells = max(1, min(max_cells, MAX_PIVOTS // groups))
-    quotas = sizes.withColumn("quota", F.least(F.lit(cells), F.ceil(F.col("n") / block_rows)))
-    if not quotas.where(F.col("quota") > 1).head(1):
+def _search(q: DataFrame, t: DataFrame, by: list[str], m: int, block_rows: int, max_cells: int,
+            to_self: bool) -> DataFrame:
+    sizes = _sizes(q, t, by, to_self)
+    cells = max(1, min(max_cells, MAX_PIVOTS // max(len(sizes), 1)))
+    if all(min(cells, -(-nt // block_rows)) <= 1 for _, _, nt in sizes):
         q, t = q.withColumn("cell", F.lit(0)), t.withColumn("cell", F.lit(0))
-        return _blocks(q, t, by, m, block_rows)
+        return _blocks(q, t, by, m, block_rows, [((*g, 0), nq, nt) for g, nq, nt in sizes])
 
+    schema = T.StructType([*[t.schema[c] for c in by], T.StructField("n", T.LongType()), T.StructField("quota", T.LongType())])
+    quotas = local_frame(t.sparkSession, [(*g, nt, min(cells, -(-nt // block_rows))) for g, _, nt in sizes], schema)
     tid = t.withColumn("tid", F.get("ids", F.lit(0)))
     pivots = _Pivots(local(sample_exact(
         tid.select(*by, "tid", "features"), by, "tid", quotas, salt="pivot")), by)
+    key = [*by, "cell"]
     t = cut_lineage(pivots.assign(t))
     q = cut_lineage(pivots.assign(q))
-    own = cut_lineage(_blocks(q, t, by, m, block_rows))
+    own = cut_lineage(_blocks(q, t, by, m, block_rows, _sizes(q, t, key, to_self)))
     pivots.radii = {
         (pivots.group_of(r), r["cell"]): (r["lo"], r["hi"])
-        for r in local(t.groupBy(*by, "cell").agg(
-            F.min("_d").alias("lo"), F.max("_d").alias("hi"))).collect()}
+        for r in bounded_rows(t.groupBy(*key).agg(F.min("_d").alias("lo"), F.max("_d").alias("hi")))}
     reach = own.groupBy(*by, "qid").agg(
         F.when(F.count(F.lit(1)) >= m, F.max("distance")).alias("reach"))
     visits = cut_lineage(pivots.visits(
         q.alias("l").join(reach.alias("r"), same([*by, "qid"]), "left").select("l.*", "r.reach")))
-    return own.unionByName(_blocks(visits, t, by, m, block_rows))
+    return own.unionByName(_blocks(visits, t, by, m, block_rows, _sizes(visits, t, key, False)))
+
+
+def _sizes(q: DataFrame, t: DataFrame, key: list[str], to_self: bool) -> list[tuple[tuple, int, int]]:
+    """(group, queries, targets) of groups that have both; one small job."""
+    n = F.count(F.lit(1))
+    targets = t.groupBy(*key).agg(n.alias("nt"))
+    if to_self:
+        rows = targets.withColumn("nq", F.col("nt"))
+    else:
+        rows = q.groupBy(*key).agg(n.alias("nq")).alias("l").join(targets.alias("r"), same(key)).select("l.*", "r.nt")
+    return [(tuple(r[c] for c in key), r["nq"], r["nt"]) for r in bounded_rows(rows)]
 
 
-def _blocks(q: DataFrame, t: DataFrame, by: list[str], m: int, block_rows: int) -> DataFrame:
+def _blocks(q: DataFrame, t: DataFrame, by: list[str], m: int, block_rows: int, counts: list) -> DataFrame:
     """Top m of every query against all targets of its cell, chunk against chunk."""
     key = [*by, "cell"]
-    sizes = local(
-        q.groupBy(*key).agg(F.count(F.lit(1)).alias("nq")).alias("l")
-        .join(t.groupBy(*key).agg(F.count(F.lit(1)).alias("nt")).alias("r"), same(key))
-        .select("l.*", F.ceil(F.col("l.nq") / block_rows).cast("int").alias("qn"),
-                F.ceil(F.col("r.nt") / block_rows).cast("int").alias("tn")).drop("nq"))
-    sizes = F.broadcast(sizes)
+    schema = T.StructType([*[q.schema[c] for c in key], T.StructField("qn", T.IntegerType()), T.StructField("tn", T.IntegerType())])
+    sizes = F.broadcast(local_frame(
+        q.sparkSession, [(*g, -(-nq // block_rows), -(-nt // block_rows)) for g, nq, nt in counts], schema))
 
     def spread(df, own, id_expr, n_own, n_other, other, cols):
         return (

@@ -46,17 +46,23 @@ def rank_cuts(
     df: DataFrame,
     by: list[str],
     id_col: str | list[str],
-    ranks: DataFrame,
+    ranks: DataFrame | list[tuple],
     key: Column,
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """(key, id) found at given 1-based ranks of each group.
 
-    ``ranks`` has the group columns, ``n`` (group size) and ``rank``; it must be
-    class-level. Returns a local frame: group columns, ``rank``, ``cut_key``, ``cut_id``
-    (struct of the id columns). Ranks at or past the group size get a cut above every
-    key; ranks below 1 get none.
+    ``ranks``: rows (group columns, ``n`` = group size, ``rank``), class-level, as a frame or
+    as driver rows. Returns a local frame: group columns, ``rank``, ``cut_key``, ``cut_id``
+    (struct of the id columns). Ranks at or past the group size get a cut above every key;
+    ranks below 1 get none.
     """
+    rows, schema = cut_rows(df, by, id_col, ranks, key, task_rows)
+    return local_frame(df.sparkSession, rows, schema)
+
+
+def cut_rows(df, by, id_col, ranks, key, task_rows=TASK_ROWS) -> tuple[list[tuple], T.StructType]:
+    """``rank_cuts`` as driver rows and their schema."""
     spark = df.sparkSession
     ids = _ids(id_col)
     keyed = df.select(*by, F.struct(*ids).alias("_id"), key.alias("_key"))
@@ -66,15 +72,16 @@ def rank_cuts(
     edge_schema = T.StructType([*groups, T.StructField("rank", T.LongType()),
                                 T.StructField("prefix", T.StringType()), T.StructField("left", T.LongType())])
     cuts, edges, largest = [], [], 0
-    for r in bounded_rows(ranks.select(*by, "n", "rank")):
-        group = tuple(r[c] for c in by)
-        if r["rank"] is None or r["rank"] < 1:
+    if isinstance(ranks, DataFrame):
+        ranks = [tuple(r) for r in bounded_rows(ranks.select(*by, "n", "rank"))]
+    for *group, n, at in ranks:
+        if at is None or at < 1:
             continue
-        if r["rank"] >= r["n"]:
-            cuts.append((*group, int(r["rank"]), _ABOVE_ALL, None))
+        if at >= n:
+            cuts.append((*group, int(at), _ABOVE_ALL, None))
         else:
-            edges.append((*group, int(r["rank"]), "", int(r["rank"])))
-            largest = max(largest, r["n"])
+            edges.append((*group, int(at), "", int(at)))
+            largest = max(largest, n)
     digits = 0
     while edges and largest > task_rows and digits < 30:
         # Count rows per bucket below the prefixes still open, then step into one bucket each.
@@ -117,11 +124,7 @@ def rank_cuts(
                     F.col("l._id").alias("cut_id"))
         )
         cuts += [tuple(r) for r in bounded_rows(found)]
-    return local_frame(spark, cuts, cut_schema)
-
-
-def _cut(row):
-    return None if row is None else {"cut_key": row["cut_key"], "cut_id": row["cut_id"]}
+    return cuts, cut_schema
 
 
 def _renamed(field: T.StructField, name: str) -> T.StructField:
@@ -170,13 +173,13 @@ def sample_exact(
     """
     key = row_key(id_col, seed, salt)
     ranks = quotas.select(*by, "n", F.col("quota").cast("long").alias("rank"))
-    few = try_rows(ranks)
+    few = try_rows(ranks.select(*by, "n", "rank"))
     if few is None:  # too many groups to broadcast: rank every row instead
         ranked = hash_rank(df, by, id_col, key, "_rank")
         return (ranked.alias("l").join(ranks.alias("r"), same(by))
                 .where(F.col("l._rank") < F.col("r.rank"))
                 .select(*[F.col(f"l.{c}") for c in df.columns]))
-    cuts = rank_cuts(df, by, id_col, local_frame(df.sparkSession, few, ranks.schema), key, task_rows)
+    cuts = rank_cuts(df, by, id_col, [tuple(r) for r in few], key, task_rows)
     return (
         df.alias("l").join(F.broadcast(cuts).alias("r"), same(by))
         .where(_at_most(key, _ids(id_col), F.col("r.cut_key"), F.col("r.cut_id")))
@@ -249,13 +252,11 @@ def stratified_folds(
     # Fewer rows than folds: several folds end at the same rank, which one cut marks.
     ranks = [(r[label], r["n"], e) for r in sizes for e in sorted(set(ends[r[label]]))]
     field = df.schema[label]
-    cuts = rank_cuts(df, [label], ids, local_frame(
-        spark, ranks, T.StructType([field, T.StructField("n", T.LongType()), T.StructField("rank", T.LongType())])),
-        key, task_rows)
-    at = {(r[label], r["rank"]): r for r in cuts.collect()}
-    cut_type = T.StructType([cuts.schema["cut_key"], cuts.schema["cut_id"]])
+    cuts, schema = cut_rows(df, [label], ids, ranks, key, task_rows)
+    at = {(c, end): {"cut_key": k, "cut_id": i} for c, end, k, i in cuts}
+    cut_type = T.StructType([schema["cut_key"], schema["cut_id"]])
     marks = local_frame(
-        spark, [(c, [_cut(at.get((c, e))) for e in es]) for c, es in ends.items()],
+        spark, [(c, [at.get((c, e)) for e in es]) for c, es in ends.items()],
         T.StructType([field, T.StructField("cuts", T.ArrayType(cut_type))]))
     after = F.filter(
         "r.cuts",
