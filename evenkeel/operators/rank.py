@@ -17,6 +17,8 @@ from evenkeel.operators.small import bounded_rows, local_frame, same, try_rows
 
 #: Hash digits fixed per narrowing level: 16^3 buckets.
 DIGITS = 3
+#: Hash digits of the window partitions of a full ranking: 16^4 per group.
+RANK_DIGITS = 4
 #: Most rows one task ranks directly.
 TASK_ROWS = 500_000
 #: Sorts after every hex digest.
@@ -144,7 +146,7 @@ def hash_rank(
     same columns, so the rows are exchanged once and no task ever holds a whole group.
     """
     ids = _ids(id_col)
-    keyed = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, DIGITS))
+    keyed = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, RANK_DIGITS))
     counts = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     below = counts.withColumn(
         "_below", F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_n")

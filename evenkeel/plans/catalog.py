@@ -775,3 +775,130 @@ def todo_configs(spark, d):
 @query(f"WITH {_GRID_SQL}, {_RATES} {_DONE} SELECT {_K}, best_params FROM cfg JOIN done USING ({_K})")
 def configs_with_params(spark, d):
     return report.with_best_params(_configs(spark, d), _done(spark, d))
+
+
+# ---- trees and kernels --------------------------------------------------------------------------------------------
+
+def _gini(p: str, n: str) -> str:
+    return f"(CASE WHEN {n} = 0 THEN 0 ELSE 1 - ({p} / ({n})::DOUBLE) ** 2 - (({n} - {p}) / ({n})::DOUBLE) ** 2 END)"
+
+
+_CUTS = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, unnest([quantile_cont({c}, 0.25), quantile_cont({c}, 0.5), quantile_cont({c}, 0.75)]) AS threshold FROM lineitem"
+    for c in LI[:3])
+_LONG = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {c} AS x, CAST(l_tax >= 0.06 AS INT) AS y FROM lineitem" for c in LI[:3])
+_GAIN = f"{_gini('p', 'n')} - nl / n::DOUBLE * {_gini('pl', 'nl')} - (n - nl) / n::DOUBLE * {_gini('(p - pl)', '(n - nl)')}"
+
+
+@query(f"""WITH cut AS ({_CUTS}), lg AS ({_LONG}),
+ agg AS (SELECT feature, threshold, count(*) AS n, sum(y) AS p, count(*) FILTER (x <= threshold) AS nl, coalesce(sum(y) FILTER (x <= threshold), 0) AS pl
+  FROM lg JOIN (SELECT DISTINCT * FROM cut) c USING (feature) GROUP BY ALL)
+ SELECT feature, threshold, {q6(_GAIN)} AS gini_gain FROM agg""")
+def split_impurity(spark, d):
+    from evenkeel.operators import trees
+
+    li = table(spark, d, "lineitem").select(*LI[:3], (F.col("l_tax") >= 0.06).cast("int").alias("label"))
+    cuts = quantiles.exact_quantiles(li, LI[:3], [0.25, 0.5, 0.75])
+    out = trees.split_gains(li, {c: sorted(set(v)) for c, v in zip(LI[:3], cuts)})
+    return out.select("feature", "threshold", r6("gini_gain").alias("gini_gain"))
+
+
+_W = "sqrt(-2 * ln(greatest({u1}, 1 / 8589934592.0::DOUBLE))) * cos(2 * pi() * greatest({u2}, 1 / 8589934592.0::DOUBLE))".format(
+    u1=_U32.format("md5('42|rff|' || j || '|' || i || '|1')"), u2=_U32.format("md5('42|rff|' || j || '|' || i || '|2')"))
+
+
+@query(f"""WITH {_DIMS}, gm AS (SELECT 1 / (64 * var_pop(x)) AS g FROM dims), w AS (SELECT j::INT AS j, i::INT AS i, {_W} AS w
+  FROM (SELECT unnest(range(16)) AS j), (SELECT unnest(range(64)) AS i)),
+ b AS (SELECT j::INT AS j, 2 * pi() * {_U32.format("md5('42|rff|' || j || '|b')")} AS b FROM (SELECT unnest(range(16)) AS j)),
+ dot AS (SELECT row_id, j, sum(x * w) AS s FROM dims JOIN w ON w.i = dims.dim GROUP BY ALL)
+ SELECT row_id, j AS dim, {q6('sqrt(2 / 16.0::DOUBLE) * cos(sqrt(2 * g) * s + b)')} AS value FROM dot JOIN b USING (j), gm""")
+def rff_map(spark, d):
+    from evenkeel.operators import svm
+
+    v = vectors(spark, d)
+    width, variance = svm.entry_variance(v)
+    mapped = svm.rff_map(v.select("row_id", "features"), svm.gamma_value("scale", width, variance), 16, width=width)
+    return dims(mapped.select("row_id", F.col("mapped").alias("features")))
+
+
+# ---- fitted models and whole runs: no SQL counterpart ----------------------------------------------------------------
+
+def _scaled(spark, d):
+    sp = rank.stratified_split(vectors(spark, d), "label", "row_id")
+    fitted = scale.fit_standard_vector(sp.where("split = 'train'"))
+    return fitted.apply_vector(sp.where("split = 'train'")), fitted.apply_vector(sp.where("split = 'test'"))
+
+
+def _model_metrics(spark, d, name, params):
+    from evenkeel.operators import models
+
+    train, test = _scaled(spark, d)
+    pred = models.predict(test, models.fit(train, name, params)).withColumnRenamed("label", "y_true")
+    return metrics.evaluate(pred, []).drop("confusion_matrix")
+
+
+@query()
+def linear_svc(spark, d):
+    return _model_metrics(spark, d, "svm", {"C": 1.0, "kernel": "linear"})
+
+
+@query()
+def rff_svc(spark, d):
+    return _model_metrics(spark, d, "svm", {"C": 10.0, "kernel": "rbf", "gamma": "scale"})
+
+
+@query()
+def decision_tree(spark, d):
+    return _model_metrics(spark, d, "decision_tree", {"max_depth": 5, "min_samples_split": 5, "criterion": "entropy"})
+
+
+@query()
+def kmeans_choose_k(spark, d):
+    _, scores = cluster.choose_k(prep.class_filter(vectors(spark, d), "label", 0), 2, 10)
+    return local_frame(spark, [(s["k"], s["silhouette"], s["cost"], s["smallest"]) for s in scores],
+                       "k int, silhouette double, cost double, smallest long")
+
+
+def _balance_counts(spark, d, method):
+    return B.balance(vectors(spark, d).drop("cluster"), method).groupBy("label", "is_synthetic").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def csbboost(spark, d):
+    return _balance_counts(spark, d, "csbboost")
+
+
+@query()
+def hcbou(spark, d):
+    return _balance_counts(spark, d, "hcbou")
+
+
+def _search(spark, d, name):
+    from evenkeel.operators import tuning
+
+    folded = rank.stratified_folds(_scaled(spark, d)[0], "label", "row_id", 3)
+    return tuning.scores_frame(spark, tuning.fold_scores(folded, name))
+
+
+@query()
+def svm_grid_cv(spark, d):
+    return _search(spark, d, "svm")
+
+
+@query()
+def tree_grid_cv(spark, d):
+    return _search(spark, d, "decision_tree")
+
+
+@query()
+def leak_free_run(spark, d):
+    from evenkeel.plans import flow
+
+    rows = rank.stratified_split(vectors(spark, d).drop("cluster"), "label", "row_id").withColumn(
+        "dataset", F.lit("embeddings"))
+    small = {"svm": {"C": [1.0, 10.0], "kernel": ["linear"], "gamma": ["scale"]},
+             "decision_tree": {"max_depth": [5], "min_samples_split": [2], "min_samples_leaf": [1, 4], "criterion": ["gini"]}}
+    table_, _, _ = flow.run(rows, ["unbalanced", "smote"], ["standard"], grids=small)
+    return table_.drop("confusion_matrix", "training_time_seconds")
