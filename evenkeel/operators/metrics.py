@@ -2,7 +2,7 @@
 
 Every function takes ``keys`` (configuration columns, may be empty) and returns one
 row, or one curve, per key. Scores are first collapsed to distinct (key, score) rows;
-cumulative counts then run per (key, score range), never over one key in one task.
+cumulative counts run per key, or per (key, score range) for keys beyond RANGE_ROWS.
 """
 
 from __future__ import annotations
@@ -11,9 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.numeric import nan_to_null, safe_divide
-from evenkeel.operators.small import same
+from evenkeel.operators.small import same, small
 
 COUNTS = ["tp", "tn", "fp", "fn"]
+#: Most rows of one key that one task accumulates; larger keys are cut into ranges.
+RANGE_ROWS = 1_000_000
+MAX_RANGES = 1_024
+#: Cuts are looked up in blocks of this many.
+CUT_BLOCK = 32
 
 
 def _count_if(cond: Column) -> Column:
@@ -65,85 +70,105 @@ def identity_violations(rates: DataFrame, tol: float = 1e-10) -> DataFrame:
     )
 
 
+def _key(keys: list[str]) -> Column:
+    """Configuration columns as one struct: never NULL itself, so plain equality joins keep a
+    partitioning that groupings and windows made, and NULL keys still meet."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+
+
 def score_counts(pred: DataFrame, keys: list[str], label="y_true", score="score") -> DataFrame:
     """Positives and negatives per distinct (key, score); ties collapse here, map-side first."""
     s = nan_to_null(F.col(score).cast("double"))
     return (
-        pred.select(*keys, F.col(label).cast("int").alias("_y"), s.alias("score"))
+        pred.select(_key(keys).alias("_k"), F.col(label).cast("int").alias("_y"), s.alias("score"))
         .where(F.col("score").isNotNull() & F.col("_y").isNotNull())
-        .groupBy(*keys, "score")
+        .groupBy("_k", "score")
         .agg(F.sum("_y").cast("long").alias("pos"), F.sum(1 - F.col("_y")).cast("long").alias("neg"))
     )
 
 
-def cumulative_counts(counts: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
-    """Adds tp, fp: positives and negatives at or above each score, per key.
-
-    The distinct scores of a key are cut into ``ranges`` parts of about equal size
-    (default: the shuffle partition count); each part is one window partition, and the
-    totals of the parts above are added to it.
-    """
-    spark = counts.sparkSession
+def _score_cuts(pred: DataFrame, keys: list[str], score: str, ranges: int | None) -> DataFrame | None:
+    """Scores that cut every key into ranges of about RANGE_ROWS rows; None if one range will do."""
+    s = nan_to_null(F.col(score).cast("double"))
+    rows = pred.select(_key(keys).alias("_k"), s.alias("score")).where(F.col("score").isNotNull())
     if ranges is None:
-        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        cuts = counts.groupBy(*keys).agg(
-            F.percentile_approx("score", shares, max(10_000, 20 * ranges)).alias("_cuts"))
-        parts = counts.alias("l").join(cuts.alias("r"), same(keys)).select(
-            "l.*", F.size(F.filter("r._cuts", lambda c: c < F.col("l.score"))).alias("_part"))
-    else:
-        parts = counts.withColumn("_part", F.lit(0))
-    totals = parts.groupBy(*keys, "_part").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(
-        Window.unboundedPreceding, -1)
+        sizes = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.agg(F.max("n")).first()[0] or 0
+        ranges = min(MAX_RANGES, -(-largest // RANGE_ROWS))
+    if ranges <= 1:
+        return None
+    cuts = rows.groupBy("_k").agg(F.percentile_approx(
+        "score", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)).alias("_cuts"))
+    marks = F.filter("_cuts", lambda c, i: i % CUT_BLOCK == CUT_BLOCK - 1)
+    return small(cuts.select("_k", F.array_sort(F.array_distinct("_cuts")).alias("_cuts"))
+                 .withColumn("_marks", marks))
+
+
+def _range_of(score: Column) -> Column:
+    """How many cuts lie below a score: whole blocks first, then inside one block."""
+    blocks = F.size(F.filter("r._marks", lambda c: c < score))
+    rest = F.slice("r._cuts", blocks * CUT_BLOCK + 1, F.lit(CUT_BLOCK))
+    return blocks * CUT_BLOCK + F.size(F.filter(rest, lambda c: c < score))
+
+
+def _cumulative(pred: DataFrame, keys: list[str], label: str, score: str, ranges: int | None) -> DataFrame:
+    """_k, score, pos, neg and tp, fp: positives and negatives at or above each score.
+
+    A key with more rows than one task should sort is cut into score ranges; each range is
+    one window partition, and the totals of the ranges above are added to it. The offsets
+    join on the window's own partitioning, so the rows are not exchanged again.
+    """
+    counts = score_counts(pred, keys, label, score)
+    cuts = _score_cuts(pred, keys, score, ranges)
+    if cuts is None:
+        w = Window.partitionBy("_k").orderBy(F.desc("score")).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return counts.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    parts = counts.alias("l").join(cuts.alias("r"), F.col("l._k") == F.col("r._k")).select(
+        F.struct("l._k", _range_of(F.col("l.score")).alias("part")).alias("_p"), "l.score", "l.pos", "l.neg")
+    totals = parts.groupBy("_p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    above = Window.partitionBy("_p._k").orderBy(F.desc("_p.part")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_part",
-        F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p0"),
-        F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"),
-    )
-    w = Window.partitionBy(*keys, "_part").orderBy(F.desc("score")).rowsBetween(
+        "_p", F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("p0"),
+        F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("n0"))
+    w = Window.partitionBy("_p").orderBy(F.desc("score")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    running = parts.withColumn("_tp", F.sum("pos").over(w)).withColumn("_fp", F.sum("neg").over(w))
-    return running.alias("l").join(offsets.alias("r"), same([*keys, "_part"])).select(
-        *[F.col(f"l.{c}") for c in counts.columns],
-        (F.col("l._tp") + F.col("r._p0")).alias("tp"), (F.col("l._fp") + F.col("r._n0")).alias("fp"),
-    )
+    running = parts.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    return running.join(offsets, "_p").select(
+        F.col("_p._k").alias("_k"), "score", "pos", "neg",
+        (F.col("tp") + F.col("p0")).alias("tp"), (F.col("fp") + F.col("n0")).alias("fp"))
 
 
-def _with_totals(curve: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    return curve.alias("l").join(totals.alias("r"), same(keys)).select("l.*", "r._P", "r._N")
+def _with_totals(curve: DataFrame, counts: DataFrame) -> DataFrame:
+    totals = counts.groupBy("_k").agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    return curve.join(totals, "_k")
+
+
+def _unkey(keys: list[str]) -> list[Column]:
+    return [F.col("_k").getField(c).alias(c) for c in keys]
+
+
+def _curve(pred, keys, label, score, ranges, x: str, y: str, start: tuple[float, float]) -> DataFrame:
+    counts = score_counts(pred, keys, label, score)
+    points = _with_totals(_cumulative(pred, keys, label, score, ranges), counts)
+    tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
+    value = {"fpr": F.try_divide(fp, F.col("_N").cast("double")), "tpr": F.try_divide(tp, F.col("_P").cast("double")),
+             "recall": F.try_divide(tp, F.col("_P").cast("double")), "precision": safe_divide(tp, tp + fp)}
+    out = points.select(*_unkey(keys), F.col("score").alias("threshold"), value[x].alias(x), value[y].alias(y))
+    first = counts.groupBy("_k").agg(F.count(F.lit(1)).alias("_c")).select(
+        *_unkey(keys), F.lit(None).cast("double").alias("threshold"),
+        F.lit(start[0]).alias(x), F.lit(start[1]).alias(y))
+    return out.unionByName(first)
 
 
 def roc_curve(pred: DataFrame, keys: list[str], label="y_true", score="score", ranges=None) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score; the origin has a NULL threshold."""
-    counts = score_counts(pred, keys, label, score)
-    curve = _with_totals(cumulative_counts(counts, keys, ranges), counts, keys)
-    points = curve.select(
-        *keys, F.col("score").alias("threshold"),
-        F.try_divide(F.col("fp").cast("double"), F.col("_N").cast("double")).alias("fpr"),
-        F.try_divide(F.col("tp").cast("double"), F.col("_P").cast("double")).alias("tpr"),
-    )
-    origin = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).select(
-        *keys, F.lit(None).cast("double").alias("threshold"),
-        F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return points.unionByName(origin)
+    return _curve(pred, keys, label, score, ranges, "fpr", "tpr", (0.0, 0.0))
 
 
 def pr_curve(pred: DataFrame, keys: list[str], label="y_true", score="score", ranges=None) -> DataFrame:
     """(threshold, precision, recall) per distinct score, and the end point (1, 0)."""
-    counts = score_counts(pred, keys, label, score)
-    curve = _with_totals(cumulative_counts(counts, keys, ranges), counts, keys)
-    points = curve.select(
-        *keys, F.col("score").alias("threshold"),
-        safe_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-        F.try_divide(F.col("tp").cast("double"), F.col("_P").cast("double")).alias("recall"),
-    )
-    end = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).select(
-        *keys, F.lit(None).cast("double").alias("threshold"),
-        F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return points.unionByName(end)
+    return _curve(pred, keys, label, score, ranges, "precision", "recall", (1.0, 0.0))
 
 
 def area_under_curves(pred: DataFrame, keys: list[str], label="y_true", score="score", ranges=None) -> DataFrame:
@@ -152,17 +177,17 @@ def area_under_curves(pred: DataFrame, keys: list[str], label="y_true", score="s
     Each point knows its predecessor: tp - pos, fp - neg. So both areas are one sum over
     the cumulative counts. With one class only, roc_auc is NULL; without positives both.
     """
-    curve = cumulative_counts(score_counts(pred, keys, label, score), keys, ranges)
+    curve = _cumulative(pred, keys, label, score, ranges)
     tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "pos", "neg"))
     before = tp - pos
     prec = tp / (tp + fp)
     prev = F.coalesce(F.try_divide(before, before + fp - neg), F.lit(1.0))
-    sums = curve.groupBy(*keys).agg(
+    sums = curve.groupBy("_k").agg(
         F.sum(neg * (before + pos / 2)).alias("_roc"), F.sum(pos * (prec + prev) / 2).alias("_pr"),
         F.sum("pos").cast("double").alias("_P"), F.sum("neg").cast("double").alias("_N"),
     )
     return sums.select(
-        *keys,
+        *_unkey(keys),
         F.try_divide(F.col("_roc"), F.col("_P") * F.col("_N")).alias("roc_auc"),
         F.try_divide(F.col("_pr"), F.col("_P")).alias("pr_auc"),
     )

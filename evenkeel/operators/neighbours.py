@@ -46,30 +46,31 @@ def knn(
     to_self = targets is None
     m = k + 1 if to_self else k
     q_rows = _rows(queries, by, id_col, features)
-    t_vecs = _vectors(q_rows if to_self else _rows(targets, by, id_col, features), by, m)
-    q_vecs = (t_vecs.select(*by, "_h", "features", F.get("ids", F.lit(0)).alias("qid")) if to_self
-              else q_rows.groupBy(*by, "_h", "features").agg(F.min("id").alias("qid")))
-    found = _search(q_vecs, t_vecs, by, m, block_rows, max_cells, to_self)
-    w = Window.partitionBy(*by, "qid").orderBy("distance", "id")
+    group = ["_g"]
+    t_vecs = _vectors(q_rows if to_self else _rows(targets, by, id_col, features), group, m)
+    q_vecs = (t_vecs.select("_g", "_h", "features", F.get("ids", F.lit(0)).alias("qid")) if to_self
+              else q_rows.groupBy("_g", "_h", "features").agg(F.min("id").alias("qid")))
+    found = _search(q_vecs, t_vecs, group, m, block_rows, max_cells, to_self)
+    w = Window.partitionBy("_g", "qid").orderBy("distance", "id")
     best = (
         found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= m)
-        .groupBy(*by, "qid")
+        .groupBy("_g", "qid")
         .agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("neighbours"))
     )
     # Row -> vector; the vector side has one row per key, and AQE splits a hot copy group.
-    keyed = q_rows.alias("l").join(q_vecs.alias("r"), same([*by, "_h", "features"])).select(
-        *[F.col(f"l.{c}") for c in by], "l.id", "r.qid")
-    out = keyed.alias("l").join(best.alias("r"), same([*by, "qid"]), "left")
-    near = F.coalesce(F.col("r.neighbours"), F.array().cast(best.schema["neighbours"].dataType))
+    keyed = q_rows.join(q_vecs, ["_g", "_h", "features"]).select("_g", *by, "id", "qid")
+    out = keyed.join(best, ["_g", "qid"], "left")
+    near = F.coalesce("neighbours", F.array().cast(best.schema["neighbours"].dataType))
     if to_self:
-        near = F.filter(near, lambda n: n["id"] != F.col("l.id"))
-    return out.select(*[F.col(f"l.{c}") for c in by], F.col("l.id").alias(id_col),
-                      F.slice(near, 1, k).alias("neighbours"))
+        near = F.filter(near, lambda n: n["id"] != F.col("id"))
+    return out.select(*by, F.col("id").alias(id_col), F.slice(near, 1, k).alias("neighbours"))
 
 
 def _rows(df: DataFrame, by: list[str], id_col: str, features: str) -> DataFrame:
+    """Group columns become one text key, never NULL: plain equality joins keep partitionings."""
     vec = F.col(features).cast("array<double>")
-    return df.select(*by, F.col(id_col).cast("long").alias("id"), vec.alias("features"),
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    return df.select(*by, group.alias("_g"), F.col(id_col).cast("long").alias("id"), vec.alias("features"),
                      F.xxhash64(vec).alias("_h"))
 
 

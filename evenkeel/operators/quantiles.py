@@ -37,11 +37,15 @@ def exact_quantiles(
                           "lo": None, "hi": None, "below": 0, "inside": n, "open": n > task_rows})
     while any(s["open"] for s in slots):
         _narrow(wide, [s for s in slots if s["open"]], task_rows, accuracy)
-    found = _pick(wide, [(j, s) for j, s in enumerate(slots) if s["n"] > 0])
+    one = {id(s) for s in slots if s["lo"] is not None and s["lo"] == s["hi"]}  # a single value left
+    rest = [(j, s) for j, s in enumerate(slots) if s["n"] > 0 and id(s) not in one]
+    found = _pick(wide, rest) if rest else {}
     out: list[list[float]] = [[] for _ in cols]
     for j, s in enumerate(slots):
         if s["n"] == 0:
             value = float("nan")
+        elif id(s) in one:
+            value = s["lo"]
         else:
             lo, hi = found[j, s["lo_i"]], found[j, s["hi_i"]]
             value = lo + (hi - lo) * (s["at"] - s["lo_i"])
@@ -62,13 +66,19 @@ def _inside(s: dict):
 def _narrow(wide: DataFrame, slots: list[dict], task_rows: int, accuracy: int) -> None:
     """One round: sketch inside the brackets, then keep new brackets that counts confirm."""
     margin = 2.0 / accuracy
-    aggs = []
+    wanted: dict[tuple, list[float]] = {}  # one sketch serves all slots of a column and bracket
+    places = []
     for s in slots:
         span = max(s["inside"] - 1, 1)
-        shares = [max((s["lo_i"] - s["below"]) / span - margin, 0.0),
-                  min((s["hi_i"] - s["below"]) / span + margin, 1.0)]
-        aggs.append(F.percentile_approx(F.when(_inside(s), F.col(s["col"])), shares, accuracy))
-    brackets = list(wide.agg(*aggs).first())
+        shares = wanted.setdefault((s["col"], s["lo"], s["hi"]), [])
+        places.append(((s["col"], s["lo"], s["hi"]), len(shares)))
+        shares += [max((s["lo_i"] - s["below"]) / span - margin, 0.0),
+                   min((s["hi_i"] - s["below"]) / span + margin, 1.0)]
+    row = wide.agg(*[
+        F.percentile_approx(F.when(_inside({"col": c, "lo": lo, "hi": hi}), F.col(c)), shares, accuracy)
+        for (c, lo, hi), shares in wanted.items()]).first()
+    sketch = dict(zip(wanted, row))
+    brackets = [(sketch[k][i], sketch[k][i + 1]) for k, i in places]
     tries = []
     for s, (lo, hi) in zip(slots, brackets):
         tries.append({**s, "lo": lo, "hi": hi})

@@ -146,18 +146,17 @@ def hash_rank(
     same columns, so the rows are exchanged once and no task ever holds a whole group.
     """
     ids = _ids(id_col)
-    keyed = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, RANK_DIGITS))
-    counts = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    below = counts.withColumn(
-        "_below", F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_n")
-    ).drop("_n")
-    w = Window.partitionBy(*by, "_bucket").orderBy("_key", *ids)
+    # One struct key is never NULL, so the join below is a plain equality on the window's
+    # partitioning; null-safe equality on columns would exchange the rows a second time.
+    keyed = df.select("*", key.alias("_key")).withColumn(
+        "_g", F.struct(*by, F.substring("_key", 1, RANK_DIGITS).alias("_bucket")))
+    counts = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*[F.col("_g").getField(c) for c in by]).orderBy(F.col("_g").getField("_bucket"))
+    below = counts.select("_g", (F.sum("_n").over(before) - F.col("_n")).alias("_below"))
+    w = Window.partitionBy("_g").orderBy("_key", *ids)
     ranked = keyed.withColumn("_rn", F.row_number().over(w))
-    joined = ranked.alias("l").join(below.alias("r"), same([*by, "_bucket"]))
-    return joined.select(
-        *[F.col(f"l.{c}") for c in df.columns],
-        (F.col("l._rn") - 1 + F.col("r._below")).cast("long").alias(name),
-    )
+    return ranked.join(below, "_g").select(
+        *df.columns, (F.col("_rn") - 1 + F.col("_below")).cast("long").alias(name))
 
 
 def sample_exact(
