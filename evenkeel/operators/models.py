@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, LinearSVC
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.operators import bayes, svm
+from evenkeel.operators import bayes, svm, trees
 from evenkeel.operators.small import bounded_rows
 
 NAMES = ["svm", "naive_bayes_gaussian", "decision_tree"]
@@ -18,7 +18,8 @@ SVM_FEATURES = 256
 
 
 def tree_settings(params: dict) -> tuple[str, int, int]:
-    """(impurity, depth, smallest node). Spark has no minimum size to split: a node of fewer
+    """Nearest settings of Spark ML's tree: (impurity, depth, smallest node). It has no minimum
+    size to split: a node of fewer
     than 2m rows cannot be split when both sides need m rows, so half of it is required
     on each side, which is stricter than the parameter asks for.
     """
@@ -27,6 +28,12 @@ def tree_settings(params: dict) -> tuple[str, int, int]:
     return params.get("criterion", "gini"), depth, leaf
 
 
+def tree_spec(params: dict, fold: int | None = None) -> trees.TreeSpec:
+    depth = params.get("max_depth")
+    return trees.TreeSpec(params.get("criterion", "gini"), int(params.get("min_samples_split") or 2),
+                          int(params.get("min_samples_leaf") or 1), fold, None if depth is None else int(depth))
+
+
 def estimator(name: str, params: dict, rows: int | None = None, seed: int = 42):
     """Spark ML estimator over a ``vector`` column, for use in ``Pipeline``."""
     if name == "decision_tree":
@@ -55,7 +62,7 @@ def fit(df: DataFrame, name: str, params: dict, seed: int = 42):
             gamma = svm.gamma_value(params.get("gamma", "scale"), *svm.entry_variance(df))
         return svm.fit_svms(df, [svm.Spec(float(params.get("C", 1.0)), gamma)], size=SVM_FEATURES, seed=seed)[0]
     if name == "decision_tree":
-        return estimator(name, params, seed=seed).fit(with_vector(df))
+        return trees.fit_trees(df, [tree_spec(params)])[0]
     raise ValueError(f"unknown model: {name}")
 
 
@@ -65,6 +72,8 @@ def predict(df: DataFrame, model) -> DataFrame:
         return bayes.predict(df, model)
     if isinstance(model, svm.SvmModel):
         return svm.predict(df, model)
+    if isinstance(model, trees.Tree):
+        return trees.predict(df, model)
     out = model.transform(with_vector(df))
     return out.select(*df.columns, F.col("prediction").cast("int").alias("y_pred"),
                       score_column(model).alias("score"))
@@ -78,11 +87,13 @@ def score_column(model):
 
 
 def save(spark: SparkSession, model, path: str) -> None:
-    """Statistics or coefficients as a table; trees as Spark ML folders."""
+    """Statistics, coefficients or nodes as a table; Spark ML models as their own folders."""
     if isinstance(model, bayes.GaussianNB):
         model.to_frame(spark).write.mode("overwrite").parquet(path)
     elif isinstance(model, svm.SvmModel):
         svm.to_frame(spark, [model]).write.mode("overwrite").parquet(path)
+    elif isinstance(model, trees.Tree):
+        trees.to_frame(spark, model).write.mode("overwrite").parquet(path)
     else:
         model.write().overwrite().save(path)
 
@@ -95,5 +106,5 @@ def load(spark: SparkSession, name: str, path: str):
     if name == "svm":
         return svm.from_frame(spark.read.parquet(path))[0]
     if name == "decision_tree":
-        return DecisionTreeClassificationModel.load(path)
+        return trees.from_frame(spark.read.parquet(path))
     raise ValueError(f"unknown model: {name}")

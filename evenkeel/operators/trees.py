@@ -1,11 +1,30 @@
-"""Impurity decrease of given splits, for many features and thresholds in one pass."""
+"""Decision trees: a whole grid of them grown level by level in shared passes.
+
+Features are cut into at most ``max_bins`` bins at data quantiles and kept as one byte
+each. A pass sums class histograms of the open nodes of *all* trees; nodes that several
+trees reach by the same splits are counted once, and a tree cut at depth d is the first d
+levels of the unlimited one, so a depth grid costs a single tree. At most NODE_BATCH nodes
+are open per pass, which bounds what tasks and driver hold.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.functions.kernels import list_column, matrix
 from evenkeel.functions.numeric import safe_divide
+from evenkeel.operators.passes import sum_rows
+from evenkeel.operators.scale import unpack, vector_width
+from evenkeel.operators.small import bounded_rows, local_frame
+
+#: Nodes whose histograms one pass collects.
+NODE_BATCH = 512
 
 
 def impurity(pos: Column, n: Column, criterion: str = "gini") -> Column:
@@ -43,3 +62,289 @@ def split_gains(df: DataFrame, thresholds: dict[str, list[float]], label: str =
 
     return rows.select("feature", "threshold", F.col("nl").alias("left"),
                        gain("gini").alias("gini_gain"), gain("entropy").alias("entropy_gain"))
+
+
+@dataclass(frozen=True)
+class TreeSpec:
+    """Growth rule of one tree; ``fold`` is left out of its training rows (None: all rows)."""
+
+    criterion: str = "gini"
+    min_split: int = 2
+    min_leaf: int = 1
+    fold: int | None = None
+    max_depth: int | None = None
+
+
+@dataclass
+class Tree:
+    """Nodes in arrays; ``x[feature] <= threshold`` goes left, a leaf points to itself."""
+
+    spec: TreeSpec
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    counts: np.ndarray  # nodes x 2
+
+    def levels(self, x: np.ndarray):
+        """Node of every row after 0, 1, 2, ... splits, until nothing moves."""
+        at = np.zeros(len(x), np.int64)
+        rows = np.arange(len(x))
+        while True:
+            yield at
+            go_left = x[rows, self.feature[at]] <= self.threshold[at]
+            new = np.where(go_left, self.left[at], self.right[at])
+            if (new == at).all():
+                return
+            at = new
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        for depth, at in enumerate(self.levels(x)):
+            if depth == self.spec.max_depth:
+                break
+        return self.counts[at, 1] / self.counts[at].sum(1)
+
+
+@dataclass
+class _Node:
+    fold: int | None
+    parent: int | None
+    feature: int = 0
+    cut: int = 0
+    left: bool = True
+    counts: tuple[float, float] | None = None
+    best: dict = field(default_factory=dict)  # rule -> (feature, cut) or None
+
+
+class _Growth:
+    """All nodes of all trees; equal paths are one node."""
+
+    def __init__(self, specs: list[TreeSpec]):
+        self.nodes: list[_Node] = []
+        self.index: dict[tuple, int] = {}
+        self.roots = [self.child(s.fold, None, 0, 0, True) for s in specs]
+        self.splits: list[dict[int, tuple]] = [{} for _ in specs]  # per tree: node -> (feature, cut, left, right)
+        self.open: list[set[int]] = [{r} for r in self.roots]
+
+    def child(self, fold, parent, feature, cut, left) -> int:
+        key = (fold, parent, feature, cut, left)
+        if key not in self.index:
+            self.index[key] = len(self.nodes)
+            self.nodes.append(_Node(fold, parent, feature, cut, left))
+        return self.index[key]
+
+    def lineage(self, wanted: list[int]) -> list[tuple]:
+        """The wanted nodes and their ancestors, parents first."""
+        need, todo = set(), list(wanted)
+        while todo:
+            i = todo.pop()
+            if i is not None and i not in need:
+                need.add(i)
+                todo.append(self.nodes[i].parent)
+        return [(i, n.fold, n.parent, n.feature, n.cut, n.left) for i in sorted(need) for n in (self.nodes[i],)]
+
+
+def _rows_of(lineage: list[tuple], bins: np.ndarray, fold: np.ndarray) -> dict[int, np.ndarray]:
+    rows: dict[int, np.ndarray] = {}
+    for i, f, parent, feature, cut, left in lineage:
+        if parent is None:
+            rows[i] = np.arange(len(fold)) if f is None else np.nonzero(fold != f)[0]
+        else:
+            up = rows[parent]
+            rows[i] = up[(bins[up, feature] <= cut) == left]
+    return rows
+
+
+def bin_cuts(df: DataFrame, features: str = "features", max_bins: int = 64) -> list[list[float]]:
+    """Candidate thresholds per feature: distinct data quantiles, from one aggregate of sketches."""
+    wide = unpack(df, vector_width(df, features), features)
+    shares = [i / max_bins for i in range(1, max_bins)]
+    row = wide.agg(*[F.percentile_approx(c, shares, 10_000) for c in wide.columns]).first()
+    return [sorted(set(v)) for v in row]
+
+
+def _binned(df: DataFrame, cuts: list[list[float]], label: str, features: str, fold: str | None) -> DataFrame:
+    @F.arrow_udf("binary")
+    def to_bytes(v: pa.Array) -> pa.Array:
+        x = matrix(v)
+        out = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1).astype(np.uint8)
+        offsets = np.arange(0, (len(x) + 1) * out.shape[1], out.shape[1], dtype=np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())])
+
+    return df.select(F.col(label).cast("int").alias("y"), (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"),
+                     to_bytes(F.col(features).cast("array<double>")).alias("bins"))
+
+
+def _bytes(col: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), width)
+
+
+def _histograms(rows: DataFrame, growth: _Growth, batch: list[int], width: int, bins: int, partitions: int) -> np.ndarray:
+    """Class counts per (node, feature, bin, class)."""
+    lineage = growth.lineage(batch)
+    size = width * bins * 2
+    offsets = np.arange(width, dtype=np.int64) * bins * 2
+
+    def run(batches):
+        acc: dict[int, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = _bytes(b.column("bins"), width)
+            y = b.column("y").to_numpy(zero_copy_only=False)
+            cell = offsets + x.astype(np.int64) * 2 + y[:, None]
+            at = _rows_of(lineage, x, b.column("fold").to_numpy(zero_copy_only=False))
+            for k, node in enumerate(batch):
+                if len(at[node]):
+                    part = np.bincount(cell[at[node]].ravel(), minlength=size).astype(np.float64)
+                    acc[k] = part if k not in acc else acc[k] + part
+        if acc:
+            keys = sorted(acc)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int32()), list_column(np.stack([acc[k] for k in keys]))], names=["at", "values"])
+
+    out = sum_rows(rows.mapInArrow(run, "at int, values array<double>"), partitions, len(batch), size)
+    return out.reshape(len(batch), width, bins, 2)
+
+
+def _node_impurity(counts: np.ndarray, criterion: str) -> np.ndarray:
+    n = counts.sum(-1, keepdims=True)
+    p = counts / np.maximum(n, 1)
+    if criterion == "gini":
+        return 1.0 - (p * p).sum(-1)
+    return -(p * np.log2(np.where(p > 0, p, 1.0))).sum(-1)
+
+
+def _choose(hist: np.ndarray, rules: set[tuple[str, int]]) -> dict:
+    """Best (feature, cut) per (criterion, min_leaf): largest gain, lowest feature and cut on ties."""
+    left = hist.cumsum(1)[:, :-1, :]
+    total = hist[0].sum(0)
+    right = total - left
+    nl, nr = left.sum(-1), right.sum(-1)
+    out = {}
+    for criterion in {c for c, _ in rules}:
+        after = (nl * _node_impurity(left, criterion) + nr * _node_impurity(right, criterion)) / total.sum()
+        for kind, leaf in rules:
+            if kind == criterion:
+                ok = (nl >= leaf) & (nr >= leaf)
+                score = np.where(ok, after, np.inf)
+                best = np.unravel_index(np.argmin(np.round(score, 12)), score.shape)
+                out[kind, leaf] = (int(best[0]), int(best[1])) if ok[best] else None
+    return out
+
+
+def fit_trees(df: DataFrame, specs: list[TreeSpec], label: str = "label", features: str = "features",
+              fold: str | None = None, max_bins: int = 64) -> list[Tree]:
+    """All trees together. ``min_split``, ``min_leaf`` and unlimited depth hold exactly."""
+    if max_bins > 256:
+        raise ValueError("at most 256 bins fit into a byte")
+    cuts = bin_cuts(df, features, max_bins)
+    width, bins = len(cuts), max(len(c) for c in cuts) + 1
+    rows = _binned(df, cuts, label, features, fold).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        partitions = rows.rdd.getNumPartitions()
+        growth = _Growth(specs)
+        depth = 0
+        while any(growth.open):
+            users: dict[int, list[int]] = {}
+            for t, nodes in enumerate(growth.open):
+                for i in nodes:
+                    users.setdefault(i, []).append(t)
+            level = sorted(users)
+            for s in range(0, len(level), NODE_BATCH):
+                batch = level[s:s + NODE_BATCH]
+                for node, hist in zip(batch, _histograms(rows, growth, batch, width, bins, partitions)):
+                    counts = hist[0].sum(0)
+                    growth.nodes[node].counts = (float(counts[0]), float(counts[1]))
+                    rules = {(specs[t].criterion, specs[t].min_leaf) for t in users[node]
+                             if counts.min() > 0 and counts.sum() >= specs[t].min_split
+                             and (specs[t].max_depth is None or depth < specs[t].max_depth)}
+                    growth.nodes[node].best = _choose(hist, rules) if rules else {}
+            for t, nodes in enumerate(growth.open):
+                nxt, spec = set(), specs[t]
+                for i in nodes:
+                    node = growth.nodes[i]
+                    best = node.best.get((spec.criterion, spec.min_leaf))
+                    grows = (best is not None and min(node.counts) > 0 and sum(node.counts) >= spec.min_split
+                             and (spec.max_depth is None or depth < spec.max_depth))
+                    if grows:
+                        pair = [growth.child(spec.fold, i, *best, side) for side in (True, False)]
+                        growth.splits[t][i] = (*best, *pair)
+                        nxt.update(pair)
+                growth.open[t] = nxt
+            depth += 1
+        return [_compact(growth, t, s, cuts) for t, s in enumerate(specs)]
+    finally:
+        rows.unpersist()
+
+
+def _compact(growth: _Growth, t: int, spec: TreeSpec, cuts: list[list[float]]) -> Tree:
+    order, place = [growth.roots[t]], {growth.roots[t]: 0}
+    for i in order:
+        for c in growth.splits[t].get(i, ())[2:]:
+            place[c] = len(order)
+            order.append(c)
+    feature, threshold = np.zeros(len(order), np.int64), np.zeros(len(order))
+    left = right = np.arange(len(order))
+    left, right = left.copy(), right.copy()
+    for i in order:
+        if i in growth.splits[t]:
+            f, cut, lo, hi = growth.splits[t][i]
+            at = place[i]
+            feature[at], threshold[at] = f, cuts[f][cut]
+            left[at], right[at] = place[lo], place[hi]
+    return Tree(spec, feature, threshold, left, right, np.array([growth.nodes[i].counts for i in order]))
+
+
+def predict(df: DataFrame, tree: Tree, features: str = "features") -> DataFrame:
+    """Adds ``y_pred`` and ``score`` (share of class 1 in the leaf). Map-only."""
+    @F.arrow_udf("double")
+    def share(v: pa.Array) -> pa.Array:
+        return pa.array(tree.probability(matrix(v)))
+
+    out = df.withColumn("score", share(F.col(features).cast("array<double>")))
+    return out.withColumn("y_pred", (F.col("score") > 0.5).cast("int"))
+
+
+def recalls(df: DataFrame, trees: list[Tree], depths: list[int | None], label: str = "label",
+            features: str = "features", fold: str | None = None) -> list[dict[int | None, float]]:
+    """Per tree: recall on its left-out fold when cut at each depth; one pass for all of them."""
+    rows = df.where(F.col(label) == 1).select(
+        (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"),
+        F.col(features).cast("array<double>").alias("x"))
+
+    def hits(batches):
+        acc = np.zeros((len(trees), len(depths) + 1))
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x, at_fold = matrix(b.column("x")), b.column("fold").to_numpy(zero_copy_only=False)
+            for i, tree in enumerate(trees):
+                part = x if tree.spec.fold is None else x[at_fold == tree.spec.fold]
+                if not len(part):
+                    continue
+                positive = tree.counts[:, 1] > tree.counts[:, 0]
+                steps = [int(positive[at].sum()) for at in tree.levels(part)]
+                acc[i, :-1] += [steps[-1 if d is None else min(d, len(steps) - 1)] for d in depths]
+                acc[i, -1] += len(part)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(trees), dtype=np.int32)), list_column(acc)], names=["at", "values"])
+
+    sums = sum_rows(rows.mapInArrow(hits, "at int, values array<double>"), rows.rdd.getNumPartitions(),
+                    len(trees), len(depths) + 1)
+    return [{d: float(row[j] / row[-1]) if row[-1] else 0.0 for j, d in enumerate(depths)} for row in sums]
+
+
+def to_frame(spark, tree: Tree) -> DataFrame:
+    """The nodes of a tree as a table: what a fitted tree is stored as."""
+    return local_frame(
+        spark, [(i, int(tree.feature[i]), float(tree.threshold[i]), int(tree.left[i]), int(tree.right[i]),
+                 float(tree.counts[i, 0]), float(tree.counts[i, 1])) for i in range(len(tree.left))],
+        "node int, feature int, threshold double, left int, right int, n0 double, n1 double")
+
+
+def from_frame(df: DataFrame) -> Tree:
+    rows = sorted(bounded_rows(df, 10_000_000), key=lambda r: r["node"])
+    col = lambda c, kind: np.array([r[c] for r in rows], kind)
+    return Tree(TreeSpec(), col("feature", np.int64), col("threshold", float), col("left", np.int64),
+                col("right", np.int64), np.column_stack([col("n0", float), col("n1", float)]))

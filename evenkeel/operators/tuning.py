@@ -8,15 +8,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.operators import bayes, models, svm
+from evenkeel.operators import bayes, models, svm, trees
 from evenkeel.operators.metrics import basic_metrics
 from evenkeel.operators.scale import moments
 from evenkeel.operators.small import bounded_rows, local_frame
@@ -60,7 +58,7 @@ def effective(model: str, params: dict) -> tuple:
     if model == "svm":
         return params["kernel"], float(params["C"]), params["gamma"] if params["kernel"] == "rbf" else None
     if model == "decision_tree":
-        return models.tree_settings(params)
+        return params["criterion"], params["min_samples_split"], params["min_samples_leaf"], params["max_depth"]
     return (float(params["var_smoothing"]),)
 
 
@@ -88,31 +86,21 @@ def _entry_variance_without(df: DataFrame, fold: str) -> tuple[int, dict[int, fl
     return width, out
 
 
-def _tree_recalls(train: DataFrame, valid: DataFrame, keys: list[tuple], parallelism: int) -> list[float]:
-    """Trees are fitted side by side; all of them are scored in one job."""
-    train = models.with_vector(train).select("label", "vector").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        def one(key):
-            impurity, depth, leaf = key
-            return models.estimator("decision_tree", {
-                "criterion": impurity, "max_depth": depth, "min_samples_leaf": leaf}).fit(train)
-
-        with ThreadPoolExecutor(parallelism) as pool:
-            fitted = list(pool.map(one, keys))
-        scored = models.with_vector(valid.where(F.col("label") == 1)).select("vector")
-        for i, m in enumerate(fitted):
-            m.setPredictionCol(f"p{i}").setProbabilityCol("").setRawPredictionCol("")
-            scored = m.transform(scored)
-        row = scored.agg(*[F.avg((F.col(f"p{i}") == 1).cast("double")) for i in range(len(keys))]).first()
-        return [float(v or 0.0) for v in row]
-    finally:
-        train.unpersist()
-
-
-def _recalls(train: DataFrame, valid: DataFrame, model: str, keys: list[tuple], parallelism: int) -> list[float]:
+def _tree_scores(train: DataFrame, valid: DataFrame, keys: list[tuple], folds: list, fold: str | None) -> dict:
+    """(setting, fold) -> recall. Settings that differ in depth only share one tree."""
+    rules = list(dict.fromkeys(k[:3] for k in keys))
+    depths = list(dict.fromkeys(k[3] for k in keys))
+    deepest = None if None in depths else max(depths)
+    specs = [trees.TreeSpec(*r, f, deepest) for f in folds for r in rules]
+    scores = trees.recalls(valid, trees.fit_trees(train, specs, fold=fold), depths, fold=fold)
+    return {((*r, d), f): by[d] for (f, r), by in zip(product(folds, rules), scores) for d in depths}
+
+
+def _recalls(train: DataFrame, valid: DataFrame, model: str, keys: list[tuple]) -> list[float]:
     """Recall on ``valid`` of every distinct setting trained on ``train``."""
     if model == "decision_tree":
-        return _tree_recalls(train, valid, keys, parallelism)
+        scores = _tree_scores(train, valid, keys, [None], None)
+        return [scores[k, None] for k in keys]
     if model == "svm":
         specs = _svm_specs(keys, *svm.entry_variance(train), None)
         fitted = svm.fit_svms(train, specs, size=models.SVM_FEATURES)
@@ -137,7 +125,7 @@ def prepared_folds(df: DataFrame, fold: str, prepare: Prepare) -> Callable[[int]
 
 
 def fold_scores(df: DataFrame, model: str, fold: str = "fold", prepared: Callable | None = None,
-                grid: dict | None = None, parallelism: int = 8) -> list[tuple[int, int, float]]:
+                grid: dict | None = None) -> list[tuple[int, int, float]]:
     """(grid index, fold, recall) for the whole grid."""
     combos = combinations(model, grid)
     keys = list(dict.fromkeys(effective(model, p) for p in combos))
@@ -152,10 +140,12 @@ def fold_scores(df: DataFrame, model: str, fold: str = "fold", prepared: Callabl
     elif prepared is None and model == "naive_bayes_gaussian":
         for r in bounded_rows(bayes.grid_search(df, [k[0] for k in keys], fold)):
             found[keys[r["grid_index"]], r[fold]] = r["cv_score"]
+    elif prepared is None:
+        found = _tree_scores(df, df, keys, folds, fold)
     else:
         for f in folds:
-            train, valid = prepared(f) if prepared else (df.where(F.col(fold) != f), df.where(F.col(fold) == f))
-            for k, v in zip(keys, _recalls(train, valid, model, keys, parallelism)):
+            train, valid = prepared(f)
+            for k, v in zip(keys, _recalls(train, valid, model, keys)):
                 found[k, f] = v
     return [(i, f, float(found.get((effective(model, p), f), 0.0))) for i, p in enumerate(combos) for f in folds]
 
@@ -184,7 +174,7 @@ _PARAM_NAMES = [p.split()[0] for p in PARAMS.split(", ")]
 
 
 def tune_model(df: DataFrame, model: str, test: DataFrame | None = None, fold: str = "fold",
-               prepare: Prepare | None = None, grid: dict | None = None, parallelism: int = 8,
+               prepare: Prepare | None = None, grid: dict | None = None,
                prepared: Callable | None = None) -> dict:
     """One search. A failure becomes a record with its error text instead of ending the run."""
     began = time.perf_counter()
@@ -193,7 +183,7 @@ def tune_model(df: DataFrame, model: str, test: DataFrame | None = None, fold: s
     try:
         if prepare is not None and prepared is None:
             prepared = prepared_folds(df, fold, prepare)
-        scores = fold_scores(df, model, fold, prepared, grid, parallelism)
+        scores = fold_scores(df, model, fold, prepared, grid)
         at, score = best_of(scores)
         combos = combinations(model, grid)
         folds = len({f for _, f, _ in scores})
@@ -221,9 +211,9 @@ def records_frame(spark, records: list[dict]) -> DataFrame:
 
 
 def tune(df: DataFrame, names: list[str] | None = None, test: DataFrame | None = None, fold: str = "fold",
-         prepare: Prepare | None = None, grids: dict | None = None, parallelism: int = 8) -> DataFrame:
+         prepare: Prepare | None = None, grids: dict | None = None) -> DataFrame:
     """Records of all models for one configuration."""
     prepared = prepared_folds(df, fold, prepare) if prepare is not None else None
     return records_frame(df.sparkSession, [
-        tune_model(df, n, test, fold, prepare, (grids or {}).get(n), parallelism, prepared)
+        tune_model(df, n, test, fold, prepare, (grids or {}).get(n), prepared)
         for n in names or models.NAMES])

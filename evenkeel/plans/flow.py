@@ -56,16 +56,16 @@ def preparer(method: str, scaler: str, **options) -> tuning.Prepare:
 
 def tune_configuration(train: DataFrame, test: DataFrame | None, method: str, scaler: str,
                        order: str = "leak_free", names: list[str] | None = None, folds: int = 3,
-                       grids: dict | None = None, parallelism: int = 8, **options) -> DataFrame:
+                       grids: dict | None = None, **options) -> DataFrame:
     """Tuning records of one configuration, keys attached."""
     if order == "leak_free":
         rows = cut_lineage(rank.stratified_folds(train, "label", "row_id", folds))
-        records = tuning.tune(rows, names, test, "fold", preparer(method, scaler, **options), grids, parallelism)
+        records = tuning.tune(rows, names, test, "fold", preparer(method, scaler, **options), grids)
     elif order == "reference":
         rows = cut_lineage(balanced(train, method, **options))
         rows, held = scaled(rows, train.limit(0) if test is None else test, scaler)
         rows = cut_lineage(rank.stratified_folds(rows, "label", ["row_id", "copy"], folds))
-        records = tuning.tune(rows, names, None if test is None else held, "fold", None, grids, parallelism)
+        records = tuning.tune(rows, names, None if test is None else held, "fold", None, grids)
     else:
         raise ValueError(f"unknown order: {order}")
     return records.withColumns({"balancing_method": F.lit(method), "scaler_type": F.lit(scaler)})
@@ -87,7 +87,7 @@ def fit_and_predict(train: DataFrame, test: DataFrame, name: str, params: dict,
 
 def run(rows: DataFrame, methods=tuple(report.METHODS), scalers=tuple(report.SCALERS), names=tuple(models.NAMES),
         order: str = "leak_free", folds: int = 3, grids: dict | None = None, done: DataFrame | None = None,
-        parallelism: int = 8, model_dir: str | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+        model_dir: str | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All datasets x methods x scalers x models. Returns (metrics, predictions, tuning records).
 
     ``done``: earlier records with their keys; usable ones are reused instead of searched again.
@@ -108,7 +108,7 @@ def run(rows: DataFrame, methods=tuple(report.METHODS), scalers=tuple(report.SCA
                 keys = {"dataset": dataset, "balancing_method": method, "scaler_type": scaler}
                 new = [n for n in names if (*keys.values(), n) not in known]
                 if new:
-                    found = tune_configuration(train, None, method, scaler, order, new, folds, grids, parallelism,
+                    found = tune_configuration(train, None, method, scaler, order, new, folds, grids,
                                                **options.get(method, {})).withColumn("dataset", F.lit(dataset))
                     records.append(found)
                     known.update({(*keys.values(), r["model"]): r for r in found.collect()})

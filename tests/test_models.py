@@ -72,6 +72,62 @@ def test_grids():
     assert svm.gamma_value("auto", 4, 2.0) == 0.25 and svm.gamma_value("scale", 4, 2.0) == 0.125
 
 
+def brute_tree(x, y, spec, depth=0):
+    """Reference growth by plain recursion over all values as thresholds; nodes as (pos, neg, children)."""
+    n, pos = len(y), int(y.sum())
+    node = [n - pos, pos, None]
+    if pos in (0, n) or n < spec.min_split or depth == spec.max_depth:
+        return node
+
+    def imp(p, n):
+        q = np.array([p / n, 1 - p / n])
+        return 1 - (q**2).sum() if spec.criterion == "gini" else -sum(v * np.log2(v) for v in q if v > 0)
+
+    best = None
+    for j in range(x.shape[1]):
+        for t in np.unique(x[:, j])[:-1]:
+            m = x[:, j] <= t
+            if min(m.sum(), n - m.sum()) >= spec.min_leaf:
+                s = round((m.sum() * imp(y[m].sum(), m.sum()) + (n - m.sum()) * imp(y[~m].sum(), n - m.sum())) / n, 12)
+                if best is None or s < best[0]:
+                    best = (s, j, t)
+    if best:
+        m = x[:, best[1]] <= best[2]
+        node[2] = (best[1], best[2], brute_tree(x[m], y[m], spec, depth + 1), brute_tree(x[~m], y[~m], spec, depth + 1))
+    return node
+
+
+def test_shared_trees_equal_trees_grown_alone(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (150, 3)).astype(float)
+    y = ((x[:, 0] > 6) ^ (rng.random(150) < 0.2)).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist(), i % 3) for i in range(150)],
+                               "row_id long, label int, features array<double>, fold int").repartition(4)
+    specs = [trees.TreeSpec(c, s, m, f, d) for c in ("gini", "entropy") for s, m, f, d in
+             [(2, 1, None, None), (10, 1, 0, None), (5, 4, 1, 3), (2, 8, 2, None)]]
+    for spec, tree in zip(specs, trees.fit_trees(df, specs, fold="fold")):
+        keep = np.arange(150) % 3 != spec.fold if spec.fold is not None else np.ones(150, bool)
+
+        def walk(node, at):
+            assert tree.counts[at].tolist() == node[:2]
+            if node[2] is None:
+                assert tree.left[at] == at
+            else:
+                assert (tree.feature[at], tree.threshold[at]) == node[2][:2]
+                walk(node[2][2], tree.left[at])
+                walk(node[2][3], tree.right[at])
+
+        walk(brute_tree(x[keep], y[keep], spec), 0)
+
+
+def test_depth_grid_comes_from_one_tree(blobs):
+    df, _, _ = blobs
+    full = trees.fit_trees(df, [trees.TreeSpec()])[0]
+    cut = trees.fit_trees(df, [trees.TreeSpec(max_depth=2)])[0]
+    by = trees.recalls(df, [full], [2, None])[0]
+    assert by[2] == trees.recalls(df, [cut], [None])[0][None] and by[None] >= 0.9
+
+
 def test_unknown_model_is_an_error(blobs):
     with pytest.raises(ValueError):
         models.fit(blobs[0], "forest", {})
