@@ -43,3 +43,12 @@ def euclidean(a: Column | str, b: Column | str) -> Column:
 def lerp(a: Column | str, b: Column | str, t: Column) -> Column:
     """Point at share ``t`` of the segment from vector a to vector b."""
     return F.zip_with(a, b, lambda x, y: x + t * (y - x))
+
+
+def double_array(values) -> Column:
+    """Constant ARRAY<DOUBLE>, handed over as one expression instead of one literal per value."""
+    def text(v: float) -> str:
+        v = float(v)
+        return f"{v!r}D" if v == v and abs(v) != float("inf") else f"double('{v}')"
+
+    return F.expr("array(" + ", ".join(text(v) for v in values) + ")")

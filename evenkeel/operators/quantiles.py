@@ -23,10 +23,11 @@ def exact_quantiles(
     task_rows: int = TASK_ROWS, accuracy: int = ACCURACY,
 ) -> list[list[float]]:
     """Quantiles per column, NULLs ignored; one list per column in the order of ``probs``."""
-    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    sizes = list(wide.agg(*[F.count(c).alias(c) for c in wide.columns]).first())
+    wide = df.selectExpr(*[f"cast(`{c}` AS double) AS c{i}" for i, c in enumerate(cols)])
+    sizes = list(wide.selectExpr(*[f"count({c}) AS {c}" for c in wide.columns]).first())
     if max(sizes, default=0) <= task_rows:
-        row = wide.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])) for c in wide.columns]).first()
+        shares = ", ".join(f"{float(p)!r}D" for p in probs)
+        row = wide.selectExpr(*[f"percentile({c}, array({shares})) AS {c}" for c in wide.columns]).first()
         return [list(v) if v is not None else [float("nan")] * len(probs) for v in row]
 
     slots = []

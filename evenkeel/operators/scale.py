@@ -9,6 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.functions.numeric import double_array
 from evenkeel.operators.quantiles import TASK_ROWS, exact_quantiles
 from evenkeel.operators.small import local_frame
 
@@ -33,10 +34,8 @@ class Scaler:
         return df.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
     def apply_vector(self, df: DataFrame, features: str = "features") -> DataFrame:
-        center = F.array(*[F.lit(v) for v in self.center])
-        scale = F.array(*[F.lit(v) for v in self.scale])
-        shifted = F.zip_with(features, center, lambda x, m: x - m)
-        return df.withColumn(features, F.zip_with(shifted, scale, lambda x, s: x / s))
+        shifted = F.zip_with(features, double_array(self.center), lambda x, m: x - m)
+        return df.withColumn(features, F.zip_with(shifted, double_array(self.scale), lambda x, s: x / s))
 
 
 def _divisors(values) -> tuple[float, ...]:
@@ -74,7 +73,7 @@ def fit_robust(df: DataFrame, cols: list[str], task_rows: int = TASK_ROWS) -> Sc
 
 
 def unpack(df: DataFrame, width: int, features: str = "features") -> DataFrame:
-    return df.select(*[F.get(features, F.lit(i)).alias(f"f{i}") for i in range(width)])
+    return df.selectExpr(*[f"get({features}, {i}) AS f{i}" for i in range(width)])
 
 
 def vector_width(df: DataFrame, features: str = "features") -> int:
