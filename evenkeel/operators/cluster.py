@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.kernels import list_column, matrix, squared_distances
 from evenkeel.functions.numeric import euclidean
-from evenkeel.operators.passes import start_rows, sum_rows
+from evenkeel.operators.passes import hold, start_rows, sum_rows
 from evenkeel.operators.scale import moments
 from evenkeel.operators.small import local, same, small
 
@@ -115,11 +114,9 @@ def fit_kmeans(
     those decide. A pass returns one sum per (partition, model, cluster). Stops when all centres moved less than ``tol`` times
     the mean feature variance.
     """
-    rows = df.select(id_col, F.col(features).cast("array<double>").alias(features)).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    rows, n, partitions = hold(df.select(id_col, F.col(features).cast("array<double>").alias(features)))
     try:
         row = moments(rows, [], features).first()
-        n = row["n"]
         limit = tol * float(np.mean(row["var"]))
         width = len(row["mean"])
         start = np.asarray([r[features] for r in start_rows(rows, id_col, n, seed)], dtype=np.float64)
@@ -132,7 +129,7 @@ def fit_kmeans(
             if not moving:
                 break
             names = sorted(moving)
-            sums = _all_sums(rows, [models[m] for m in names], features, width)
+            sums = _all_sums(rows, [models[m] for m in names], features, width, partitions)
             for m, (new, inertia) in zip(names, _move(sums, [models[m] for m in names])):
                 if float(((new - models[m]) ** 2).sum()) <= limit:
                     moving.discard(m)
@@ -146,7 +143,7 @@ def fit_kmeans(
         rows.unpersist()
 
 
-def _all_sums(rows: DataFrame, models: list[np.ndarray], features: str, width: int) -> np.ndarray:
+def _all_sums(rows: DataFrame, models: list[np.ndarray], features: str, width: int, partitions: int) -> np.ndarray:
     count = sum(len(m) for m in models)
 
     def run(batches):
@@ -160,7 +157,7 @@ def _all_sums(rows: DataFrame, models: list[np.ndarray], features: str, width: i
                 [pa.array(hit.astype(np.int32)), list_column(acc[hit])], names=["at", "values"])
 
     parts = rows.select(features).mapInArrow(run, "at int, values array<double>")
-    return sum_rows(parts, rows.rdd.getNumPartitions(), count, width + 2)
+    return sum_rows(parts, partitions, count, width + 2)
 
 
 def silhouettes(df: DataFrame, models: list[Clustering], features: str = "features") -> list[float]:

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.numeric import nan_to_null, safe_divide
-from evenkeel.operators.small import same, small
+from evenkeel.operators.small import bounded_rows, local_frame, same, small
 
 COUNTS = ["tp", "tn", "fp", "fn"]
 #: Most rows of one key that one task accumulates; larger keys are cut into ranges.
 RANGE_ROWS = 1_000_000
 MAX_RANGES = 1_024
+#: Most cut scores of all keys together; they are broadcast.
+MAX_CUTS = 1_000_000
 #: Cuts are looked up in blocks of this many.
 CUT_BLOCK = 32
 
@@ -88,13 +90,17 @@ def score_counts(pred: DataFrame, keys: list[str], label="y_true", score="score"
 
 
 def _score_cuts(pred: DataFrame, keys: list[str], score: str, ranges: int | None) -> DataFrame | None:
-    """Scores that cut every key into ranges of about RANGE_ROWS rows; None if one range will do."""
+    """Scores that cut keys beyond RANGE_ROWS into ranges of about that size; None if no key is."""
     s = nan_to_null(F.col(score).cast("double"))
     rows = pred.select(_key(keys).alias("_k"), s.alias("score")).where(F.col("score").isNotNull())
     if ranges is None:
-        sizes = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.agg(F.max("n")).first()[0] or 0
-        ranges = min(MAX_RANGES, -(-largest // RANGE_ROWS))
+        sizes = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RANGE_ROWS)
+        large = bounded_rows(sizes, MAX_CUTS)
+        if not large:
+            return None
+        ranges = min(MAX_RANGES, MAX_CUTS // len(large), -(-max(r["n"] for r in large) // RANGE_ROWS))
+        hot = local_frame(pred.sparkSession, [(r["_k"],) for r in large], sizes.select("_k").schema)
+        rows = rows.join(F.broadcast(hot), "_k", "left_semi")
     if ranges <= 1:
         return None
     cuts = rows.groupBy("_k").agg(F.percentile_approx(
@@ -108,7 +114,8 @@ def _range_of(score: Column) -> Column:
     """How many cuts lie below a score: whole blocks first, then inside one block."""
     blocks = F.size(F.filter("r._marks", lambda c: c < score))
     rest = F.slice("r._cuts", blocks * CUT_BLOCK + 1, F.lit(CUT_BLOCK))
-    return blocks * CUT_BLOCK + F.size(F.filter(rest, lambda c: c < score))
+    at = blocks * CUT_BLOCK + F.size(F.filter(rest, lambda c: c < score))
+    return F.when(F.col("r._cuts").isNull(), 0).otherwise(at)
 
 
 def _cumulative(pred: DataFrame, keys: list[str], label: str, score: str, ranges: int | None) -> DataFrame:
@@ -124,7 +131,7 @@ def _cumulative(pred: DataFrame, keys: list[str], label: str, score: str, ranges
         w = Window.partitionBy("_k").orderBy(F.desc("score")).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         return counts.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
-    parts = counts.alias("l").join(cuts.alias("r"), F.col("l._k") == F.col("r._k")).select(
+    parts = counts.alias("l").join(cuts.alias("r"), F.col("l._k") == F.col("r._k"), "left").select(
         F.struct("l._k", _range_of(F.col("l.score")).alias("part")).alias("_p"), "l.score", "l.pos", "l.neg")
     totals = parts.groupBy("_p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     above = Window.partitionBy("_p._k").orderBy(F.desc("_p.part")).rowsBetween(Window.unboundedPreceding, -1)

@@ -188,14 +188,16 @@ def sample_exact(
     )
 
 
-def largest_remainder(sizes: DataFrame, total: Column, by: list[str]) -> DataFrame:
-    """Whole-number quotas adding up to ``total``, in proportion to ``n``; ties by group order."""
-    everything = Window.partitionBy()
+def largest_remainder(sizes: DataFrame, total: Column, by: list[str], within: list[str] = ()) -> DataFrame:
+    """Whole-number quotas in proportion to ``n``, adding up to ``total`` in each ``within`` group;
+    ties by group order. ``sizes`` is class-level.
+    """
+    everything = Window.partitionBy(*within)
     exact = total * F.col("n") / F.sum("n").over(everything)
     base = sizes.withColumn("_exact", exact.cast("double")).withColumn(
         "quota", F.floor("_exact").cast("long"))
     spare = (total - F.sum("quota").over(everything)).cast("long")
-    order = Window.orderBy(F.desc(F.col("_exact") - F.col("quota")), *by)
+    order = everything.orderBy(F.desc(F.col("_exact") - F.col("quota")), *by)
     return (
         base.withColumn("_spare", spare)
         .withColumn("quota", F.col("quota")
@@ -204,10 +206,10 @@ def largest_remainder(sizes: DataFrame, total: Column, by: list[str]) -> DataFra
     )
 
 
-def split_quotas(sizes: DataFrame, label: str, test_share: float) -> DataFrame:
+def split_quotas(sizes: DataFrame, label: str, test_share: float, within: list[str] = ()) -> DataFrame:
     """Test rows per class: ceil(share * N) in all, by largest remainder."""
-    whole = F.sum("n").over(Window.partitionBy())
-    return largest_remainder(sizes, F.ceil(F.lit(float(test_share)) * whole), [label])
+    whole = F.sum("n").over(Window.partitionBy(*within))
+    return largest_remainder(sizes, F.ceil(F.lit(float(test_share)) * whole), [label], within)
 
 
 def stratified_split(
@@ -216,17 +218,22 @@ def stratified_split(
     id_col: str | list[str],
     test_share: float = 0.2,
     seed: int = 42,
+    within: list[str] = (),
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Adds ``split`` = train/test with exact class quotas. The rows are not shuffled."""
-    quotas = split_quotas(group_sizes(df, [label]), label, test_share)
-    ranks = quotas.select(label, "n", F.col("quota").alias("rank"))
+    """Adds ``split`` = train/test with exact class quotas. The rows are not shuffled.
+
+    ``within``: columns (a dataset name) whose every value is split on its own, in the same job.
+    """
+    by = [*within, label]
+    quotas = split_quotas(group_sizes(df, by), label, test_share, within)
+    ranks = quotas.select(*by, "n", F.col("quota").alias("rank"))
     key = row_key(id_col, seed, "split")
-    cuts = rank_cuts(df, [label], id_col, ranks, key, task_rows)
+    cuts = rank_cuts(df, by, id_col, ranks, key, task_rows)
     in_test = F.coalesce(
         _at_most(key, _ids(id_col), F.col("r.cut_key"), F.col("r.cut_id")), F.lit(False))
     return (
-        df.alias("l").join(F.broadcast(cuts).alias("r"), same([label]), "left")
+        df.alias("l").join(F.broadcast(cuts).alias("r"), same(by), "left")
         .select(*[F.col(f"l.{c}") for c in df.columns],
                 F.when(in_test, "test").otherwise("train").alias("split"))
     )

@@ -14,12 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.kernels import list_column, matrix
-from evenkeel.operators.passes import start_rows, sum_rows
+from evenkeel.operators.passes import hold, start_rows, sum_rows
 from evenkeel.operators.scale import moments
 from evenkeel.operators.small import bounded_rows, local_frame
 
@@ -179,7 +178,7 @@ class _State:
 
     def restart(self) -> None:
         """Keeps the point and the curvature found so far, forgets losses of other rows."""
-        self.reached = float(np.linalg.norm(self.g)) if self.done and self.tries <= 20 else 0.0
+        self.reached = float(np.linalg.norm(self.g)) if self.done else 0.0
         self.f, self.g, self.step, self.t, self.done, self.tries = np.inf, None, None, 1.0, False, 0
 
     def trial(self) -> np.ndarray:
@@ -190,7 +189,7 @@ class _State:
         if self.step is not None and not f <= self.f + 1e-4 * self.t * float(self.step @ self.g):
             self.t *= 0.5
             self.tries += 1
-            self.done = self.tries > 20
+            self.done = self.tries > 10
             return
         if self.step is None and float(np.linalg.norm(g)) <= 1.05 * self.reached:
             self.f, self.g, self.done = f, g, True  # as flat over all rows as it was on the first ones
@@ -239,14 +238,13 @@ def fit_svms(df: DataFrame, specs: list[Spec], label: str = "label", features: s
              fold: str | None = None, size: int = 256, max_passes: int = 30, tol: float = 1e-3,
              seed: int = 42) -> list[SvmModel]:
     """All models at once: minimises |w|^2 / (2 C n) + mean hinge, the intercept left free."""
-    rows = _training_rows(df, label, features, fold).persist(StorageLevel.MEMORY_AND_DISK)
+    rows, n, partitions = hold(_training_rows(df, label, features, fold))
     try:
         width = rows.select(F.size("x")).first()[0]
-        partitions = rows.rdd.getNumPartitions()
         run = _Pass(width, size, seed)
         states = [_State(np.zeros((width if s.gamma is None else size) + 1), past=[]) for s in specs]
         # A bounded hashed sample gives the starting weights, so few passes over all rows remain.
-        start = start_rows(rows, "key", rows.count(), seed)
+        start = start_rows(rows, "key", n, seed)
         x = np.asarray([r["x"] for r in start], dtype=np.float64)
         y, at = np.asarray([r["y"] for r in start]), np.asarray([r["fold"] for r in start])
 

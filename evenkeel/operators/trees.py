@@ -13,18 +13,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.kernels import list_column, matrix
 from evenkeel.functions.numeric import safe_divide
-from evenkeel.operators.passes import sum_rows
+from evenkeel.operators.passes import hold, sum_rows
 from evenkeel.operators.scale import unpack, vector_width
 from evenkeel.operators.small import bounded_rows, local_frame
 
 #: Nodes whose histograms one pass collects.
 NODE_BATCH = 512
+#: Histogram cells (partitions x nodes x cells) up to which the driver adds partial counts;
+#: beyond, a shuffle adds them first and at most nodes x cells numbers arrive.
+DRIVER_CELLS = 16_000_000
 
 
 def impurity(pos: Column, n: Column, criterion: str = "gini") -> Column:
@@ -198,12 +200,19 @@ def _histograms(rows: DataFrame, growth: _Growth, batch: list[int], width: int,
                 if len(at[node]):
                     part = np.bincount(cell[at[node]].ravel(), minlength=size).astype(np.float64)
                     acc[k] = part if k not in acc else acc[k] + part
-        if acc:
-            keys = sorted(acc)
+        if acc:  # deep nodes hold few rows: only cells with rows are sent
+            cells = [k * size + np.nonzero(h)[0] for k, h in acc.items()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int32()), list_column(np.stack([acc[k] for k in keys]))], names=["at", "values"])
-
-    out = sum_rows(rows.mapInArrow(run, "at int, values array<double>"), partitions, len(batch), size)
+                [pa.array(np.concatenate(cells)), pa.array(np.concatenate([h[h > 0] for h in acc.values()]))],
+                names=["cell", "n"])
+
+    parts = rows.mapInArrow(run, "cell long, n double")
+    if partitions * len(batch) * size > DRIVER_CELLS:
+        parts = parts.groupBy("cell").agg(F.sum("n").alias("n"))
+    table = parts.toArrow()
+    out = np.zeros(len(batch) * size)
+    if table.num_rows:
+        np.add.at(out, table.column("cell").to_numpy(), table.column("n").to_numpy())
     return out.reshape(len(batch), width, bins, 2)
 
 
@@ -240,9 +249,8 @@ def fit_trees(df: DataFrame, specs: list[TreeSpec], label: str = "label", featur
         raise ValueError("at most 256 bins fit into a byte")
     cuts = bin_cuts(df, features, max_bins)
     width, bins = len(cuts), max(len(c) for c in cuts) + 1
-    rows = _binned(df, cuts, label, features, fold).persist(StorageLevel.MEMORY_AND_DISK)
+    rows, _, partitions = hold(_binned(df, cuts, label, features, fold), rows_per_core=10_000)
     try:
-        partitions = rows.rdd.getNumPartitions()
         growth = _Growth(specs)
         depth = 0
         while any(growth.open):

@@ -30,9 +30,7 @@ def preprocess(raw: DataFrame, target: str = TARGET, drop: list[str] = DROP, id_
     df = prep.cast_target(prep.drop_if_present(raw, drop), target)
     cols = prep.numeric_columns(df, exclude=(id_col, "label"))
     df = prep.assemble(df, cols).select(dataset, id_col, "label", "features")
-    parts = [rank.stratified_split(df.where(F.col(dataset) == F.lit(r[0])), "label", id_col, test_share, seed)
-             for r in sorted(bounded_rows(df.select(dataset).distinct()))]
-    return reduce(DataFrame.unionByName, parts)
+    return rank.stratified_split(df, "label", id_col, test_share, seed, [dataset])
 
 
 def balanced(train: DataFrame, method: str, **options) -> DataFrame:
