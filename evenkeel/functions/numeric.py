@@ -28,7 +28,9 @@ def half_even(c: Column) -> Column:
 
 
 def half_even_to(c: Column, digits: int) -> Column:
-    return F.bround(c, digits)
+    """Half-even rounding of the binary value: 69.195, stored just below the tie, gives 69.19."""
+    unit = F.lit(10.0**digits)
+    return F.rint(c * unit) / unit
 
 
 def squared_distance(a: Column | str, b: Column | str) -> Column:

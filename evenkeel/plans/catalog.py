@@ -98,11 +98,11 @@ _U52 = "(('0x' || substr({0}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 def r6(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6) + F.lit(0.0)
+    return half_even_to(c.cast("double"), 6) + F.lit(0.0)
 
 
 def q6(expr: str) -> str:
-    return f"round(({expr})::DOUBLE, 6) + 0.0"
+    return f"(round_even(({expr})::DOUBLE * 1000000, 0) / 1000000 + 0.0)"
 
 
 def dims(df: DataFrame, features: str = "features") -> DataFrame:
@@ -178,9 +178,9 @@ def majority_minority(spark, d):
 
 
 @query(f"""WITH {_TOXIC}, c AS (SELECT count(*) AS n FROM toxic GROUP BY label)
- SELECT round(max(n) / min(n)::DOUBLE, 6) AS ratio, round_even(max(n) / min(n)::DOUBLE, 2) AS ratio_2 FROM c""")
+ SELECT {q6('max(n) / min(n)::DOUBLE')} AS ratio, round_even(max(n) / min(n)::DOUBLE, 2) AS ratio_2 FROM c""")
 def imbalance_ratio(spark, d):
-    return B.imbalance_ratio(B.class_counts(toxic(spark, d))).select(F.round("ratio", 6).alias("ratio"), "ratio_2")
+    return B.imbalance_ratio(B.class_counts(toxic(spark, d))).select(r6("ratio").alias("ratio"), "ratio_2")
 
 
 @query(f"""WITH {_EMB} SELECT count(DISTINCT cluster) AS classes, count(*) AS n,
@@ -270,14 +270,14 @@ def undersample_majority(spark, d):
 _SIZES = """sz AS (SELECT cluster, count(*) AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS weight, sum(count(*)) OVER () AS nn FROM emb GROUP BY cluster)"""
 
 
-@query(f"WITH {_EMB}, {_SIZES} SELECT cluster, n, round(weight, 6) AS weight, (n < nn / 10) AS below, min(n) OVER () < nn / 10 AS any_below FROM sz")
+@query(f"WITH {_EMB}, {_SIZES} SELECT cluster, n, {q6('weight')} AS weight, (n < nn / 10) AS below, min(n) OVER () < nn / 10 AS any_below FROM sz")
 def cluster_sizes(spark, d):
     from pyspark.sql import Window
 
     whole = Window.partitionBy()
     sizes = cluster.cluster_sizes(vectors(spark, d))
     limit = F.sum("n").over(whole) / 10
-    return sizes.select("cluster", "n", F.round("weight", 6).alias("weight"), (F.col("n") < limit).alias("below"),
+    return sizes.select("cluster", "n", r6("weight").alias("weight"), (F.col("n") < limit).alias("below"),
                         (F.min("n").over(whole) < limit).alias("any_below"))
 
 
@@ -523,10 +523,10 @@ _GNB = """mom AS (SELECT label, dim, avg(x) AS m, var_pop(x) AS v, count(*) AS n
  nb AS (SELECT label, dim, m, v + e AS v, n / (SELECT count(*) FROM emb)::DOUBLE AS prior FROM mom, eps)"""
 
 
-@query(f"WITH {_DIMS}, {_GNB} SELECT label, round(prior, 6) AS prior, dim, {q6('m')} AS mean, {q6('v')} AS var FROM nb")
+@query(f"WITH {_DIMS}, {_GNB} SELECT label, {q6('prior')} AS prior, dim, {q6('m')} AS mean, {q6('v')} AS var FROM nb")
 def gnb_fit(spark, d):
     fitted = bayes.fit(vectors(spark, d)).to_frame(spark)
-    return fitted.select("label", F.round("prior", 6).alias("prior"),
+    return fitted.select("label", r6("prior").alias("prior"),
                          F.posexplode(F.arrays_zip("mean", "var")).alias("dim", "z")).select(
         "label", "prior", "dim", r6("z.mean").alias("mean"), r6("z.var").alias("var"))
 
@@ -759,12 +759,12 @@ def missing_configs(spark, d):
     return report.missing(_configs(spark, d), scored(spark, d))
 
 
-_DONE = f""", done AS (SELECT {_K}, CASE WHEN f1 >= 0.4 THEN round(f1, 6) END AS best_params FROM rates)"""
+_DONE = f""", done AS (SELECT {_K}, CASE WHEN f1 >= 0.4 THEN {q6('f1')} END AS best_params FROM rates)"""
 
 
 def _done(spark, d):
     rates = metrics.derived_rates(metrics.confusion_matrix(scored(spark, d), KEYS))
-    return rates.select(*KEYS, F.when(F.col("f1") >= 0.4, F.round("f1", 6)).alias("best_params"))
+    return rates.select(*KEYS, F.when(F.col("f1") >= 0.4, r6("f1")).alias("best_params"))
 
 
 @query(f"WITH {_GRID_SQL}, {_RATES} {_DONE} SELECT cfg.* FROM cfg ANTI JOIN (SELECT * FROM done WHERE best_params IS NOT NULL) USING ({_K})")
