@@ -15,7 +15,7 @@ from evenkeel.functions.kernels import list_column, matrix, squared_distances
 from evenkeel.functions.numeric import euclidean
 from evenkeel.operators.passes import hold, start_rows, sum_rows
 from evenkeel.operators.scale import moments
-from evenkeel.operators.small import local, same, small
+from evenkeel.operators.small import local, small
 
 #: Rows of one block in the exact silhouette.
 BLOCK_ROWS = 2048

@@ -7,7 +7,6 @@ from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from evenkeel.functions.kernels import matrix
 from evenkeel.operators.rank import cut_rows, row_key
