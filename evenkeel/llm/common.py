@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.operators.small import local_frame, try_rows
+
 #: Most text that a task turns into Python objects at once.
 SLICE_BYTES = 4_000_000
 #: Salts that spread the rows of one node over tasks.
@@ -89,3 +91,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def chosen(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``rows`` joined with ``ids``, one row per ``key``: broadcast while few, else by a shuffle."""
+    found = try_rows(ids)
+    few = stored(ids) if found is None else F.broadcast(local_frame(rows.sparkSession, found, ids.schema))
+    return rows.join(few, key)
