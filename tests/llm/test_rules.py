@@ -40,8 +40,10 @@ def test_band_rejects_strange_words(spark):
     rows = [(i, " ".join(rng.choice(vocabulary, 40)), "en") for i in range(200)]
     rows += [(900, " ".join(f"zq{rng.integers(10**9)}" for _ in range(300)), "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r.doc_id: r.kept for r in rules.judge(docs, ["doc_id"], vocabulary=8).collect()}
-    assert [d for d, kept in got.items() if not kept] == [900]
+    got = {r.doc_id: r for r in rules.judge(docs, ["doc_id"], vocabulary=8).collect()}
+    fine = [r for r in got.values() if not r.base_failed]
+    assert not got[900].base_failed and not got[900].kept
+    assert sum(not r.kept for r in fine) <= 2
 
 
 def test_model_is_a_distribution(spark):
