@@ -247,8 +247,8 @@ def balance_per_cluster(df: DataFrame, cluster: str, target: int, k: int = 3, se
 
 def _classes(df: DataFrame, label: str) -> dict:
     stats = bounded_rows(majority_minority(class_counts(df, label), label))[0].asDict()
-    if stats["classes"] < 2:
-        raise ValueError("at least two classes expected")
+    if stats["classes"] != 2:  # a further class would be lost
+        raise ValueError(f"binary labels expected, got {stats['classes']} classes")
     return stats
 
 
@@ -261,8 +261,6 @@ def balance_smote(df: DataFrame, label: str = "label", k: int = 5, seed: int = S
                   mode: str = "allocated", id_col: str = "row_id") -> DataFrame:
     """N // 2 rows per class: majority sampled down, minority grown. Two classes only."""
     s = _classes(df, label)
-    if s["classes"] != 2:
-        raise ValueError("binary labels expected")
     target = s["total"] // 2
     sizes = [(s["majority"], s["n_majority"]), (s["minority"], s["n_minority"])]
     sizes = local_frame(df.sparkSession, sizes, df.select(label, F.lit(0).cast("long").alias("n")).schema)
@@ -276,7 +274,7 @@ def balance_smote(df: DataFrame, label: str = "label", k: int = 5, seed: int = S
 def balance_csbboost(df: DataFrame, label: str = "label", k: int = 5, k_range_major=(2, 10),
                      k_range_minor=(2, 10), n_init: int = 10, seed: int = SEED,
                      mode: str = "allocated", id_col: str = "row_id") -> DataFrame:
-    """Clustered under-sampling of the majority, per-cluster SMOTE of the minority."""
+    """Clustered under-sampling of the majority, per-cluster SMOTE of the minority. Two classes only."""
     s = _classes(df, label)
     major = df.where(F.col(label) == F.lit(s["majority"]))
     minor = df.where(F.col(label) == F.lit(s["minority"]))
@@ -295,7 +293,7 @@ def balance_hcbou(df: DataFrame, label: str = "label", max_clusters_maj: int = 8
                   max_clusters_min: int = 6, k_smote: int = 3, min_cluster_obs: int = 5,
                   n_init: int = 10, seed: int = SEED, mode: str = "allocated",
                   id_col: str = "row_id") -> DataFrame:
-    """Majority to N // 2 centroids, minority clustered and balanced cluster by cluster."""
+    """Majority to N // 2 centroids, minority clustered and balanced cluster by cluster. Two classes only."""
     s = _classes(df, label)
     target = s["total"] // 2
     major = df.where(F.col(label) == F.lit(s["majority"]))

@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.functions.kernels import list_column, matrix, squared_distances
+from evenkeel.functions.kernels import list_column, matrix, nearest, squared_distances
 from evenkeel.functions.numeric import euclidean
 from evenkeel.operators.passes import hold, start_rows, sum_rows
 from evenkeel.operators.scale import moments
@@ -41,10 +41,10 @@ def assign_nearest(df: DataFrame, centers: np.ndarray, features: str = "features
         return df.withColumn(name, F.lit(0))
 
     @F.arrow_udf("int")
-    def nearest(v: pa.Array) -> pa.Array:
-        return pa.array(squared_distances(matrix(v), centers).argmin(1).astype(np.int32))
+    def index(v: pa.Array) -> pa.Array:
+        return pa.array(nearest(matrix(v), centers)[0].astype(np.int32))
 
-    return df.withColumn(name, nearest(F.col(features).cast("array<double>")))
+    return df.withColumn(name, index(F.col(features).cast("array<double>")))
 
 
 def mean_by(df: DataFrame, by: list[str], features: str = "features", name: str = "center") -> DataFrame:
@@ -75,11 +75,10 @@ def _sums(x: np.ndarray, models: list[np.ndarray], width: int) -> np.ndarray:
     """Per centre of all models, one below the other: row count, inertia, vector sum."""
     out = []
     for centers in models:
-        d = squared_distances(x, centers)
-        near = d.argmin(1)
+        near, best = nearest(x, centers)
         hot = np.zeros((len(x), len(centers)))
         hot[np.arange(len(x)), near] = 1.0
-        out.append(np.column_stack([hot.sum(0), hot.T @ d[np.arange(len(x)), near], hot.T @ x]))
+        out.append(np.column_stack([hot.sum(0), hot.T @ best, hot.T @ x]))
     return np.concatenate(out) if out else np.zeros((0, width + 2))
 
 
@@ -167,7 +166,8 @@ def silhouettes(df: DataFrame, models: list[Clustering], features: str = "featur
     of squared norms, so no pair of rows is ever formed.
     """
     rows = df.select(F.col(features).cast("array<double>").alias(features))
-    centers = [m.centers for m in models]
+    middle = np.mean([m.centers.mean(0) for m in models], axis=0)  # keeps the digits of features far from 0
+    centers = [m.centers - middle for m in models]
 
     width = len(centers[0][0])
     count = sum(len(c) for c in centers)
@@ -178,10 +178,10 @@ def silhouettes(df: DataFrame, models: list[Clustering], features: str = "featur
         for b in batches:
             if b.num_rows == 0:
                 continue
-            x = matrix(b.column(0))
+            x = matrix(b.column(0)) - middle
             norm, at = (x * x).sum(1), 0
             for c in centers:
-                near = squared_distances(x, c).argmin(1)
+                near = nearest(x, c)[0]
                 hot = np.zeros((len(x), len(c)))
                 hot[np.arange(len(x)), near] = 1.0
                 acc[at:at + len(c)] += np.column_stack([hot.sum(0), hot.T @ norm, hot.T @ x])
@@ -203,11 +203,11 @@ def silhouettes(df: DataFrame, models: list[Clustering], features: str = "featur
         for b in batches:
             if b.num_rows == 0:
                 continue
-            x = matrix(b.column(0))
+            x = matrix(b.column(0)) - middle
             seen += len(x)
             for i, c in enumerate(centers):
                 n, mean, norm = table[i]
-                near = squared_distances(x, c).argmin(1)
+                near = nearest(x, c)[0]
                 d = np.maximum((x * x).sum(1)[:, None] + norm[None, :] - 2 * (x @ mean.T), 0.0)
                 own = np.arange(len(x)), near
                 size = n[near]

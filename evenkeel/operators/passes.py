@@ -7,9 +7,10 @@ from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from evenkeel.functions.kernels import matrix
-from evenkeel.operators.rank import cut_rows, row_key
+from evenkeel.operators.rank import row_key
 from evenkeel.operators.small import bounded_rows
 
 #: Partial results (partitions x rows x width) up to this many numbers are added on the driver.
@@ -51,10 +52,8 @@ def sum_rows(parts: DataFrame, partitions: int, rows: int, width: int) -> np.nda
     return out
 
 
-def start_rows(df: DataFrame, id_col: str, n: int, seed: int) -> list:
-    """The rows of lowest hash, START_ROWS at most: where an iterative fit starts."""
-    if n > START_ROWS:
-        key = row_key(id_col, seed, "start")
-        (_, cut, _), = cut_rows(df, [], id_col, [(n, START_ROWS)], key)[0]
-        df = df.where(key <= cut)
-    return bounded_rows(df.orderBy(id_col), 2 * START_ROWS)
+def start_rows(df: DataFrame, id_col: str, n: int, seed: int, most: int = START_ROWS) -> list:
+    """The rows of lowest hash, ``most`` at most: where an iterative fit starts. Equal ids go by the whole row."""
+    if n > most:
+        df = df.orderBy(row_key(id_col, seed, "start"), F.xxhash64(*df.columns)).limit(most)
+    return bounded_rows(df.orderBy(id_col), most)

@@ -104,27 +104,27 @@ def composite_score(df: DataFrame, weights: dict[str, float] | None = None, zero
     return df.withColumn("score", total)
 
 
-def _load_order() -> list[Column]:
+def _ties(df: DataFrame) -> list[Column]:
+    """Load order of method, scaler and model, unknown names after the known ones; then the names themselves."""
     def at(col, values):
         pos = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(col))
         return F.when(pos > 0, pos).otherwise(F.lit(len(values) + 1))
 
-    return [at("balancing_method", METHODS), at("scaler_type", SCALERS)]
+    order = [("balancing_method", METHODS), ("scaler_type", SCALERS), ("model", MODELS)]
+    known = [at(c, values) for c, values in order if c in df.columns]
+    return [*known, *[F.col(c) for c in ("balancing_method", "scaler_type", "model", "model_label") if c in df.columns]]
 
 
 def top_n(df: DataFrame, n: int = 3, group: str = "dataset", score: str = "score",
           ties: list[Column | str] | None = None) -> DataFrame:
     """First n rows per group by score; ties in load order (method, scaler, model)."""
-    if ties is None:
-        models = F.array_position(F.array(*[F.lit(m) for m in MODELS]), F.col("model")) \
-            if "model" in df.columns else F.col("model_label")
-        ties = [*_load_order(), models]
-    w = Window.partitionBy(group).orderBy(F.desc_nulls_last(score), *ties)
+    w = Window.partitionBy(group).orderBy(F.desc_nulls_last(score), *(_ties(df) if ties is None else ties))
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def ranked(df: DataFrame, group: str = "dataset", score: str = "score") -> DataFrame:
-    return df.orderBy(group, F.desc_nulls_last(score))
+    """Rows by group and falling score; ties in load order, so the order is total over configurations and models."""
+    return df.orderBy(group, F.desc_nulls_last(score), *_ties(df))
 
 
 def head(df: DataFrame, n: int = 5) -> DataFrame:

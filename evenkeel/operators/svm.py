@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.kernels import list_column, matrix
-from evenkeel.operators.passes import hold, start_rows, sum_rows
+from evenkeel.operators.passes import START_ROWS, hold, start_rows, sum_rows
 from evenkeel.operators.scale import moments
 from evenkeel.operators.small import bounded_rows, local_frame
 
@@ -236,17 +236,20 @@ def _descend(specs: list[Spec], states: list[_State], evaluate, passes: int, tol
 
 def fit_svms(df: DataFrame, specs: list[Spec], label: str = "label", features: str = "features",
              fold: str | None = None, size: int = 256, max_passes: int = 30, tol: float = 1e-3,
-             seed: int = 42) -> list[SvmModel]:
-    """All models at once: minimises |w|^2 / (2 C n) + mean hinge, the intercept left free."""
+             seed: int = 42, start: int = START_ROWS) -> list[SvmModel]:
+    """All models at once: minimises |w|^2 / (2 C n) + mean hinge, the intercept left free.
+
+    ``start`` bounds the rows whose fit gives the starting weights; all rows decide the result.
+    """
     rows, n, partitions = hold(_training_rows(df, label, features, fold))
     try:
         width = rows.select(F.size("x")).first()[0]
         run = _Pass(width, size, seed)
         states = [_State(np.zeros((width if s.gamma is None else size) + 1), past=[]) for s in specs]
         # A bounded hashed sample gives the starting weights, so few passes over all rows remain.
-        start = start_rows(rows, "key", n, seed)
-        x = np.asarray([r["x"] for r in start], dtype=np.float64)
-        y, at = np.asarray([r["y"] for r in start]), np.asarray([r["fold"] for r in start])
+        first = start_rows(rows, "key", n, seed, start)
+        x = np.asarray([r["x"] for r in first], dtype=np.float64)
+        y, at = np.asarray([r["y"] for r in first]), np.asarray([r["fold"] for r in first])
 
         mapped = {None: x}
 

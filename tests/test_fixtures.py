@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions import half_even, hash_key, hash_uniform
+from evenkeel.functions.kernels import nearest
 from evenkeel.operators import balance as B
 from evenkeel.operators import cluster, metrics, prep, quantiles, rank, report, scale
 
@@ -114,10 +116,12 @@ def test_equal_class_counts_give_two_labels(spark):
 
 def test_three_classes(spark):
     df = labelled(spark, {0: 9, 1: 5, 2: 3})
-    with pytest.raises(ValueError):
-        B.balance(df, "smote")
-    with pytest.raises(ValueError):
-        B.balance(df.where("label = 0"), "hcbou")
+    for method in ("smote", "csbboost", "hcbou"):  # they know two classes; none may be lost
+        with pytest.raises(ValueError, match="3 classes"):
+            B.balance(df, method)
+        with pytest.raises(ValueError, match="1 classes"):
+            B.balance(df.where("label = 0"), method)
+    assert counts(B.balance(df, "unbalanced"), "label") == {0: 9, 1: 5, 2: 3}
     assert counts(B.random_undersample(df), "label") == {0: 8, 1: 5, 2: 3}
 
 
@@ -209,3 +213,25 @@ def test_presets(spark):
     assert (r["scenario"], r["max_clusters_maj"], r["k_smote"]) == ("binary_classification", 8, 3)
     assert B.recommended_params(labelled(spark, {0: 3, 1: 2, 2: 2})).first()["min_cluster_obs"] == 3
     assert B.recommended_params(df, scenario="other").first()["scenario"] == "binary_classification"
+
+
+def test_nearest_centre_far_from_the_origin(spark):
+    df = rows(spark, [(i, [1e9 + i]) for i in range(11)], "row_id long, features array<double>")
+    centers = np.array([[1e9], [1e9 + 10]])
+    got = [r["cluster"] for r in cluster.assign_nearest(df, centers).orderBy("row_id").collect()]
+    assert got == [0] * 6 + [1] * 5  # the middle is a tie
+    near, best = nearest(np.array([[1e9 + 4.0], [1e9 + 7.0]]), centers)
+    assert near.tolist() == [0, 1] and best.tolist() == [16.0, 9.0]
+    spread = cluster.silhouettes(df, [cluster.Clustering(2, centers, 0.0)])[0]
+    home = cluster.silhouettes(df.withColumn("features", F.expr("transform(features, x -> x - 1e9)")),
+                               [cluster.Clustering(2, centers - 1e9, 0.0)])[0]
+    assert spread == pytest.approx(home, abs=1e-9)
+
+
+def test_ranking_ties_end_in_load_order(spark):
+    data = [("d", m, s, k, 0.5) for k in ("other", "decision_tree", "svm") for s in ("robust", "new") for m in ("smote", "odd", "unbalanced")]
+    df = rows(spark, data, "dataset string, balancing_method string, scaler_type string, model string, score double").repartition(5)
+    order = [(r.balancing_method, r.scaler_type, r.model) for r in report.head(report.ranked(df), 18).collect()]
+    assert order == [(m, s, k) for m in ("unbalanced", "smote", "odd") for s in ("robust", "new") for k in ("svm", "decision_tree", "other")]
+    best = report.top_n(df, 3).orderBy("rank").collect()
+    assert [(r.balancing_method, r.scaler_type, r.model) for r in best] == order[:3]

@@ -63,6 +63,14 @@ def test_fold_models_equal_separate_fits(blobs):
         assert scores[f] == pytest.approx(got, abs=0.11)
 
 
+def test_svm_on_repeated_rows(spark):
+    df = spark.range(6000).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("label"),
+                                  F.when(F.col("id") % 3 == 0, F.array(F.lit(2.0), F.lit(1.0))).otherwise(F.array(F.lit(-1.0), F.lit(0.5))).alias("features"))
+    for start in (50, 2000):
+        model = svm.fit_svms(df, [svm.Spec(1.0)], start=start)[0]
+        assert svm.predict(df, model).where("y_pred <> label").count() == 0
+
+
 def test_grids():
     assert [tuning.nominal_size(m) for m in models.NAMES] == [72, 6, 160]
     assert len({tuning.effective("svm", p) for p in tuning.combinations("svm")}) == 42
