@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, crosspolytope, langid, lm, mixing, quality, rules, simhash
-from evenkeel.llm.common import fold
+from evenkeel.llm import bpe, crosspolytope, langid, linededup, lm, mixing, quality, rules, simhash, tokenfile
+from evenkeel.llm.common import fold, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "line_count", "lines_dropped", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"))
+
+
+@query
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        definition = f.read()
+    path = new_path(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, definition)
+    return tokenfile.digests(tokenfile.read(spark, path))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
