@@ -5,10 +5,10 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm.common import sliced
 
-#: Chunks a worker remembers; the memory is emptied when it is full.
-MEMORY = 400_000
+#: Chunks, and pre-tokens, a worker remembers.
+MEMORY = 600_000
 _MASK = (1 << 64) - 1
-#: White space that makes the cut before single spaces unsafe.
-_MIXED_SPACE = re.compile(r"\s\s|[^\S\n ]")
+#: A space after white space: there a pre-token may reach over the cut.
+_DOUBLE_SPACE = re.compile(r"\s ")
+_DOUBLE_ASCII = tuple(c + " " for c in " \n\t\r\x0b\x0c")
 
 
 def read_ranks(spark, path: str) -> dict[bytes, int]:
@@ -102,11 +103,12 @@ class Encoder:
         self.ranks = ranks
         self.whole = whole or PerfectHash(ranks)
         self.find = regex.compile(pattern).findall
-        self.after_space: dict[str, list[int]] = Memory(lambda chunk: self._chunk(" " + chunk))
-        self.pieces: dict[str, list[int]] = Memory(lambda piece: self.piece(piece.encode()))
+        # ids as 32-bit bytes, which join fast and take little room
+        self.after_space = Memory(lambda chunk: self._chunk(" " + chunk))
+        self.pieces = Memory(lambda piece: np.array(self.piece(piece.encode()), np.uint32).tobytes())
 
-    def _chunk(self, text: str) -> list[int]:
-        return [i for p in self.find(text) for i in self.piece(p.encode())]
+    def _chunk(self, text: str) -> bytes:
+        return b"".join([self.pieces[p] for p in self.find(text)])
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -147,42 +149,58 @@ class Encoder:
             i = ends[i]
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of one text.
+    def packed(self, text: str) -> bytes:
+        """Ids of one text as 32-bit numbers.
 
-        No pre-token reaches from a character into a space after it, so a text whose white space
-        is single is cut before each space, and each chunk is looked up whole.
+        No pre-token reaches from a character that is no white space into a space after it. So a
+        text whose spaces all follow such characters is cut before each space, and each chunk is
+        looked up whole.
         """
-        if not text:
-            return []
         if cut_is_safe(text):
             first, *rest = text.split(" ")
-            out = self._chunk(first)
-            out.extend(chain.from_iterable(map(self.after_space.__getitem__, rest)))
-            return out
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
+            return self._chunk(first) + b"".join(map(self.after_space.__getitem__, rest))
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.uint32).tolist()
 
 
 def cut_is_safe(text: str) -> bool:
-    """White space in the text is single spaces and line feeds only, none next to another, none at an end."""
-    return not (text[0].isspace() or text[-1].isspace()) and _MIXED_SPACE.search(text) is None
+    """No space of the text follows white space."""
+    if text.isascii():
+        return not any(c in text for c in _DOUBLE_ASCII)
+    return _DOUBLE_SPACE.search(text) is None
 
 
 class Memory(dict):
-    """Results by key, computed once; emptied when full, so its size is bounded."""
+    """Results by key, computed once. Of two generations the older one goes when the newer is full."""
 
     def __init__(self, compute):
         super().__init__()
-        self.compute = compute
+        self.compute, self.old = compute, {}
 
     def __missing__(self, key):
-        if len(self) >= MEMORY:
-            self.clear()
-        value = self.compute(key)
-        if len(key) < 100:
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) >= 100:
+                return value
+        self.keep(key, value)
         return value
 
+    def keep(self, key, value) -> None:
+        if len(self) >= MEMORY // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
+def id_lists(packed: list[bytes]) -> pa.ListArray:
+    """A list of ids per row from 32-bit bytes."""
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, ids array<int>), a row for each row of ``docs``; a null text is empty and gets an empty list.
@@ -198,12 +216,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             box["encoder"] = Encoder(box["ranks"], pattern, PerfectHash.of(box["tables"]))
         encoder = box["encoder"]
         for batch in sliced(batches, "text"):
-            ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+            ids = [encoder.packed(t or "") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), id_lists(ids)], ["doc_id", "ids"])
 
     slim = docs.select("doc_id", "text")
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -216,10 +230,17 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def run(batches):
         pieces = shared.value
+        sizes = np.zeros(max(pieces, default=0) + 1, np.int64)
+        for i, b in pieces.items():
+            sizes[i] = len(b)
         for batch in batches:
             ids = batch.column("ids")
-            out = [b"".join(map(pieces.__getitem__, x or ())) for x in (v.as_py() for v in ids)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(sizes[flat])))
+            places = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
+            data = b"".join(map(pieces.__getitem__, flat.tolist()))
+            out = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[places].astype(np.int64)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, out.cast(pa.binary())], ["doc_id", "ids", "decoded"])
 
     slim = encoded.select("doc_id", "ids")
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")

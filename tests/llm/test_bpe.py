@@ -30,9 +30,11 @@ def test_encoder_equals_plain_library():
 
 
 def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMORY", 3)
-    memory = bpe.Memory(lambda k: [len(k)])
-    assert [memory[k] for k in ("a", "bb", "ccc", "dddd", "a")] == [[1], [2], [3], [4], [1]] and len(memory) <= 3
+    monkeypatch.setattr(bpe, "MEMORY", 4)
+    memory = bpe.Memory(lambda k: b"x" * len(k))
+    for k in ("a", "bb", "ccc", "dddd", "a", "eeeee", "y" * 200):
+        assert memory[k] == b"x" * len(k)
+        assert len(memory) <= 2 and len(memory.old) <= 2
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None), (1, None), (None, ""), (3, "a b"), (3, "a b")] + [(9, t) for t in ODD]])
