@@ -22,10 +22,10 @@ from evenkeel.llm.common import sliced, stored
 #: Text bytes whose keys one segment holds.
 SEGMENT_BYTES = 4_000_000
 LEAST_SEGMENTS = 64
-#: Distinct keys a task holds before it sends them.
-HELD = 3_000_000
+#: Keys a task holds before it counts and sends them: 32 MB.
+HELD = 4_000_000
 #: Words a task remembers by their bytes.
-MEMORY = 500_000
+MEMORY = 400_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "seg int, keys binary, counts binary"
 
@@ -96,39 +96,41 @@ def count_keys(docs: DataFrame, segments: int, reader: Callable[[], Callable[[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_of = reader()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
 
-        def merge():
-            return summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-
-        def rows(keys, counts):
+        def rows():
+            keys = np.concatenate(held)
+            held.clear()
+            keys.sort()
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            counts = np.diff(np.append(starts, len(keys))).astype(np.uint32)
+            keys = keys[starts]
             seg = segment_of(keys, segments)
             order = np.argsort(seg, kind="stable")
             keys, counts, seg = keys[order], counts[order], seg[order]
-            starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))) if len(seg) else np.zeros(0, int)
+            starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
             ends = np.append(starts[1:], len(seg))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(seg[starts]), pa.array([pack(keys[a:b]) for a, b in zip(starts, ends)], pa.binary()),
-                pa.array([counts[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], ["seg", "keys", "counts"])
+            for k in range(0, len(starts), 256):
+                a, b = starts[k : k + 256], ends[k : k + 256]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(seg[a]), pa.array([pack(keys[x:y]) for x, y in zip(a, b)], pa.binary()),
+                    pa.array([counts[x:y].tobytes() for x, y in zip(a, b)], pa.binary())], ["seg", "keys", "counts"])
 
         for batch in sliced(batches, "text"):
-            found, n = np.unique(keys_of(batch), return_counts=True)
-            held.append((found.astype(np.uint64, copy=False), n.astype(np.int64)))
+            found = keys_of(batch)
+            held.append(found.astype(np.uint64, copy=False))
             size += len(found)
-            if size > HELD:
-                held = [merge()]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield from rows(*held[0])
-                    held, size = [], 0
-        if held:
-            yield from rows(*merge())
+            if size >= HELD:
+                yield from rows()
+                size = 0
+        if size:
+            yield from rows()
 
     def whole(part: pa.Table) -> pa.Table:
         keys, counts = summed(
             np.concatenate([unpack(k) for k in part["keys"].to_pylist()]),
-            np.concatenate([np.frombuffer(c, np.int64) for c in part["counts"].to_pylist()]))
+            np.concatenate([np.frombuffer(c, np.uint32).astype(np.int64) for c in part["counts"].to_pylist()]))
         return pa.table({"seg": part["seg"][:1].cast(pa.int32()), "keys": pa.array([pack(keys)], pa.binary()),
                          "counts": pa.array([counts.tobytes()], pa.binary())})
 
