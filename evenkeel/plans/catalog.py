@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.operators import balance as B
-from evenkeel.operators import bayes, cluster, metrics, neighbours, prep, quantiles, rank, report, scale
+from evenkeel.operators import bayes, cluster, metrics, neighbours, prep, quantiles, rank, report, scale, tuning
 from evenkeel.functions import half_even, half_even_to, hash_key, hash_uniform
 from evenkeel.operators.small import local, local_frame
 
@@ -760,6 +760,22 @@ def config_grid(spark, d):
     return _configs(spark, d).withColumn("config_key", report.config_key())
 
 
+@query("""SELECT dataset, (c * 80 + d * 16 + l * 4 + s)::INT AS grid_index, ['gini', 'entropy'][c + 1] AS criterion,
+  ['3', '5', '10', '20', NULL][d + 1] AS max_depth, ['1', '2', '4', '8'][l + 1] AS min_samples_leaf, ['2', '5', '10', '20'][s + 1] AS min_samples_split
+  FROM (SELECT DISTINCT CAST(l_linenumber AS VARCHAR) AS dataset FROM lineitem), range(2) a(c), range(5) b(d), range(4) e(l), range(4) f(s)""")
+def param_grid(spark, d):
+    grid = [F.struct(F.lit(i).alias("grid_index"), *[F.lit(None if v is None else str(v)).cast("string").alias(k) for k, v in p.items()])
+            for i, p in enumerate(tuning.combinations("decision_tree"))]
+    datasets = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("string").alias("dataset")).distinct()
+    return datasets.select("dataset", F.inline(F.array(*grid)))
+
+
+@query(f"""WITH {_EVAL} SELECT {_K}, {_LABEL_SQL} AS model_label, {q6('F1_Score')} AS F1_Score,
+  '[[' || TN || ',' || FP || '],[' || FN || ',' || TP || ']]' AS confusion_matrix FROM ev""")
+def wide_table(spark, d):
+    return _rounded(report.wide_table(evaluated(spark, d)).select(*KEYS, "model_label", "F1_Score", "confusion_matrix"))
+
+
 @query(f"WITH {_GRID_SQL}, {_SCORED} SELECT * FROM cfg ANTI JOIN scored USING ({_K})")
 def missing_configs(spark, d):
     return report.missing(_configs(spark, d), scored(spark, d))
