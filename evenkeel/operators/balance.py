@@ -16,7 +16,7 @@ from evenkeel.functions.numeric import half_even, half_even_to, lerp
 from evenkeel.operators import cluster as C
 from evenkeel.operators.neighbours import knn
 from evenkeel.operators.rank import (
-    cut_rows, group_sizes, largest_remainder, row_key, sample_exact, sample_replacement,
+    DRAW_RUN, cut_rows, group_sizes, largest_remainder, row_key, sample_exact, sample_replacement,
 )
 from evenkeel.operators.small import bounded_rows, local, local_frame, same
 
@@ -151,12 +151,17 @@ def smote_bases(df: DataFrame, by: list[str], quotas: DataFrame, mode: str = "al
     extra = F.coalesce((key < F.col("r.cut_key")) | (
         (key == F.col("r.cut_key")) & (F.struct(F.col(id_col)) <= F.col("r.cut_id"))), F.lit(False))
     copies = F.col("r.each") + F.when(extra, 1).otherwise(0)
-    return (
+    last = F.floor((F.col("_m") - 1) / DRAW_RUN).cast("long")
+    runs = (
         df.alias("l").join(F.broadcast(plan).alias("r"), same(by))
         .select(*[F.col(f"l.{c}") for c in (*by, id_col)], copies.cast("long").alias("_m"))
         .where(F.col("_m") > 0)
-        .select(*by, id_col, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))).alias("copy"))
+        .select(*by, id_col, "_m", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_run"))
     )
+    if any(m // n >= DRAW_RUN for *_, n, m in q):  # runs of one row are made in tasks of their own
+        runs = runs.repartition(*by, id_col, "_run")
+    first = F.col("_run") * DRAW_RUN
+    return runs.select(*by, id_col, F.explode(F.sequence(first + 1, F.least(F.col("_m"), first + DRAW_RUN))).alias("copy"))
 
 
 def smote(df: DataFrame, by: list[str], quotas: DataFrame, k: int = 5, mode: str = "allocated",

@@ -147,7 +147,10 @@ def fold_scores(df: DataFrame, model: str, fold: str = "fold", prepared: Callabl
             train, valid = prepared(f)
             for k, v in zip(keys, _recalls(train, valid, model, keys)):
                 found[k, f] = v
-    return [(i, f, float(found.get((effective(model, p), f), 0.0))) for i, p in enumerate(combos) for f in folds]
+    lost = [(k, f) for k in keys for f in folds if found.get((k, f)) is None]
+    if lost:  # a missing score is no recall of 0
+        raise ValueError(f"{model}: no score for {lost[0][0]} in fold {lost[0][1]}, {len(lost)} in all")
+    return [(i, f, float(found[effective(model, p), f])) for i, p in enumerate(combos) for f in folds]
 
 
 def scores_frame(spark, scores: list[tuple[int, int, float]]) -> DataFrame:

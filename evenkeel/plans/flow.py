@@ -89,14 +89,15 @@ def run(rows: DataFrame, methods=tuple(report.METHODS), scalers=tuple(report.SCA
     """All datasets x methods x scalers x models. Returns (metrics, predictions, tuning records).
 
     ``done``: earlier records with their keys; usable ones are reused instead of searched again.
-    Every configuration is evaluated in one grouped job over all predictions.
+    Every configuration is evaluated in one grouped job over all predictions. One whose search
+    failed keeps its row of the metrics, which are null.
     """
     spark = rows.sparkSession
     known = {}
     if done is not None:
         for r in bounded_rows(done.where(F.col("best_params").isNotNull())):
             known[r["dataset"], r["balancing_method"], r["scaler_type"], r["model"]] = r
-    preds, records, fits = [], [], []
+    preds, records, fits, failed = [], [], [], []
     for (dataset,) in sorted(bounded_rows(rows.select("dataset").distinct())):
         part = rows.where(F.col("dataset") == F.lit(dataset)).drop("dataset")
         train, test = part.where("split = 'train'").drop("split"), part.where("split = 'test'").drop("split")
@@ -114,15 +115,20 @@ def run(rows: DataFrame, methods=tuple(report.METHODS), scalers=tuple(report.SCA
                 for n in names:
                     best = known[(*keys.values(), n)]["best_params"]
                     if best is None:
+                        failed.append((*keys.values(), n))
                         continue
                     path = f"{model_dir}/{method}/{dataset}/{scaler}/{n}" if model_dir else None
                     pred, took = fit_and_predict(train_s, test_s, n, best.asDict(), keys, path)
                     preds.append(pred)
                     fits.append((*keys.values(), n, took))
+    if not preds:
+        raise ValueError(f"no configuration could be fitted: {failed[:3]}, {len(failed)} in all")
     predictions = cut_lineage(reduce(DataFrame.unionByName, preds))
     table = metrics.evaluate(predictions, report.KEYS)
     timing = local_frame(spark, fits, "dataset string, balancing_method string, scaler_type string, model string, "
                                       "training_time_seconds double")
     table = report.stored_names(table.join(F.broadcast(timing), report.KEYS))
+    lost = local_frame(spark, failed, "dataset string, balancing_method string, scaler_type string, model string")
+    table = table.unionByName(lost, allowMissingColumns=True)
     tuned = reduce(DataFrame.unionByName, records) if records else None
     return table, predictions, tuned

@@ -136,3 +136,12 @@ def test_rank_keeps_groups_spread(spark):
     out = rank.hash_rank(df, ["g"], "id", rank.row_key("id", 1))
     assert sorted(r["rank"] for r in out.collect()) == list(range(3000))
     assert "SinglePartition" not in plan_of(out)
+
+
+def test_many_copies_of_one_base_are_cut_in_runs(spark):
+    df = spark.createDataFrame([(1, 0, [0.0]), (2, 0, [1.0])], "row_id long, label int, features array<double>")
+    quotas = spark.createDataFrame([(0, 2, 200_001)], "label int, n long, quota long")
+    bases = B.smote_bases(df, ["label"], quotas)
+    per = {r["row_id"]: (r["n"], r["low"], r["high"]) for r in bases.groupBy("row_id").agg(
+        F.countDistinct("copy").alias("n"), F.min("copy").alias("low"), F.max("copy").alias("high")).collect()}
+    assert sorted(per.values()) == [(100_000, 1, 100_000), (100_001, 1, 100_001)]
