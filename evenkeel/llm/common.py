@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evenkeel.operators.small import local_frame, try_rows
 
 #: Most text that a task turns into Python objects at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 #: Salts that spread the rows of one node over tasks.
 SALTS = 32
 

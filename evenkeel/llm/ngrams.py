@@ -22,10 +22,10 @@ from evenkeel.llm.common import sliced, stored
 #: Text bytes whose keys one segment holds.
 SEGMENT_BYTES = 4_000_000
 LEAST_SEGMENTS = 64
-#: Keys a task holds before it counts and sends them: 32 MB.
-HELD = 4_000_000
+#: Keys a task holds before it counts and sends them: 20 MB.
+HELD = 2_500_000
 #: Words a task remembers by their bytes.
-MEMORY = 400_000
+MEMORY = 200_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "seg int, keys binary, counts binary"
 
