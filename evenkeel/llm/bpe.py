@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import sliced
 
 #: Chunks, and pre-tokens, a worker remembers.
-MEMORY = 600_000
+MEMORY = 300_000
 _MASK = (1 << 64) - 1
 #: A space after white space: there a pre-token may reach over the cut.
 _DOUBLE_SPACE = re.compile(r"\s ")
