@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ GRAMS = 20_000
 ORDER = 5
 UNKNOWN = "und"
 #: Tokens a worker remembers.
-MEMORY = 300_000
+MEMORY = 500_000
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -64,7 +65,7 @@ class Model:
             table = self.tables[n]
             found = [table[g] for g in grams(word, n) if g in table]
             if found:
-                return np.mean(found, axis=0)
+                return sum(found) / len(found)
         return np.zeros(len(self.langs))
 
     def token(self, token: str) -> tuple[np.ndarray, int]:
@@ -124,7 +125,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             docs = [(t or "").split() for t in batch.column("text").to_pylist()]
             if len(places) > MEMORY:
                 places.clear()
-            new = {w for d in docs for w in d if w not in places}
+            new = set().union(*docs) - places.keys()
             while len(places) + len(new) > len(table):
                 table = np.concatenate((table, np.zeros_like(table)))
             for w in new:
@@ -132,7 +133,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 table[len(places), :width], table[len(places), width] = sums, n
                 places[w] = len(places)
             sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-            flat = np.fromiter((places[w] for d in docs for w in d), np.int64, int(sizes.sum()))
+            flat = np.fromiter(map(places.__getitem__, chain.from_iterable(docs)), np.int64, int(sizes.sum()))
             total = np.zeros((len(docs), width + 1))
             filled = np.flatnonzero(sizes)
             if len(filled):
