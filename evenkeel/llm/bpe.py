@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import sliced
 
 #: Chunks, and pre-tokens, a worker remembers.
-MEMORY = 300_000
+MEMORY = 120_000
 _MASK = (1 << 64) - 1
 #: A space after white space: there a pre-token may reach over the cut.
 _DOUBLE_SPACE = re.compile(r"\s ")
@@ -202,45 +202,62 @@ def id_lists(packed: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+class Decoder:
+    """Bytes behind ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.pieces = {i: b for b, i in ranks.items()}
+        self.sizes = np.zeros(max(self.pieces, default=0) + 1, np.int64)
+        for i, b in self.pieces.items():
+            self.sizes[i] = len(b)
+
+    def rows(self, ids: pa.ListArray) -> pa.Array:
+        """A binary value per list; null lists give no bytes."""
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(self.sizes[flat])))
+        places = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
+        data = b"".join(map(self.pieces.__getitem__, flat.tolist()))
+        offsets = pa.py_buffer(ends[places].astype(np.int64))
+        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, offsets, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>), a row for each row of ``docs``; a null text is empty and gets an empty list.
 
-    Needs all 256 single bytes among the ranks. Rows are independent: repeated rows repeat, other
-    columns are ignored, and a text is cut into batches only between rows.
+    ``decoded`` adds what the ids decode to, made from the ids in the same task. Needs all 256
+    single bytes among the ranks. Rows are independent: repeated rows repeat, other columns are
+    ignored, and a text is cut into batches only between rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "tables": PerfectHash(ranks).tables()})
 
     def run(batches):
-        box = shared.value  # stays with the worker process, and so does the encoder put into it
+        box = shared.value  # stays with the worker process, and so do the objects put into it
         if "encoder" not in box:
             box["encoder"] = Encoder(box["ranks"], pattern, PerfectHash.of(box["tables"]))
+        if decoded and "decoder" not in box:
+            box["decoder"] = Decoder(box["ranks"])
         encoder = box["encoder"]
         for batch in sliced(batches, "text"):
-            ids = [encoder.packed(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), id_lists(ids)], ["doc_id", "ids"])
+            ids = id_lists([encoder.packed(t or "") for t in batch.column("text").to_pylist()])
+            columns = {"doc_id": batch.column("doc_id"), "ids": ids}
+            if decoded:
+                columns["decoded"] = box["decoder"].rows(ids)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>"
+    return slim.mapInArrow(run, schema + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``encoded`` (doc_id, ids) with ``decoded`` (binary), the bytes behind the ids; null ids give no bytes."""
-    pieces = {i: b for b, i in ranks.items()}
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces)
+    shared = encoded.sparkSession.sparkContext.broadcast({"ranks": ranks})
 
     def run(batches):
-        pieces = shared.value
-        sizes = np.zeros(max(pieces, default=0) + 1, np.int64)
-        for i, b in pieces.items():
-            sizes[i] = len(b)
+        decoder = Decoder(shared.value["ranks"])
         for batch in batches:
             ids = batch.column("ids")
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            ends = np.concatenate(([0], np.cumsum(sizes[flat])))
-            places = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
-            data = b"".join(map(pieces.__getitem__, flat.tolist()))
-            out = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[places].astype(np.int64)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, out.cast(pa.binary())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoder.rows(ids)], ["doc_id", "ids", "decoded"])
 
     slim = encoded.select("doc_id", "ids")
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
