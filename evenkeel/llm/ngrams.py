@@ -189,3 +189,57 @@ def frequent(packed: DataFrame, floor: int) -> tuple[np.ndarray, np.ndarray]:
         keys.append(unpack(bytes(row.keys)))
         counts.append(np.frombuffer(bytes(row.counts), np.int64))
     return summed(np.concatenate(keys), np.concatenate(counts))
+
+
+def look_up(asked: DataFrame, packed: DataFrame, segments: int, answer: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """Rows of ``answer(uids, keys, counts)`` per segment, for ``asked`` (uid long, asked array<long>); a key not in ``packed`` counts 0.
+
+    Keys travel packed to their segments, as the counts do; a key asked for very often makes its
+    segment's task large, so callers answer frequent keys before.
+    """
+
+    def dealt(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def rows():
+            uids, keys = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            seg = segment_of(keys, segments)
+            order = np.argsort(seg, kind="stable")
+            uids, keys, seg = uids[order], keys[order], seg[order]
+            starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+            ends = np.append(starts[1:], len(seg))
+            for k in range(0, len(starts), 256):
+                a, b = starts[k : k + 256], ends[k : k + 256]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(seg[a]), pa.array([uids[x:y].tobytes() for x, y in zip(a, b)], pa.binary()),
+                    pa.array([keys[x:y].tobytes() for x, y in zip(a, b)], pa.binary())], ["seg", "uids", "asked"])
+
+        for batch in batches:
+            lists = batch.column("asked")
+            keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(keys):
+                continue
+            sizes = np.diff(lists.offsets.to_numpy())
+            held.append((np.repeat(batch.column("uid").to_numpy(), sizes), keys))
+            size += len(keys)
+            if size >= HELD // 2:
+                yield from rows()
+                size = 0
+        if size:
+            yield from rows()
+
+    def looked(left: pa.Table, right: pa.Table) -> pa.Table:
+        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in parts.to_pylist()]])
+        uids, wanted = join(left["uids"], np.int64), join(left["asked"], np.uint64)
+        keys = np.concatenate([np.zeros(0, np.uint64), *[unpack(k) for k in right["keys"].to_pylist()]])
+        counts = join(right["counts"], np.int64)
+        found = np.zeros(len(wanted), np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            found = np.where(keys[at] == wanted, counts[at], 0)
+        return answer(uids, wanted, found)
+
+    left = asked.select("uid", "asked").mapInArrow(dealt, "seg int, uids binary, asked binary")
+    return left.groupBy("seg").cogroup(packed.groupBy("seg")).applyInArrow(looked, schema)

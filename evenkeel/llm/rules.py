@@ -2,7 +2,8 @@
 
 The language model is a modified Kneser-Ney bigram model over a closed vocabulary: the most
 frequent words by 64-bit hash, all other words being one further word. Spark counts all
-texts; the driver gets the bounded model, and workers look pairs up in sorted arrays. The
+texts; the driver gets the most frequent pairs, and workers look them up in sorted arrays. The
+other pairs of each document meet their counts in a shuffle, so every pair counts. The
 text of a word outside the vocabulary costs as much as choosing it among all such words.
 
 A document is rejected if its log-perplexity lies outside its language's band: beyond the
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from evenkeel.llm import ngrams
 from evenkeel.llm.common import sliced, stored, texts_of
 
-#: Words of the vocabulary and pairs of the model at most: what a worker holds is 12 MB a million pairs.
+#: Words of the vocabulary, and pairs that a worker holds at most: 12 MB a million pairs.
 VOCABULARY = 32_768
 PAIRS = 3_000_000
 #: Documents with fewer words have no verdict by perplexity.
@@ -32,6 +33,8 @@ _BIN = 0.01
 _SPACES = (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")
 _SYMBOLS = b"#*$%&|<>"
 _WINDOW = 5
+#: In place of the key of a pair that is held; no pair has it.
+_HELD = np.uint64(2**64 - 1)
 
 
 @dataclass
@@ -47,18 +50,34 @@ class Model:
     back: np.ndarray
     single: np.ndarray
     outside: float
+    total: np.ndarray
+    cuts: tuple[float, float, float]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         return _ids(self.words, hashes)
 
     def log10(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 P(id | before) per token."""
+        """log10 P(id | before) per token, pairs that are not held by the back-off alone."""
+        return self.looked_up(ids, before)[0]
+
+    def looked_up(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``log10`` per token, and the keys of the pairs that are not held."""
         key = (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
         at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
         p = self.back[before] * self.single[ids]
+        held = np.zeros(len(key), bool)
         if len(self.pairs):
-            p = p + np.where(self.pairs[at] == key, self.pair_p[at], 0.0)
-        return np.log10(np.maximum(p, 1e-12)) - np.where(ids == len(self.words) + 1, self.outside, 0.0)
+            held = self.pairs[at] == key
+            p = p + np.where(held, self.pair_p[at], 0.0)
+        return _log10(p) - np.where(ids == len(self.words) + 1, self.outside, 0.0), np.where(held, _HELD, key)
+
+
+def _log10(p: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(p, 1e-12))
+
+
+def _cut(counts: np.ndarray, cuts: tuple[float, float, float]) -> np.ndarray:
+    return np.where(counts == 1, cuts[0], np.where(counts == 2, cuts[1], cuts[2]))
 
 
 def _ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -96,7 +115,12 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def fit(docs: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> Model:
-    """Kneser-Ney model of all texts of ``docs``; pairs beyond the bound, the rarest, are left to the back-off."""
+    """Kneser-Ney model of all texts of ``docs``, with the pairs that a worker holds."""
+    return fit_all(docs, vocabulary, pairs)[0]
+
+
+def fit_all(docs: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> tuple[Model, DataFrame | None, int]:
+    """The model; the counts of all pairs by segment, or None if the model holds them all; the number of segments."""
     segments = ngrams.segments_for(docs)
 
     def single():
@@ -121,11 +145,13 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> Mo
 
         return keys
 
-    return _model(ngrams.count_keys(docs.select("text"), segments, double), words, types, pairs)
+    counted = ngrams.count_keys(docs.select("text"), segments, double)
+    levels = ngrams.count_of_counts(counted)
+    floor = ngrams.floor_for(levels, pairs)
+    return _model(counted, levels, words, types, floor), counted if floor > 1 else None, segments
 
 
-def _model(counted: DataFrame, words: np.ndarray, types: int, pairs: int) -> Model:
-    levels = ngrams.count_of_counts(counted)
+def _model(counted: DataFrame, levels: dict[int, tuple[int, int]], words: np.ndarray, types: int, floor: int) -> Model:
     d1, d2, d3 = _discounts([levels.get(k, (0, 0))[0] for k in (1, 2, 3, 4)])
     size = len(words) + 2
 
@@ -134,7 +160,7 @@ def _model(counted: DataFrame, words: np.ndarray, types: int, pairs: int) -> Mod
             for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
                 k, c = ngrams.unpack(k), np.frombuffer(c, np.int64)
                 left, right = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                cut = np.where(c == 1, d1, np.where(c == 2, d2, d3))
+                cut = _cut(c, (d1, d2, d3))
                 ids, at = np.unique(left, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids), pa.array(np.bincount(at, c, len(ids))), pa.array(np.bincount(at, cut, len(ids))),
@@ -157,10 +183,10 @@ def _model(counted: DataFrame, words: np.ndarray, types: int, pairs: int) -> Mod
     single = (met - less) / all_met + less.sum() / all_met / (size - 1)
     if not met.sum():
         single = np.full(size, 1.0 / size)
-    keys, counts = ngrams.frequent(counted, ngrams.floor_for(levels, pairs))
+    keys, counts = ngrams.frequent(counted, floor)
     left = (keys >> np.uint64(32)).astype(np.int64)
-    kept = (counts - np.where(counts == 1, d1, np.where(counts == 2, d2, d3))) / np.maximum(total[left], 1)
-    return Model(words, keys, kept.astype(np.float32), back, single, float(np.log10(max(types, 1))))
+    kept = (counts - _cut(counts, (d1, d2, d3))) / np.maximum(total[left], 1)
+    return Model(words, keys, kept.astype(np.float32), back, single, float(np.log10(max(types, 1))), total, (d1, d2, d3))
 
 
 def _signals(text: bytes, words: list[bytes]) -> tuple[int, int, int]:
@@ -201,9 +227,13 @@ def _repeat_words(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.bincount(row[np.cumsum(marked)[:total] > 0], minlength=len(sizes))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with the rule counts and ``surprise``: -log10 of the mean word probability."""
+def score(docs: DataFrame, model: Model, keep: list[str], counted: DataFrame | None = None, segments: int = 0) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the rule counts and ``surprise``: -log10 of the mean word probability.
+
+    ``counted``: counts of all pairs, where the model does not hold them all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model.__dict__)
+    counted_too = counted is not None
 
     def run(batches):
         model = Model(**shared.value)
@@ -213,20 +243,51 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             texts = texts_of(batch)
             plain = [t.split() for t in texts]
             flat, before, sizes = _texts([t.lower().split() for t in texts], ids)
-            cost = np.concatenate(([0.0], np.cumsum(-model.log10(flat, before))))
+            logs, missing = model.looked_up(flat, before)
+            cost = np.concatenate(([0.0], np.cumsum(-logs)))
             ends = np.cumsum(sizes)
             surprise = (cost[ends] - cost[ends - sizes]) / np.maximum(sizes, 1)
             own = hashes.array([w for d in plain for w in d])
             signals = np.array([_signals(t, d) for t, d in zip(texts, plain)], np.int64).reshape(-1, 3)
+            more, names = [], []
+            if counted_too:
+                out = missing != _HELD
+                at = np.concatenate(([0], np.cumsum(out)))[np.concatenate(([0], ends))].astype(np.int32)
+                more = [batch.column("uid"), pa.ListArray.from_arrays(pa.array(at), pa.array(missing[out].view(np.int64)))]
+                names = ["uid", "asked"]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], pa.array(sizes), *[pa.array(signals[:, k].copy()) for k in range(3)],
+                [*more, *[batch.column(c) for c in keep], pa.array(sizes), *[pa.array(signals[:, k].copy()) for k in range(3)],
                  pa.array(_repeat_words(own, sizes)), pa.array(surprise)],
-                [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise"])
+                [*names, *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise"])
 
     slim = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = [f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep]
     fields += [f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return slim.mapInArrow(run, ", ".join([*fields, "surprise double"]))
+    if not counted_too:
+        return slim.mapInArrow(run, ", ".join([*fields, "surprise double"]))
+    slim = slim.withColumn("uid", F.xxhash64("text"))
+    part = stored(slim.mapInArrow(run, ", ".join(["uid long, asked array<long>", *fields, "surprise double"])))
+    more = _more(part, model, counted, segments)
+    out = part.drop("asked").join(more, "uid", "left").withColumn(
+        "surprise", F.col("surprise") - F.coalesce("gain", F.lit(0.0)) / F.greatest("n_words", F.lit(1)))
+    return out.select(*[f"`{c}`" for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise")
+
+
+def _more(part: DataFrame, model: Model, counted: DataFrame, segments: int) -> DataFrame:
+    """(uid, gain): log10 that the pairs outside the model add per text."""
+    shared = part.sparkSession.sparkContext.broadcast((model.back, model.single, model.total, model.cuts))
+
+    def answer(uids, keys, counts):
+        back, single, total, cuts = shared.value
+        left, right = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        p = back[left] * single[right]
+        gain = _log10(p + np.where(counts > 0, (counts - _cut(counts, cuts)) / np.maximum(total[left], 1), 0.0)) - _log10(p)
+        ids, at = np.unique(uids, return_inverse=True)
+        return pa.table({"uid": ids, "gain": np.bincount(at, gain, len(ids))})
+
+    copies = part.where(F.size("asked") > 0).groupBy("uid").agg(F.count(F.lit(1)).alias("copies"))
+    found = ngrams.look_up(part, counted, segments, answer, "uid long, gain double").groupBy("uid").agg(F.sum("gain").alias("gain"))
+    return found.join(copies, "uid").select("uid", (F.col("gain") / F.col("copies")).alias("gain"))
 
 
 def bands(scored: DataFrame, reach: float) -> DataFrame:
@@ -251,7 +312,8 @@ def judge(docs: DataFrame, keep: list[str], reach: float = 5.0, **bounds) -> Dat
     20 of 100 words in repeated windows. A null text has no words and fails; languages that are
     null are one language; repeated rows repeat. The language is used for the band only.
     """
-    scored = stored(score(docs, fit(docs, **bounds), list(dict.fromkeys([*keep, "lang"]))))
+    model, counted, segments = fit_all(docs, **bounds)
+    scored = stored(score(docs, model, list(dict.fromkeys([*keep, "lang"])), counted, segments))
     band = stored(bands(scored, reach))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = scored.join(band, F.col("lang").eqNullSafe(F.col("band_lang")), "left").withColumn("base_failed", failed)
