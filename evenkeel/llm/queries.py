@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, crosspolytope, langid, linededup, lm, mixing, quality, rules, simhash, tokenfile
+from evenkeel.llm import bpe, crosspolytope, langid, linededup, lm, mixing, phrases, quality, rules, simhash, tokenfile
 from evenkeel.llm.common import fold, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,11 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 ORACLE["op9_source_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -120,3 +125,29 @@ SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN rest > 0 AND size > 0 AND middle <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c
 """
+ORACLE["op12_phrase_collocations"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w, j, unnest(range(1, len(w) - j + 2)) AS i FROM w, range(1, 6) t(j)),
+f AS (
+  SELECT lang, j, array_to_string(w[i:i + j - 1], ' ') AS phrase, count(*)::BIGINT AS f
+  FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, j, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE j > 1),
+s AS (SELECT lang, j, a, w, o, unnest(range(1, j - o + 2)) AS i FROM c, range(2, 5) t(o) WHERE o < j),
+i AS (SELECT DISTINCT lang, array_to_string(w[i:i + o - 1], ' ') AS phrase, a FROM s),
+k AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a)),
+u AS (
+  SELECT lang, phrase, a, x, array_to_string(w[1:x], ' ') AS first, array_to_string(w[x + 1:j], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, j)) AS x FROM k)),
+v AS (
+  SELECT u.lang, u.phrase, u.a, x, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.first JOIN f r ON r.lang = u.lang AND r.phrase = u.rest
+  JOIN t ON t.lang = u.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, x) AS cut FROM v),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS place FROM b WHERE cut = 1)
+SELECT lang, place::INT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o WHERE place <= 2000
+"""
