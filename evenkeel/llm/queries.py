@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, crosspolytope, langid, linededup, lm, mixing, phrases, quality, rules, simhash, tokenfile
+from evenkeel.llm import bpe, crosspolytope, hardneg, langid, linededup, lm, mixing, phrases, quality, rules, simhash, tokenfile, topk
 from evenkeel.llm.common import fold, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,11 +92,23 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 ORACLE["op9_source_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -151,3 +163,31 @@ b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, x)
 o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS place FROM b WHERE cut = 1)
 SELECT lang, place::INT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o WHERE place <= 2000
 """
+
+_WHOLE = """
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT uid, vec_id, {label} AS label, x FROM v),
+s AS (
+  SELECT q.uid AS q, q.vec_id AS query_id, q.label AS query_label, c.vec_id, c.label,
+         list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+  FROM c q JOIN c ON q.uid <> c.uid AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0)"""
+
+ORACLE["op11_exact_top_k"] = _WHOLE.format(scale=1024, label="label") + """
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+ORACLE["op13_hard_negatives"] = _WHOLE.format(
+    scale=256, label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END") + """,
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS place
+                 FROM s WHERE label = query_label) WHERE place <= 5),
+n AS (
+  SELECT p.query_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.q, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.q = p.q AND s.label <> s.query_label AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT query_id AS anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
