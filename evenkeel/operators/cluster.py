@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.kernels import list_column, matrix, nearest, squared_distances
 from evenkeel.functions.numeric import euclidean
-from evenkeel.operators.passes import hold, start_rows, sum_rows
+from evenkeel.operators import seeding
+from evenkeel.operators.passes import hold, sum_rows
 from evenkeel.operators.scale import moments
 from evenkeel.operators.small import local, small
 
 #: Rows of one block in the exact silhouette.
 BLOCK_ROWS = 2048
+#: Least number of candidates that a seeding pass draws.
+DRAW = 40
 
 
 @dataclass
@@ -59,18 +62,6 @@ def lloyd_step(df: DataFrame, centers: np.ndarray, features: str = "features") -
     return mean_by(assign_nearest(df, centers, features), ["cluster"], features)
 
 
-def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    centers = [x[rng.integers(len(x))]]
-    d = squared_distances(x, np.asarray(centers)).ravel()
-    while len(centers) < k:
-        total = d.sum()
-        at = rng.integers(len(x)) if total <= 0 else min(
-            int(np.searchsorted(np.cumsum(d), rng.random() * total)), len(x) - 1)
-        centers.append(x[at])
-        d = np.minimum(d, squared_distances(x, x[at:at + 1]).ravel())
-    return np.asarray(centers)
-
-
 def _sums(x: np.ndarray, models: list[np.ndarray], width: int) -> np.ndarray:
     """Per centre of all models, one below the other: row count, inertia, vector sum."""
     out = []
@@ -93,55 +84,70 @@ def _move(sums: np.ndarray, models: list[np.ndarray]) -> list[tuple[np.ndarray,
     return out
 
 
-def _warm(x: np.ndarray, k: int, rng: np.random.Generator, max_iter: int, limit: float) -> np.ndarray:
-    centers = _plus_plus(x, k, rng)
-    for _ in range(max_iter):
-        new = _move(_sums(x, [centers], x.shape[1]), [centers])[0][0]
-        shift, centers = float(((new - centers) ** 2).sum()), new
-        if shift <= limit:
-            break
-    return centers
-
-
 def fit_kmeans(
     df: DataFrame, ks: list[int], id_col: str = "row_id", features: str = "features",
     n_init: int = 10, max_iter: int = 300, tol: float = 1e-4, seed: int = 42,
 ) -> list[Clustering]:
     """Best of ``n_init`` starts for every k in ``ks``; all models share each pass over the data.
 
-    Starts are settled on a small hashed sample first, so few passes over all rows remain;
-    those decide. A pass returns one sum per (partition, model, cluster). Stops when all centres moved less than ``tol`` times
-    the mean feature variance.
+    Seeds come from passes over all rows (``seeding``), at every size of the table. Starts are drawn
+    and settled on the weighted summary, then finished on all rows. A pass returns one sum per
+    (partition, model, cluster). Stops when all centres moved less than ``tol`` times the mean
+    feature variance.
     """
-    rows, n, partitions = hold(df.select(id_col, F.col(features).cast("array<double>").alias(features)))
+    rows, _, partitions = hold(df.select(id_col, F.col(features).cast("array<double>").alias(features)))
     try:
         row = moments(rows, [], features).first()
         limit = tol * float(np.mean(row["var"]))
         width = len(row["mean"])
-        start = np.asarray([r[features] for r in start_rows(rows, id_col, n, seed)], dtype=np.float64)
-        models = {
-            (k, s): _warm(start, k, np.random.default_rng([seed, k, s]), max_iter, limit)
-            for k in ks for s in range(n_init if k > 1 else 1)}
-        cost = {m: float("inf") for m in models}
-        moving = set(models)
-        for _ in range(max_iter):
-            if not moving:
-                break
-            names = sorted(moving)
-            sums = _all_sums(rows, [models[m] for m in names], features, width, partitions)
-            for m, (new, inertia) in zip(names, _move(sums, [models[m] for m in names])):
-                if float(((new - models[m]) ** 2).sum()) <= limit:
-                    moving.discard(m)
-                models[m], cost[m] = new, inertia
+        points = seeding.candidates(rows, id_col, features, max(DRAW, 2 * max(ks)), seed)
+        sums = _all_sums(rows, [points], features, width, partitions)
+        sums = sums[sums[:, 0] > 0]
+        weight, points = sums[:, 0], sums[:, 2:] / sums[:, :1]
+        models = {}
+        for k in ks:
+            for s in range(n_init if k > 1 else 1):
+                start = seeding.weighted_start(points, weight, k, np.random.default_rng([seed, k, s]))
+                models[k, s] = seeding.settled(points, weight, start, max_iter, limit)
+        cost = _passes(rows, models, features, width, partitions, max_iter, limit)
         out = []
         for k in ks:
-            best = min((m for m in models if m[0] == k), key=lambda m: (cost[m], m[1]))
+            # starts that end alike differ in the last digits only: the first of them counts
+            best = min((m for m in models if m[0] == k), key=lambda m: (float(f"{cost[m]:.9g}"), m[1]))
             out.append(Clustering(k, models[best], cost[best]))
         return out
     finally:
         rows.unpersist()
 
 
+def settle(df: DataFrame, starts: list[np.ndarray], features: str = "features", max_iter: int = 300,
+           tol: float = 1e-4) -> list[Clustering]:
+    """Clusterings from given centres: shared assign-and-average passes. ``cost`` is that of the last assignment."""
+    rows, _, partitions = hold(df.select(F.col(features).cast("array<double>").alias(features)))
+    try:
+        row = moments(rows, [], features).first()
+        models = {i: np.asarray(c, dtype=np.float64) for i, c in enumerate(starts)}
+        cost = _passes(rows, models, features, len(row["mean"]), partitions, max_iter, tol * float(np.mean(row["var"])))
+        return [Clustering(len(models[i]), models[i], cost[i]) for i in models]
+    finally:
+        rows.unpersist()
+
+
+def _passes(rows: DataFrame, models: dict, features: str, width: int, partitions: int, max_iter: int, limit: float) -> dict:
+    """Moves the centres of all ``models``, in place, until each has settled; their costs."""
+    cost, moving = {m: float("inf") for m in models}, set(models)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        names = sorted(moving)
+        sums = _all_sums(rows, [models[m] for m in names], features, width, partitions)
+        for m, (new, inertia) in zip(names, _move(sums, [models[m] for m in names])):
+            if float(((new - models[m]) ** 2).sum()) <= limit:
+                moving.discard(m)
+            models[m], cost[m] = new, inertia
+    return cost
+
+
 def _all_sums(rows: DataFrame, models: list[np.ndarray], features: str, width: int, partitions: int) -> np.ndarray:
     count = sum(len(m) for m in models)
 
@@ -302,7 +308,7 @@ def choose_k(
     scores = silhouettes(df, models, features)
     table = []
     for m, s in zip(models, scores):
-        low = min(size for size in m.sizes if size > 0)
+        low = min(m.sizes)
         m.silhouette = s if low >= min_cluster_rows else -1.0
         table.append({"k": m.k, "silhouette": m.silhouette, "cost": m.cost, "smallest": low})
     best = max(models, key=lambda m: (m.silhouette, -m.k))

@@ -1,4 +1,4 @@
-"""Shared passes: sums of model-sized arrays over all rows, and starting samples."""
+"""Shared passes: sums of model-sized arrays over all rows."""
 
 from __future__ import annotations
 
@@ -10,13 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.kernels import matrix
-from evenkeel.operators.rank import row_key
-from evenkeel.operators.small import bounded_rows
 
 #: Partial results (partitions x rows x width) up to this many numbers are added on the driver.
 DRIVER_NUMBERS = 4_000_000
-#: Rows an iterative fit may start from; every fit is then finished on all rows.
-START_ROWS = 2_000
 
 
 def hold(df: DataFrame, rows_per_core: int = 32) -> tuple[DataFrame, int, int]:
@@ -50,10 +46,3 @@ def sum_rows(parts: DataFrame, partitions: int, rows: int, width: int) -> np.nda
     if table.num_rows:
         np.add.at(out, table.column("at").to_numpy(), matrix(table.column("values")))
     return out
-
-
-def start_rows(df: DataFrame, id_col: str, n: int, seed: int, most: int = START_ROWS) -> list:
-    """The rows of lowest hash, ``most`` at most: where an iterative fit starts. Equal ids go by the whole row."""
-    if n > most:
-        df = df.orderBy(row_key(id_col, seed, "start"), F.xxhash64(*df.columns)).limit(most)
-    return bounded_rows(df.orderBy(id_col), most)

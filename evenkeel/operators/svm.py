@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.kernels import list_column, matrix
-from evenkeel.operators.passes import START_ROWS, hold, start_rows, sum_rows
+from evenkeel.operators.passes import hold, sum_rows
 from evenkeel.operators.scale import moments
 from evenkeel.operators.small import bounded_rows, local_frame
 
@@ -174,12 +174,6 @@ class _State:
     past: list = None
     done: bool = False
     tries: int = 0
-    reached: float = 0.0  # gradient norm at which the starting rows were solved
-
-    def restart(self) -> None:
-        """Keeps the point and the curvature found so far, forgets losses of other rows."""
-        self.reached = float(np.linalg.norm(self.g)) if self.done else 0.0
-        self.f, self.g, self.step, self.t, self.done, self.tries = np.inf, None, None, 1.0, False, 0
 
     def trial(self) -> np.ndarray:
         return self.x if self.step is None else self.x + self.t * self.step
@@ -191,9 +185,6 @@ class _State:
             self.tries += 1
             self.done = self.tries > 10
             return
-        if self.step is None and float(np.linalg.norm(g)) <= 1.05 * self.reached:
-            self.f, self.g, self.done = f, g, True  # as flat over all rows as it was on the first ones
-            return
         new = self.trial()
         if self.step is not None:
             s, y = new - self.x, g - self.g
@@ -236,29 +227,16 @@ def _descend(specs: list[Spec], states: list[_State], evaluate, passes: int, tol
 
 def fit_svms(df: DataFrame, specs: list[Spec], label: str = "label", features: str = "features",
              fold: str | None = None, size: int = 256, max_passes: int = 30, tol: float = 1e-3,
-             seed: int = 42, start: int = START_ROWS) -> list[SvmModel]:
+             seed: int = 42) -> list[SvmModel]:
     """All models at once: minimises |w|^2 / (2 C n) + mean hinge, the intercept left free.
 
-    ``start`` bounds the rows whose fit gives the starting weights; all rows decide the result.
+    Every step reads all rows, at every size of the table.
     """
-    rows, n, partitions = hold(_training_rows(df, label, features, fold))
+    rows, _, partitions = hold(_training_rows(df, label, features, fold))
     try:
         width = rows.select(F.size("x")).first()[0]
         run = _Pass(width, size, seed)
         states = [_State(np.zeros((width if s.gamma is None else size) + 1), past=[]) for s in specs]
-        # A bounded hashed sample gives the starting weights, so few passes over all rows remain.
-        first = start_rows(rows, "key", n, seed, start)
-        x = np.asarray([r["x"] for r in first], dtype=np.float64)
-        y, at = np.asarray([r["y"] for r in first]), np.asarray([r["fold"] for r in first])
-
-        mapped = {None: x}
-
-        def on_sample(live, points):
-            return _losses(run, live, points, 3 + max(len(p) for p in points), x, y, at, mapped)
-
-        _descend(specs, states, on_sample, 8 * max_passes, tol)
-        for s in states:
-            s.restart()
         _descend(specs, states, lambda live, points: _evaluate(rows, run, live, points, partitions),
                  max_passes, tol)
         return [SvmModel(s, st.x[:-1], float(st.x[-1]), 0 if s.gamma is None else size, seed)
@@ -268,10 +246,9 @@ def fit_svms(df: DataFrame, specs: list[Spec], label: str = "label", features: s
 
 
 def _training_rows(df: DataFrame, label: str, features: str, fold: str | None) -> DataFrame:
-    """y in {-1, 1}, x, fold, and a hash of the row that orders the starting sample."""
+    """y in {-1, 1}, x and fold."""
     return df.select((2 * F.col(label).cast("double") - 1).alias("y"), F.col(features).cast("array<double>").alias("x"),
-                     (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"),
-                     F.xxhash64(F.col(features)).alias("key"))
+                     (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"))
 
 
 def predict(df: DataFrame, model: SvmModel, features: str = "features") -> DataFrame:

@@ -330,6 +330,29 @@ def lloyd_step(spark, d):
     return dims(cluster.lloyd_step(v.drop("cluster"), _centers(v)), "center")
 
 
+def _lloyd_sql(steps: int) -> str:
+    """CTEs of ``steps`` assign-and-average steps from c0; a centre without rows stays."""
+    out = []
+    for i in range(steps):
+        out.append(f"""d{i} AS (SELECT d.row_id, c.cluster, sum((d.x - c.m) ** 2) AS d2 FROM dims d JOIN c{i} c USING (dim) GROUP BY ALL),
+ a{i} AS (SELECT row_id, arg_min(cluster, struct_pack(d := d2, c := cluster)) AS cluster, min(d2) AS d2 FROM d{i} GROUP BY row_id),
+ m{i} AS (SELECT a.cluster, d.dim, avg(d.x) AS m, count(*) AS n FROM a{i} a JOIN dims d USING (row_id) GROUP BY ALL),
+ c{i + 1} AS (SELECT c.cluster, c.dim, coalesce(m.m, c.m) AS m, coalesce(m.n, 0) AS n FROM c{i} c LEFT JOIN m{i} m USING (cluster, dim))""")
+    return ", ".join(out)
+
+
+@query(f"""WITH {_DIMS}, c0 AS (SELECT (row_number() OVER (PARTITION BY dim ORDER BY row_id) - 1)::INT AS cluster, dim, x AS m
+  FROM dims WHERE row_id < 5), {_lloyd_sql(3)}, cost AS (SELECT sum(d2) AS cost FROM a2)
+ SELECT cluster, dim, {q6('m')} AS value, {q6('cost')} AS cost FROM c3, cost""")
+def kmeans_fixed_start(spark, d):
+    """Three steps from the five vectors of smallest id."""
+    v = vectors(spark, d)
+    first = [r["features"] for r in v.where("row_id < 5").orderBy("row_id").limit(5).collect()]
+    found = cluster.settle(v, [first], max_iter=3, tol=0.0)[0]
+    rows = [(i, center.tolist(), found.cost) for i, center in enumerate(found.centers)]
+    return dims(local_frame(spark, rows, "cluster int, center array<double>, cost double"), "center").withColumn("cost", r6("cost"))
+
+
 @query(f"""WITH {_DIMS}, {_SIZES}, cen AS (SELECT cluster, dim, avg(x) AS m FROM dims GROUP BY ALL),
  pair AS (SELECT a.cluster, b.cluster AS other, sqrt(sum((a.m - b.m) ** 2)) AS dd FROM cen a JOIN cen b USING (dim)
   JOIN sz sb ON sb.cluster = b.cluster WHERE sb.n >= sb.nn / 10 GROUP BY ALL),

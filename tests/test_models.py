@@ -66,9 +66,22 @@ def test_fold_models_equal_separate_fits(blobs):
 def test_svm_on_repeated_rows(spark):
     df = spark.range(6000).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("label"),
                                   F.when(F.col("id") % 3 == 0, F.array(F.lit(2.0), F.lit(1.0))).otherwise(F.array(F.lit(-1.0), F.lit(0.5))).alias("features"))
-    for start in (50, 2000):
-        model = svm.fit_svms(df, [svm.Spec(1.0)], start=start)[0]
-        assert svm.predict(df, model).where("y_pred <> label").count() == 0
+    model = svm.fit_svms(df, [svm.Spec(1.0)])[0]
+    assert svm.predict(df, model).where("y_pred <> label").count() == 0
+
+
+def test_svm_reads_all_rows_at_every_size(spark):
+    """Small tables take the same passes as large ones: the same weights for any number of partitions and of copies."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3)) + np.array([[1.5, 0, 0]]) * (np.arange(200) % 2)[:, None]
+    rows = [(i, i % 2, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id long, label int, features array<double>")
+    many = df.crossJoin(spark.range(20).select(F.col("id").alias("copy"))).drop("copy")
+    one = svm.fit_svms(df.repartition(1), [svm.Spec(1.0)])[0]
+    for other in (df.repartition(7), many.repartition(5)):
+        cost = 1.0 if other is not many and other.count() == 200 else 1.0 / 20
+        model = svm.fit_svms(other, [svm.Spec(cost)])[0]
+        assert np.allclose(model.weights, one.weights, atol=1e-2) and abs(model.intercept - one.intercept) < 1e-2
 
 
 def test_grids():
