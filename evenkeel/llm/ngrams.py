@@ -91,7 +91,7 @@ def segments_for(docs: DataFrame) -> int:
     return max(LEAST_SEGMENTS, int(size) // SEGMENT_BYTES)
 
 
-def count_keys(docs: DataFrame, segments: int, reader: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
+def count_keys(docs: DataFrame, segments: int, reader: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], most: int = HELD) -> DataFrame:
     """(seg, keys, counts) with one row per segment: all keys that ``reader()`` finds in slices of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,7 @@ def count_keys(docs: DataFrame, segments: int, reader: Callable[[], Callable[[pa
             found = keys_of(batch)
             held.append(found.astype(np.uint64, copy=False))
             size += len(found)
-            if size >= HELD:
+            if size >= most:
                 yield from rows()
                 size = 0
         if size:

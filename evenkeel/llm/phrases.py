@@ -6,18 +6,20 @@ exactly one window, so ``ROLLUP`` over the window columns gives the counts of al
 lengths, and no n-grams are exploded order by order.
 
 Only counts of at least ``least`` matter, and a phrase cannot be more frequent than its words,
-pairs and triples. So a window may end early, where it meets a word, pair or triple that is too
-rare. Which ones are rare is told by bitmaps of bounded size, built from counts of hashed keys: a
-key may look frequent by chance, never rare, so the counts of frequent phrases stay exact. Words
+shorter parts. So a window may end early, where it meets a word or sequence that is too rare.
+Which ones are rare is told by bitmaps of bounded size, built from counts of hashed keys: a key
+may look frequent by chance, never rare, so the counts of frequent phrases stay exact. Words
 themselves are compared as text, not by hash.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,13 +28,17 @@ from evenkeel.llm import ngrams
 from evenkeel.llm.common import stored
 
 #: Words of one stored slice, and the most a task holds for slices of all its languages.
-SLICE_WORDS, HELD_WORDS = 2_000_000, 4_000_000
+SLICE_WORDS, HELD_WORDS = 500_000, 1_000_000
+#: Keys a task counts at once.
+HELD_KEYS = 1_500_000
+#: Window rows of one batch.
+BATCH_ROWS = 20_000
+#: Windows that a task adds up before it sends them.
+HELD_WINDOWS = 400_000
 #: Bits of a bitmap for each key it holds, and the most bits of one: 32 MB.
 BITS_PER_KEY, MOST_BITS = 16, 2**28
-#: Orders up to which rare sequences end a window.
-SIEVED = 3
-#: Phrases of up to so many words.
-LONGEST = 5
+#: Phrases of up to so many words, and the order up to which rare sequences end a window.
+LONGEST = SIEVED = 5
 #: A byte that no UTF-8 text holds stands for the end of a piece.
 _BREAK = b"\xff"
 _TABLE = bytes(255 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -50,10 +56,10 @@ class _Places(dict):
 
 
 def slices(docs: DataFrame, lang: str = "lang", text: str = "text", none: str = "und") -> DataFrame:
-    """(lang, words, counts, ids): texts of one language and task, each word once, the texts as numbers of words.
+    """(lang, words, n, size, ids): texts of one language and task, each word once, the texts as numbers of words.
 
-    ``ids`` holds unsigned 32-bit places in ``words``; 0 ends a piece. A null language is ``none``;
-    a null text has no words.
+    ``ids`` holds ``size`` unsigned 32-bit places in ``words``, compressed; 0 ends a piece. ``n`` counts the
+    words. A null language is ``none``; a null text has no words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,11 +71,10 @@ def slices(docs: DataFrame, lang: str = "lang", text: str = "text", none: str =
             size, places, ids = held.pop(name)
             total -= size
             ids = np.concatenate(ids)
-            counts = np.bincount(ids, minlength=len(places)).astype(np.int64)[1:]
             return pa.RecordBatch.from_arrays([
                 pa.array([name]), pa.array([list(places)[1:]], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                pa.array([counts], pa.list_(pa.int64())), pa.array([ids.tobytes()], pa.binary())],
-                ["lang", "words", "counts", "ids"])
+                pa.array([int((ids != 0).sum())]), pa.array([len(ids)]),
+                pa.array([pa.compress(ids, codec="zstd", asbytes=True)], pa.binary())], ["lang", "words", "n", "size", "ids"])
 
         for batch in batches:
             for name, words in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
@@ -86,17 +91,21 @@ def slices(docs: DataFrame, lang: str = "lang", text: str = "text", none: str =
             yield row(name)
 
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(none)).alias("lang"), F.col(text).alias("text"))
-    return stored(slim.mapInArrow(run, "lang string, words array<string>, counts array<long>, ids binary"))
+    return stored(slim.mapInArrow(run, "lang string, words array<string>, n long, size long, ids binary"))
 
 
 class Sieve:
-    """Bitmap over the high bits of mixed keys: True for every key put in, and for few others."""
+    """Bitmap over the high bits of mixed keys: True for every key put in, and for few others.
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.shift = bits, np.uint64(64 - (8 * len(bits)).bit_length() + 1)
+    Keys count by the bits of ``mask`` alone: a few more than a number of all words has.
+    """
+
+    def __init__(self, bits: np.ndarray, mask: int):
+        self.bits, self.mask = bits, np.uint64(mask)
+        self.shift = np.uint64(64 - (8 * len(bits)).bit_length() + 1)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = ngrams.spread(keys) >> self.shift
+        slot = ngrams.spread(keys & self.mask) >> self.shift
         return (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
@@ -137,7 +146,7 @@ def _mix(head: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _levels(row: dict, sieves: list[Sieve], order: int):
     """Keys of the sequences of ``order`` words at each place, and for each order up to it where they may be frequent."""
-    ids = np.frombuffer(row["ids"], np.uint32)
+    ids = np.frombuffer(pa.decompress(row["ids"], 4 * row["size"], codec="zstd"), np.uint32)
     base = xxhash.xxh64_intdigest(row["lang"].encode())
     keys = np.fromiter((xxhash.xxh64_intdigest(w.encode(), base) for w in row["words"]), np.uint64, len(row["words"]))
     keys = np.concatenate((np.zeros(1, np.uint64), keys))
@@ -161,8 +170,10 @@ def _levels(row: dict, sieves: list[Sieve], order: int):
 
 def _sieves(spark: SparkSession, parts: DataFrame, least: int, sieved: int):
     """Broadcast bitmaps of the words, pairs, ... up to ``sieved`` words that may occur ``least`` times in their language."""
-    found: list[np.ndarray] = []
-    segments = ngrams.segments_for(parts.select(F.col("ids").alias("text")))
+    found: list[tuple[np.ndarray, int]] = []
+    words = parts.agg(F.sum("size")).first()[0] or 0
+    mask = (1 << min(64, 5 + words.bit_length())) - 1
+    segments = max(ngrams.LEAST_SEGMENTS, 4 * words // ngrams.SEGMENT_BYTES)
     for order in range(1, sieved + 1):
         shared = spark.sparkContext.broadcast(list(found))
 
@@ -170,17 +181,17 @@ def _sieves(spark: SparkSession, parts: DataFrame, least: int, sieved: int):
             held: list[Sieve] = []
 
             def keys(batch):
-                held[:] = held or map(Sieve, shared.value)
+                held[:] = held or [Sieve(*x) for x in shared.value]
                 out = [np.zeros(0, np.uint64)]
-                for row in batch.rename_columns(["ids", "lang", "words"]).to_pylist():
+                for row in batch.rename_columns(["ids", "lang", "words", "size"]).to_pylist():
                     _, head, may = _levels(row, held, order)
-                    out.append(head[may[-1]])
+                    out.append(head[may[-1]] & np.uint64(mask))
                 return np.concatenate(out)
 
             return keys
 
-        counted = ngrams.count_keys(parts.select(F.col("ids").alias("text"), "lang", "words"), segments, reader)
-        found.append(build_sieve(counted, least))
+        counted = ngrams.count_keys(parts.select(F.col("ids").alias("text"), "lang", "words", "size"), segments, reader, HELD_KEYS)
+        found.append((build_sieve(counted, least), mask))
     return spark.sparkContext.broadcast(found)
 
 
@@ -190,12 +201,24 @@ def windows(parts: DataFrame, least: int, longest: int = LONGEST, sieved: int =
     names = [f"w{j}" for j in range(1, longest + 1)]
 
     def run(batches):
-        held = list(map(Sieve, shared.value))
+        held = [Sieve(*x) for x in shared.value]
+        total: dict[str, Counter] = defaultdict(Counter)  # most windows are the same in all slices of a task
+
+        def summed():
+            for lang, of in total.items():
+                keys, n = list(of), list(of.values())
+                of.clear()
+                for k in range(0, len(keys), BATCH_ROWS):
+                    part = keys[k : k + BATCH_ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(part)), pa.array(part, pa.string()), pa.array(n[k : k + BATCH_ROWS], pa.int64())],
+                        ["lang", "window", "n"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 ids, _, may = _levels(row, held, len(held))
-                ids = ids.astype(np.int64)
+                ids, lang = ids.astype(np.int64), row["lang"]
                 # a window grows by a word while the longest sieved sequence that ends there may be frequent
                 size = may[0].astype(np.int8)
                 for j in range(2, longest + 1):
@@ -204,27 +227,24 @@ def windows(parts: DataFrame, least: int, longest: int = LONGEST, sieved: int =
                     more = np.zeros(len(ids), bool)
                     more[: len(ok)] = ok
                     size[(size == j - 1) & more] = j
-                columns = [[] for _ in names]
-                counts = []
+                words = pa.array([None, *row["words"]], pa.string())
                 for length in range(1, longest + 1):
                     at = np.flatnonzero(size == length)
-                    if not len(at):
-                        continue
                     group = ids[at]
                     for j in range(1, length):
                         group = np.unique(group, return_inverse=True)[1] * np.int64(len(row["words"]) + 1) + ids[at + j]
                     _, first, n = np.unique(group, return_index=True, return_counts=True)
-                    counts.append(n)
-                    for j, column in enumerate(columns):
-                        column.append(ids[at[first] + j] if j < length else np.zeros(len(first), np.int64))
-                if counts:
-                    words = pa.array([None, *row["words"]], pa.string())
-                    n = np.concatenate(counts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["lang"]] * len(n)), *[words.take(pa.array(np.concatenate(c))) for c in columns], pa.array(n)],
-                        ["lang", *names, "n"])
+                    columns = [words.take(pa.array(ids[at[first] + j])) for j in range(length)]
+                    text = pc.binary_join_element_wise(*columns, " ") if length > 1 else columns[0]
+                    for window, count in zip(text.to_pylist(), n.tolist()):
+                        total[lang][window] += count
+                    if sum(map(len, total.values())) >= HELD_WINDOWS:
+                        yield from summed()
+        yield from summed()
 
-    return parts.select("lang", "words", "ids").mapInArrow(run, f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
+    found = parts.select("lang", "words", "size", "ids").mapInArrow(run, "lang string, window string, n long")
+    split = F.split("window", " ")
+    return found.select("lang", *[F.get(split, F.lit(j)).alias(c) for j, c in enumerate(names)], "n")
 
 
 def phrase_counts(parts: DataFrame, least: int, longest: int = LONGEST, sieved: int = SIEVED) -> DataFrame:
@@ -261,7 +281,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: in
     held in 38 decimal digits, so counts may have 16.
     """
     parts = slices(docs, lang, text)
-    total = parts.select("lang", F.expr("aggregate(counts, 0L, (s, x) -> s + x)").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    total = parts.groupBy("lang").agg(F.sum("n").alias("n"))
     counts = stored(phrase_counts(parts, least, longest, sieved))
     words = F.split("phrase", " ")
     found = counts.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"), words.alias("w"))
