@@ -4,7 +4,11 @@ Features are cut into at most ``max_bins`` bins at data quantiles and kept as on
 each. A pass sums class histograms of the open nodes of *all* trees; nodes that several
 trees reach by the same splits are counted once, and a tree cut at depth d is the first d
 levels of the unlimited one, so a depth grid costs a single tree. At most NODE_BATCH nodes
-are open per pass, which bounds what tasks and driver hold.
+are open per pass, which bounds what tasks hold.
+
+Histograms are summed in a shuffle and split choices made where they lie: a task has one
+(node, feature), sums compare the features, and one split per node and rule reaches the driver.
+Only passes whose partial counts are few altogether skip the shuffle.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from evenkeel.operators.small import bounded_rows, local_frame
 
 #: Nodes whose histograms one pass collects.
 NODE_BATCH = 512
-#: Histogram cells (partitions x nodes x cells) up to which the driver adds partial counts;
-#: beyond, a shuffle adds them first and at most nodes x cells numbers arrive.
+#: Histogram cells (partitions x nodes x cells) up to which the driver adds partial counts and chooses;
+#: beyond, executors do both. The splits are the same.
 DRIVER_CELLS = 16_000_000
 
 
@@ -181,8 +185,8 @@ def _bytes(col: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), width)
 
 
-def _histograms(rows: DataFrame, growth: _Growth, batch: list[int], width: int, bins: int, partitions: int) -> np.ndarray:
-    """Class counts per (node, feature, bin, class)."""
+def _histograms(rows: DataFrame, growth: _Growth, batch: list[int], width: int, bins: int) -> DataFrame:
+    """(cell, n): partial class counts; a cell is (place in ``batch``, feature, bin, class) as one number."""
     lineage = growth.lineage(batch)
     size = width * bins * 2
     offsets = np.arange(width, dtype=np.int64) * bins * 2
@@ -206,14 +210,48 @@ def _histograms(rows: DataFrame, growth: _Growth, batch: list[int], width: int,
                 [pa.array(np.concatenate(cells)), pa.array(np.concatenate([h[h > 0] for h in acc.values()]))],
                 names=["cell", "n"])
 
-    parts = rows.mapInArrow(run, "cell long, n double")
-    if partitions * len(batch) * size > DRIVER_CELLS:
-        parts = parts.groupBy("cell").agg(F.sum("n").alias("n"))
-    table = parts.toArrow()
-    out = np.zeros(len(batch) * size)
-    if table.num_rows:
-        np.add.at(out, table.column("cell").to_numpy(), table.column("n").to_numpy())
-    return out.reshape(len(batch), width, bins, 2)
+    return rows.mapInArrow(run, "cell long, n double")
+
+
+def _splits(parts: DataFrame, count: int, width: int, bins: int, partitions: int, rules_of) -> list[tuple[tuple[float, float], dict]]:
+    """Class counts and best split per rule of the first ``count`` nodes; ``rules_of(place, counts)`` names the rules."""
+    size = width * bins * 2
+    if partitions * count * size <= DRIVER_CELLS:
+        table = parts.toArrow()
+        out = np.zeros(count * size)
+        if table.num_rows:
+            np.add.at(out, table.column("cell").to_numpy(), table.column("n").to_numpy())
+        hists = out.reshape(count, width, bins, 2)
+        counts = [tuple(map(float, h[0].sum(0))) for h in hists]
+        return [(c, _choose(h, rules) if (rules := rules_of(k, c)) else {}) for k, (c, h) in enumerate(zip(counts, hists))]
+
+    def chosen(part: pa.Table) -> pa.Table:
+        cell, n = part.column("cell").to_numpy(), part.column("n").to_numpy()
+        node, feature = int(cell[0] // size), int(cell[0] % size // (bins * 2))
+        hist = np.zeros(bins * 2)
+        hist[cell % (bins * 2)] = n
+        hist = hist.reshape(1, bins, 2)
+        counts = tuple(map(float, hist[0].sum(0)))
+        found = [(node, feature, *counts, None, None, None, None)]
+        for (kind, leaf), (score, cut) in _scores(hist, rules_of(node, counts)).items():
+            found.append((node, feature, *counts, kind, leaf, score, cut))
+        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.float64(), pa.int32()]
+        names = ["node", "feature", "n0", "n1", "kind", "leaf", "score", "cut"]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=names)
+
+    cells = parts.groupBy("cell").agg(F.sum("n").alias("n"))
+    by_feature = cells.groupBy(F.floor(F.col("cell") / (bins * 2)).alias("_f")).applyInArrow(
+        chosen, "node int, feature int, n0 double, n1 double, kind string, leaf int, score double, cut int")
+    # equal scores go to the lowest feature, then the lowest cut
+    best = by_feature.groupBy("node", "kind", "leaf").agg(
+        F.min("n0").alias("n0"), F.min("n1").alias("n1"), F.min(F.struct("score", "feature", "cut")).alias("at"))
+    out: list[tuple] = [((0.0, 0.0), {}) for _ in range(count)]
+    for r in best.toArrow().to_pylist():
+        if r["kind"] is None:
+            out[r["node"]] = (r["n0"], r["n1"]), out[r["node"]][1]
+        else:
+            out[r["node"]][1][r["kind"], r["leaf"]] = (r["at"]["feature"], r["at"]["cut"])
+    return out
 
 
 def _node_impurity(counts: np.ndarray, criterion: str) -> np.ndarray:
@@ -224,8 +262,8 @@ def _node_impurity(counts: np.ndarray, criterion: str) -> np.ndarray:
     return -(p * np.log2(np.where(p > 0, p, 1.0))).sum(-1)
 
 
-def _choose(hist: np.ndarray, rules: set[tuple[str, int]]) -> dict:
-    """Best (feature, cut) per (criterion, min_leaf): largest gain, lowest feature and cut on ties."""
+def _scores(hist: np.ndarray, rules: set[tuple[str, int]]) -> dict:
+    """Per (criterion, min_leaf) that some split keeps: lowest impurity after it, rounded, and its place in features x cuts."""
     left = hist.cumsum(1)[:, :-1, :]
     total = hist[0].sum(0)
     right = total - left
@@ -235,13 +273,18 @@ def _choose(hist: np.ndarray, rules: set[tuple[str, int]]) -> dict:
         after = (nl * _node_impurity(left, criterion) + nr * _node_impurity(right, criterion)) / total.sum()
         for kind, leaf in rules:
             if kind == criterion:
-                ok = (nl >= leaf) & (nr >= leaf)
-                score = np.where(ok, after, np.inf)
-                best = np.unravel_index(np.argmin(np.round(score, 12)), score.shape)
-                out[kind, leaf] = (int(best[0]), int(best[1])) if ok[best] else None
+                score = np.round(np.where((nl >= leaf) & (nr >= leaf), after, np.inf), 12)
+                best = int(np.argmin(score))
+                if np.isfinite(score.ravel()[best]):
+                    out[kind, leaf] = (float(score.ravel()[best]), best)
     return out
 
 
+def _choose(hist: np.ndarray, rules: set[tuple[str, int]]) -> dict:
+    """Best (feature, cut) per (criterion, min_leaf): largest gain, lowest feature and cut on ties."""
+    return {rule: divmod(at, hist.shape[1] - 1) for rule, (_, at) in _scores(hist, rules).items()}
+
+
 def fit_trees(df: DataFrame, specs: list[TreeSpec], label: str = "label", features: str = "features",
               fold: str | None = None, max_bins: int = 64) -> list[Tree]:
     """All trees together. ``min_split``, ``min_leaf`` and unlimited depth hold exactly."""
@@ -261,13 +304,15 @@ def fit_trees(df: DataFrame, specs: list[TreeSpec], label: str = "label", featur
             level = sorted(users)
             for s in range(0, len(level), NODE_BATCH):
                 batch = level[s:s + NODE_BATCH]
-                for node, hist in zip(batch, _histograms(rows, growth, batch, width, bins, partitions)):
-                    counts = hist[0].sum(0)
-                    growth.nodes[node].counts = (float(counts[0]), float(counts[1]))
-                    rules = {(specs[t].criterion, specs[t].min_leaf) for t in users[node]
-                             if counts.min() > 0 and counts.sum() >= specs[t].min_split
-                             and (specs[t].max_depth is None or depth < specs[t].max_depth)}
-                    growth.nodes[node].best = _choose(hist, rules) if rules else {}
+                wants = [{(specs[t].criterion, specs[t].min_leaf, specs[t].min_split) for t in users[node]
+                          if specs[t].max_depth is None or depth < specs[t].max_depth} for node in batch]
+
+                def rules_of(k, counts, wants=wants):
+                    return {(c, leaf) for c, leaf, split in wants[k] if min(counts) > 0 and sum(counts) >= split}
+
+                parts = _histograms(rows, growth, batch, width, bins)
+                for node, (counts, best) in zip(batch, _splits(parts, len(batch), width, bins, partitions, rules_of)):
+                    growth.nodes[node].counts, growth.nodes[node].best = counts, best
             for t, nodes in enumerate(growth.open):
                 nxt, spec = set(), specs[t]
                 for i in nodes:
@@ -343,6 +388,18 @@ def recalls(df: DataFrame, trees: list[Tree], depths: list[int | None], label: s
     return [{d: float(row[j] / row[-1]) if row[-1] else 0.0 for j, d in enumerate(depths)} for row in sums]
 
 
+def paths(spark, tree: Tree) -> DataFrame:
+    """path, feature, threshold, n0, n1 per node: ``path`` has an L or R a step from the root; leaves have no feature."""
+    rows, todo = [], [(0, "")]
+    while todo:
+        i, path = todo.pop()
+        inner = tree.left[i] != i
+        rows.append((path, int(tree.feature[i]) if inner else None, float(tree.threshold[i]) if inner else None,
+                     int(tree.counts[i, 0]), int(tree.counts[i, 1])))
+        todo += [(int(tree.left[i]), path + "L"), (int(tree.right[i]), path + "R")] if inner else []
+    return local_frame(spark, rows, "path string, feature int, threshold double, n0 long, n1 long")
+
+
 def to_frame(spark, tree: Tree) -> DataFrame:
     """The nodes of a tree as a table: what a fitted tree is stored as."""
     return local_frame(

@@ -849,6 +849,34 @@ def split_impurity(spark, d):
     return out.select("feature", "threshold", r6("gini_gain").alias("gini_gain"))
 
 
+_SPLIT = f"round_even((nl * {_gini('pl', 'nl')} + (n - nl) * {_gini('(p - pl)', '(n - nl)')}) / n::DOUBLE * 1e12, 0)"
+
+
+def _level_sql(name: str, rows: str, by: str) -> str:
+    """CTEs: candidate sums of the nodes ``by`` in ``rows`` (row_id, path) and their best split, lowest feature and cut on ties."""
+    return f"""s{name} AS (SELECT path, c.dim, c.t, count(*) AS n, sum(label) AS p, count(*) FILTER (x <= t) AS nl,
+  coalesce(sum(label) FILTER (x <= t), 0) AS pl FROM {rows} JOIN dims USING (row_id) JOIN c USING (dim) GROUP BY ALL),
+ b{name} AS (SELECT path, dim, t FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY {_SPLIT}, dim, t) AS place
+  FROM s{name} WHERE nl > 0 AND nl < n AND p > 0 AND p < n AND length(path) = {by}) WHERE place = 1),
+ a{name} AS (SELECT row_id, path || CASE WHEN x <= t THEN 'L' ELSE 'R' END AS path
+  FROM {rows} JOIN b{name} USING (path) JOIN dims USING (row_id, dim))"""
+
+
+_EIGHTHS = ", ".join(str(i / 8) for i in range(1, 8))
+
+
+@query(f"""WITH {_DIMS}, c AS (SELECT DISTINCT dim, unnest(q) AS t FROM (SELECT dim, quantile_disc(x, [{_EIGHTHS}]) AS q FROM dims GROUP BY dim)),
+ a AS (SELECT row_id, '' AS path FROM emb), {_level_sql('1', 'a', '0')}, {_level_sql('2', 'a1', '1')},
+ every AS (SELECT * FROM a UNION ALL SELECT * FROM a1 UNION ALL SELECT * FROM a2), cut AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2)
+ SELECT path, any_value(cut.dim)::INT AS feature, any_value(cut.t) AS threshold, count(*) FILTER (label = 0) AS n0,
+  count(*) FILTER (label = 1) AS n1 FROM every JOIN emb USING (row_id) LEFT JOIN cut USING (path) GROUP BY path""")
+def tree_two_levels(spark, d):
+    """Root, its children and theirs, of a tree over eighths of each feature."""
+    from evenkeel.operators import trees
+
+    return trees.paths(spark, trees.fit_trees(vectors(spark, d), [trees.TreeSpec(max_depth=2)], max_bins=8)[0])
+
+
 _W = "sqrt(-2 * ln(greatest({u1}, 1 / 8589934592.0::DOUBLE))) * cos(2 * pi() * greatest({u2}, 1 / 8589934592.0::DOUBLE))".format(
     u1=_U32.format("md5('42|rff|' || j || '|' || i || '|1')"), u2=_U32.format("md5('42|rff|' || j || '|' || i || '|2')"))
 

@@ -141,6 +141,24 @@ def test_shared_trees_equal_trees_grown_alone(spark):
         walk(brute_tree(x[keep], y[keep], spec), 0)
 
 
+def test_executors_choose_the_same_splits(spark, monkeypatch):
+    """Splits chosen by (node, feature) in a shuffle equal those of one place, ties included, for any partitions."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, (120, 3)).astype(float)
+    x[:, 2] = x[:, 1]  # equal gains: the lower feature counts
+    y = ((x[:, 0] + x[:, 1] > 3) ^ (rng.random(120) < 0.2)).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist(), i % 2) for i in range(120)],
+                               "row_id long, label int, features array<double>, fold int")
+    specs = [trees.TreeSpec("gini", 2, 1, None, 3), trees.TreeSpec("entropy", 12, 5, 1, None), trees.TreeSpec("gini", 2, 70)]
+    want = trees.fit_trees(df.repartition(4), specs, fold="fold")
+    assert len(want[2].left) == 1 and len(want[0].left) > 3
+    monkeypatch.setattr(trees, "DRIVER_CELLS", 0)
+    for parts in (1, 4, 64):
+        for a, b in zip(want, trees.fit_trees(df.repartition(parts), specs, fold="fold")):
+            for name in ("feature", "threshold", "left", "right", "counts"):
+                assert np.array_equal(getattr(a, name), getattr(b, name))
+
+
 def test_depth_grid_comes_from_one_tree(blobs):
     df, _, _ = blobs
     full = trees.fit_trees(df, [trees.TreeSpec()])[0]
