@@ -162,22 +162,29 @@ def near_duplicates(table: DataFrame, cosine: float = 0.93, **settings) -> DataF
 
     Vectors link if their labels are equal and their cosine is at least ``cosine``. Rows without
     a label, and vectors that are null, zero or hold null or non-finite values, link with nothing.
-    Equal vectors always link. Every row is indexed; ``settings`` are those of ``links``.
+    Equal vectors always link. Every row is indexed; ``settings`` are those of ``links``. Rows that share
+    an id are rows of their own, each kept if its component has no smaller id; a null id is the largest,
+    and a component of null ids alone has a null id.
     """
-    ids = table.select(F.col("vec_id").alias("id"))
+    ids = table.select(F.col("vec_id").alias("id"), "label", "embedding")
     good = stored(vectors(table))
-    groups = stored(good.groupBy("label", "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
+    groups = good.groupBy("label", "vec").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # a vector's number is its own, whatever ids its rows have
+    groups = stored(groups.withColumn("node", F.monotonically_increasing_id()))
     pairs = stored(links(groups.select(F.col("node").alias("id"), "label", "vec"), cosine, **settings))
     roots = components(pairs)
     weight = groups.select("node", "copies")
     far = pairs.join(weight, pairs["a"] == weight["node"]).select(F.col("b").alias("node"), "copies").union(
         pairs.join(weight, pairs["b"] == weight["node"]).select(F.col("a").alias("node"), "copies"))
     far = far.groupBy("node").agg(F.sum("copies").alias("others"))
-    nodes = groups.join(far, "node", "left").join(roots, "node", "left").select(
-        "label", "vec", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-        F.coalesce("root", "node").alias("component_id"))
-    placed = good.join(stored(nodes), ["label", "vec"]).select("id", "n_links", "component_id")
-    out = ids.join(placed, "id", "left")
-    return out.select(
-        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    placed = stored(groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("vec", "label"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    nodes = placed.join(least, "root").join(far, "node", "left").select(
+        "node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), "component_id")
+    nodes = stored(groups.select("node", "label", "vec").join(nodes, "node").drop("node"))
+    vec = F.col("embedding").cast("array<double>")
+    out = ids.select("id", F.col("label").alias("l"), vec.alias("v")).join(
+        nodes, (F.col("l") == F.col("label")) & (F.col("v") == F.col("vec")), "left")
+    out = out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                     F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

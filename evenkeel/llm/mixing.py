@@ -59,13 +59,15 @@ def mix(docs: DataFrame, seed: int = 42, share: float = 1.5, max_epochs: int = 2
     """Columns of ``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``.
 
     ``mix_copies`` is how often the mix repeats the document: 0 to ``max_epochs``. Null sources
-    form one source; a null text has size 0; rows that repeat an id and text may swap places but
-    not change the sum. Other columns pass through under any name; columns of the four new names are replaced.
+    form one source; a null text has size 0. Rows without an id are ordered by their text; rows that share
+    an id by size, then text; rows that share both are counted, so that the cut may fall between them, and
+    may swap places. Other columns pass through under any name; columns of the four new names are replaced.
     The words a source takes miss its target by less than its largest document at the cut.
     """
     docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    key = hash_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.select(F.struct("*").alias("row"), F.col("source"), word_count(F.col("text")).alias("size"), key.alias("key"))
+    tie = F.xxhash64("doc_id", "text")
+    key = hash_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id "), tie.cast("string"))))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source"), word_count(F.col("text")).alias("size"), key.alias("key"), tie.alias("tie"))
     rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     slim = rows.drop("row")
     buckets = stored(slim.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
@@ -81,16 +83,27 @@ def mix(docs: DataFrame, seed: int = 42, share: float = 1.5, max_epochs: int = 2
     goal = _planned(goal.select(F.col("source").alias("s"), "source_size", "target", "whole", "cut"))
     same = F.col("source").eqNullSafe(F.col("s"))
     inside = slim.join(goal, same & (F.col("bucket") == F.col("cut.bucket")))
-    running = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy("source", "bucket").orderBy("key", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("upto", F.col("cut.before") + F.sum("size").over(running))
-    # a document is taken while its middle lies below the cut
-    last = inside.where(F.col("upto") - F.col("size") / 2 <= F.col("cut.rest")).groupBy(F.col("source").alias("l")).agg(F.max("key").alias("last"))
+    # a document is taken while its middle lies below the cut; rows that are alike are taken in number
+    taken = (F.col("upto") - F.col("size") / 2 <= F.col("cut.rest")).cast("int")
+    alike = inside.groupBy(F.col("source").alias("l"), "key", "size", "tie").agg(F.sum(taken).alias("n"), F.count(F.lit(1)).alias("of"))
+    last = alike.where("n > 0").groupBy("l").agg(F.max(F.struct("key", "size", "tie", "n", "of")).alias("last"))
     goal = _planned(goal.join(last, F.col("s").eqNullSafe(F.col("l")), "left").drop("l"))
+    place = F.struct("key", "size", "tie")
+    edge = F.struct("last.key", "last.size", "last.tie")
+    upto_edge = F.coalesce(place <= edge, F.lit(False))
     extra = F.when(F.col("cut").isNull(), 0).when(F.col("bucket") < F.col("cut.bucket"), 1).when(
-        (F.col("bucket") == F.col("cut.bucket")) & (F.col("key") <= F.col("last")), 1).otherwise(0)
-    return rows.join(goal, same).select(
+        (F.col("bucket") == F.col("cut.bucket")) & upto_edge, 1).otherwise(0)
+    out = rows.join(goal, same).withColumn("extra", extra)
+    if not goal.where("last.n < last.of").isEmpty():  # the cut falls between rows that are alike: only these are numbered
+        at_edge = F.coalesce((F.col("bucket") == F.col("cut.bucket")) & (place == edge) & (F.col("last.n") < F.col("last.of")), F.lit(False))
+        number = F.row_number().over(Window.partitionBy("source", "key", "size", "tie").orderBy("tie"))
+        cut = out.where(at_edge).withColumn("number", number).withColumn("extra", (F.col("number") <= F.col("last.n")).cast("int")).drop("number")
+        out = out.where(~at_edge).unionByName(cut)
+    return out.select(
         "row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"), (F.col("whole") + extra).cast("int").alias("mix_copies"))
+        F.col("target").alias("mix_target"), (F.col("whole") + F.col("extra")).cast("int").alias("mix_copies"))
 
 
 def _planned(goal: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.llm import ngrams
 from evenkeel.llm.common import sliced, stored, texts_of
@@ -261,12 +262,14 @@ def score(docs: DataFrame, model: Model, keep: list[str], counted: DataFrame | N
                 [*names, *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise"])
 
     slim = docs.select(*dict.fromkeys([*keep, "text"]))
-    fields = [f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep]
-    fields += [f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    fields = [T.StructField(c, slim.schema[c].dataType) for c in keep]
+    fields += [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    fields.append(T.StructField("surprise", T.DoubleType()))
     if not counted_too:
-        return slim.mapInArrow(run, ", ".join([*fields, "surprise double"]))
+        return slim.mapInArrow(run, T.StructType(fields))
     slim = slim.withColumn("uid", F.xxhash64("text"))
-    part = stored(slim.mapInArrow(run, ", ".join(["uid long, asked array<long>", *fields, "surprise double"])))
+    asked = [T.StructField("uid", T.LongType()), T.StructField("asked", T.ArrayType(T.LongType()))]
+    part = stored(slim.mapInArrow(run, T.StructType([*asked, *fields])))
     more = _more(part, model, counted, segments)
     out = part.drop("asked").join(more, "uid", "left").withColumn(
         "surprise", F.col("surprise") - F.coalesce("gain", F.lit(0.0)) / F.greatest("n_words", F.lit(1)))

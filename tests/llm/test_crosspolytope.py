@@ -50,6 +50,15 @@ def test_odd_rows(spark):
     assert C.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_rows_that_share_an_id(spark):
+    """One row out per row in; a component's id is the smallest of all its rows."""
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.99, 0.1, 0.0, 0.0]
+    rows = [(1, a, 1), (1, a, 1), (3, a, 1), (3, b, 1), (2, c, 1), (None, b, 1), (None, None, 1), (7, a, None), (7, [0.0] * 4, 1)]
+    got = sorted(map(tuple, C.near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (3, 3, 1, False), (3, 1, 3, True), (2, 3, 1, False), (None, 1, 3, False),
+                          (None, 0, None, True), (7, 0, 7, True), (7, 0, 7, True)], key=str)
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(C.hadamard(x), axis=1), np.linalg.norm(x, axis=1))

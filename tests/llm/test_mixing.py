@@ -56,3 +56,19 @@ def test_sql_gives_the_same(spark, sf):
     got = queries.QUERIES["op9_source_mixing"](spark, sf).select(*names).collect()
     rounded = lambda rows: sorted((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in rows)
     assert rounded(got) == rounded(res.fetchall())
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """The cut may fall between rows of one id, of none, and between rows that are alike."""
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(7, text(5), "x", i) for i in range(100)]
+    rows += [(None, text(1 + i % 9), "y", i) for i in range(90)]
+    rows += [(8, text(1 + i % 4), "z", i) for i in range(60)]
+    rows += [(i, text(50), None, i) for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
+    found = mixing.mix(docs).collect()
+    assert sorted((r.doc_id or 0, r.text, r.source or "", r.n) for r in found) == sorted((d or 0, t, s or "", n) for d, t, s, n in rows)
+    for source in ("x", "y", "z", None):
+        mine = [r for r in found if r.source == source]
+        assert abs(sum(r.mix_size * r.mix_copies for r in mine) - mine[0].mix_target) <= max(r.mix_size for r in mine)
+        assert all(0 <= r.mix_copies <= 2 for r in mine)

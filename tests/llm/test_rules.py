@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 from brute import WORDS
+from pyspark.sql import functions as F
 
 from evenkeel.llm import ngrams, queries, rules
 
@@ -68,3 +69,12 @@ def test_odd_rows(spark):
 def test_segments_are_even():
     seg = ngrams.segment_of(np.arange(100_000, dtype=np.uint64), 64)
     assert np.bincount(seg, minlength=64).max() < 3 * 100_000 / 64
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, f"word{i} " * 12, 1) for i in range(5)] + [(5, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `my col` int").withColumn("lang", F.lit("en"))
+    packed = docs.select(F.struct("*").alias("row"), "text", "lang")
+    got = rules.judge(packed, ["row"]).select("row.*")
+    assert got.columns == docs.columns and got.count() == 6
+    assert rules.judge(docs, ["doc_id", "my col"]).columns[:2] == ["doc_id", "my col"]
