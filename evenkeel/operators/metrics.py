@@ -119,7 +119,7 @@ def _range_of(score: Column) -> Column:
 
 
 def _cumulative(pred: DataFrame, keys: list[str], label: str, score: str, ranges: int | None) -> DataFrame:
-    """_k, score, pos, neg and tp, fp: positives and negatives at or above each score.
+    """_k, score, pos, neg and tp, fp: positives and negatives at or above each score; ``next``: pos and neg of the next lower score.
 
     A key with more rows than one task should sort is cut into score ranges; each range is
     one window partition, and the totals of the ranges above are added to it. The offsets
@@ -130,20 +130,26 @@ def _cumulative(pred: DataFrame, keys: list[str], label: str, score: str, ranges
     if cuts is None:
         w = Window.partitionBy("_k").orderBy(F.desc("score")).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
-        return counts.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+        after = F.lead(F.struct("pos", "neg")).over(Window.partitionBy("_k").orderBy(F.desc("score")))
+        return counts.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), after.alias("next"))
     parts = counts.alias("l").join(cuts.alias("r"), F.col("l._k") == F.col("r._k"), "left").select(
         F.struct("l._k", _range_of(F.col("l.score")).alias("part")).alias("_p"), "l.score", "l.pos", "l.neg")
-    totals = parts.groupBy("_p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # the first point of a range is carried to the end of the range above
+    totals = parts.groupBy("_p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+                                     F.max_by(F.struct("pos", "neg"), "score").alias("first"))
     above = Window.partitionBy("_p._k").orderBy(F.desc("_p.part")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_p", F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("p0"),
-        F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("n0"))
+        F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("n0"),
+        F.lead("first").over(Window.partitionBy("_p._k").orderBy(F.desc("_p.part"))).alias("carried"))
     w = Window.partitionBy("_p").orderBy(F.desc("score")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    running = parts.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    after = F.lead(F.struct("pos", "neg")).over(Window.partitionBy("_p").orderBy(F.desc("score")))
+    running = parts.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), after.alias("next"))
     return running.join(offsets, "_p").select(
         F.col("_p._k").alias("_k"), "score", "pos", "neg",
-        (F.col("tp") + F.col("p0")).alias("tp"), (F.col("fp") + F.col("n0")).alias("fp"))
+        (F.col("tp") + F.col("p0")).alias("tp"), (F.col("fp") + F.col("n0")).alias("fp"),
+        F.coalesce("next", "carried").alias("next"))
 
 
 def _with_totals(curve: DataFrame, counts: DataFrame) -> DataFrame:
@@ -155,9 +161,13 @@ def _unkey(keys: list[str]) -> list[Column]:
     return [F.col("_k").getField(c).alias(c) for c in keys]
 
 
-def _curve(pred, keys, label, score, ranges, x: str, y: str, start: tuple[float, float]) -> DataFrame:
+def _curve(pred, keys, label, score, ranges, x: str, y: str, start: tuple[float, float], thin: bool = False) -> DataFrame:
     counts = score_counts(pred, keys, label, score)
     points = _with_totals(_cumulative(pred, keys, label, score, ranges), counts)
+    if thin:  # inner points whose step is that of the next one lie on a line between their neighbours
+        first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+        bends = (F.col("next.pos") != F.col("pos")) | (F.col("next.neg") != F.col("neg"))
+        points = points.where(first | F.col("next").isNull() | bends)
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     value = {"fpr": F.try_divide(fp, F.col("_N").cast("double")), "tpr": F.try_divide(tp, F.col("_P").cast("double")),
              "recall": F.try_divide(tp, F.col("_P").cast("double")), "precision": safe_divide(tp, tp + fp)}
@@ -168,9 +178,13 @@ def _curve(pred, keys, label, score, ranges, x: str, y: str, start: tuple[float,
     return out.unionByName(first)
 
 
-def roc_curve(pred: DataFrame, keys: list[str], label="y_true", score="score", ranges=None) -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score; the origin has a NULL threshold."""
-    return _curve(pred, keys, label, score, ranges, "fpr", "tpr", (0.0, 0.0))
+def roc_curve(pred: DataFrame, keys: list[str], label="y_true", score="score", ranges=None, thin: bool = False) -> DataFrame:
+    """(threshold, fpr, tpr) per distinct score; the origin has a NULL threshold.
+
+    ``thin`` leaves out inner points that repeat the step before the next one: the area stays the same. The
+    first and the last score stay. Exact whether or not a key is cut into score ranges.
+    """
+    return _curve(pred, keys, label, score, ranges, "fpr", "tpr", (0.0, 0.0), thin)
 
 
 def pr_curve(pred: DataFrame, keys: list[str], label="y_true", score="score", ranges=None) -> DataFrame:

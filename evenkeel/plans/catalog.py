@@ -635,6 +635,15 @@ def roc_curve(spark, d):
     return out.select(*KEYS, "threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
 
 
+@query(f"""WITH {_POINTS}, seq AS (SELECT *, lag(score) OVER s AS up, lead(pos) OVER s AS pos2, lead(neg) OVER s AS neg2 FROM cum
+  WINDOW s AS (PARTITION BY {_K} ORDER BY score DESC))
+ SELECT {_K}, score AS threshold, {q6('fp / nn')} AS fpr, {q6('tp / np')} AS tpr FROM seq
+ WHERE up IS NULL OR pos2 IS NULL OR pos2 <> pos OR neg2 <> neg UNION ALL SELECT DISTINCT {_K}, NULL, 0.0, 0.0 FROM cum""")
+def roc_curve_thin(spark, d):
+    out = metrics.roc_curve(scored(spark, d), KEYS, ranges=4, thin=True)
+    return out.select(*KEYS, "threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
 @query(f"WITH {_POINTS} SELECT {_K}, score AS threshold, {q6('tp / (tp + fp)')} AS precision, {q6('tp / np')} AS recall FROM cum UNION ALL SELECT DISTINCT {_K}, NULL, 1.0, 0.0 FROM cum")
 def pr_curve(spark, d):
     out = metrics.pr_curve(scored(spark, d), KEYS)

@@ -145,3 +145,32 @@ def test_many_copies_of_one_base_are_cut_in_runs(spark):
     per = {r["row_id"]: (r["n"], r["low"], r["high"]) for r in bases.groupBy("row_id").agg(
         F.countDistinct("copy").alias("n"), F.min("copy").alias("low"), F.max("copy").alias("high")).collect()}
     assert sorted(per.values()) == [(100_000, 1, 100_000), (100_001, 1, 100_001)]
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 3, 40])
+def test_thin_roc_curve(spark, ranges):
+    """Only inner points on a line go; cut into score ranges or not, the same points and the same area."""
+    rng = np.random.default_rng(11)
+    rows = [("a", int(rng.random() < 0.3), float(rng.integers(0, 60))) for _ in range(400)]
+    rows += [("b", 1, float(i)) for i in range(20)] + [("b", 0, float(i)) for i in range(20)] + [("c", 1, 0.5), ("d", 0, 0.1), ("d", 1, 0.2)]
+    df = spark.createDataFrame(rows, "g string, y_true int, score double").repartition(3)
+    got = {}
+    for r in metrics.roc_curve(df, ["g"], ranges=ranges, thin=True).collect():
+        got.setdefault(r["g"], []).append((r["threshold"], r["fpr"], r["tpr"]))
+    for g in "abcd":
+        own = [(y, s) for h, y, s in rows if h == g]
+        scores = sorted({s for _, s in own}, reverse=True)
+        tps = np.cumsum([sum(y for y, t in own if t == s) for s in scores])
+        fps = np.cumsum([sum(1 - y for y, t in own if t == s) for s in scores])
+        keep = np.ones(len(scores), bool)
+        if len(scores) > 2:
+            keep[1:-1] = (np.diff(fps, 2) != 0) | (np.diff(tps, 2) != 0)
+        share = lambda x: None if not x[-1] else x
+        want = [(s, None if share(fps) is None else fps[i] / fps[-1], None if share(tps) is None else tps[i] / tps[-1])
+                for i, s in enumerate(scores) if keep[i]]
+        assert sorted((p for p in got[g] if p[0] is not None), reverse=True) == want
+        assert [p[1:] for p in got[g] if p[0] is None] == [(0.0, 0.0)]
+    line = sorted((p[1], p[2]) for p in got["a"])
+    area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(line, line[1:]))
+    full = metrics.area_under_curves(df.where("g = 'a'"), ["g"]).first()["roc_auc"]
+    assert area == pytest.approx(full) and len(got["b"]) == 3
