@@ -20,8 +20,8 @@ from evenkeel.operators.small import local, small
 
 #: Rows of one block in the exact silhouette.
 BLOCK_ROWS = 2048
-#: Least number of candidates that a seeding pass draws.
-DRAW = 40
+#: Least number of candidates that a seeding pass draws, and starts of each k that are finished on all rows.
+DRAW, FINISHED = 40, 3
 
 
 @dataclass
@@ -90,9 +90,9 @@ def fit_kmeans(
 ) -> list[Clustering]:
     """Best of ``n_init`` starts for every k in ``ks``; all models share each pass over the data.
 
-    Seeds come from passes over all rows (``seeding``), at every size of the table. Starts are drawn
-    and settled on the weighted summary, then finished on all rows. A pass returns one sum per
-    (partition, model, cluster). Stops when all centres moved less than ``tol`` times the mean
+    Seeds come from passes over all rows (``seeding``), at every size of the table. All starts are drawn
+    and settled on the weighted summary; the ``FINISHED`` best of each k there are finished on all rows,
+    whose cost decides. A pass returns one sum per (partition, model, cluster). Stops when all centres moved less than ``tol`` times the mean
     feature variance.
     """
     rows, _, partitions = hold(df.select(id_col, F.col(features).cast("array<double>").alias(features)))
@@ -106,9 +106,13 @@ def fit_kmeans(
         weight, points = sums[:, 0], sums[:, 2:] / sums[:, :1]
         models = {}
         for k in ks:
+            tried = []
             for s in range(n_init if k > 1 else 1):
                 start = seeding.weighted_start(points, weight, k, np.random.default_rng([seed, k, s]))
-                models[k, s] = seeding.settled(points, weight, start, max_iter, limit)
+                centers = seeding.settled(points, weight, start, max_iter, limit)
+                tried.append((float(f"{weight @ nearest(points, centers)[1]:.9g}"), s, centers))
+            for _, s, centers in sorted(tried, key=lambda t: t[:2])[:FINISHED]:
+                models[k, s] = centers
         cost = _passes(rows, models, features, width, partitions, max_iter, limit)
         out = []
         for k in ks:
