@@ -26,6 +26,9 @@ LEAST_SEGMENTS = 64
 HELD = 2_500_000
 #: Words a task remembers by their bytes.
 MEMORY = 200_000
+#: Counts up to here are levels of their own; bins of a range of counts.
+LEVELS = 64
+BINS = 256
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "seg int, keys binary, counts binary"
 
@@ -159,7 +162,7 @@ def count_of_counts(packed: DataFrame) -> dict[int, tuple[int, int]]:
 
 
 def _level(c: np.ndarray) -> np.ndarray:
-    return np.where(c <= 64, c, np.int64(1) << np.floor(np.log2(np.maximum(c, 1))).astype(np.int64))
+    return np.where(c <= LEVELS, c, np.int64(1) << np.floor(np.log2(np.maximum(c, 1))).astype(np.int64))
 
 
 def floor_for(levels: dict[int, tuple[int, int]], most: int, weight=lambda level: 1) -> int:
@@ -173,15 +176,20 @@ def floor_for(levels: dict[int, tuple[int, int]], most: int, weight=lambda level
     return 1
 
 
-def frequent(packed: DataFrame, floor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys with at least ``floor`` counts, on the driver; the caller picked a floor that bounds them."""
+def frequent(packed: DataFrame, floor: int, upto: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with at least ``floor`` counts, on the driver; the caller picked a floor that bounds them.
+
+    Keys up to ``upto`` need one count less.
+    """
 
     def run(batches):
         for batch in batches:
             for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                c = np.frombuffer(c, np.int64)
+                k, c = unpack(k), np.frombuffer(c, np.int64)
                 keep = c >= floor
-                yield pa.RecordBatch.from_arrays([pa.array([pack(unpack(k)[keep])], pa.binary()),
+                if upto is not None:
+                    keep |= (c == floor - 1) & (k <= np.uint64(upto))
+                yield pa.RecordBatch.from_arrays([pa.array([pack(k[keep])], pa.binary()),
                                                   pa.array([c[keep].tobytes()], pa.binary())], ["keys", "counts"])
 
     keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -191,6 +199,48 @@ def frequent(packed: DataFrame, floor: int) -> tuple[np.ndarray, np.ndarray]:
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
+def _in_range(packed: DataFrame, low: int, high: int, width: int) -> dict[int, int]:
+    """{lowest count of a bin: keys} for counts from ``low`` to below ``high``, in bins of ``width``."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("counts").to_pylist():
+                c = np.frombuffer(data, np.int64)
+                found, n = np.unique((c[(c >= low) & (c < high)] - low) // width, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(low + found * width), pa.array(n.astype(np.int64))], ["bin", "n"])
+
+    rows = packed.select("counts").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    return {r.bin: r.n for r in rows}
+
+
+def most_frequent(packed: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exactly the ``most`` keys of the highest counts, sorted by key; equal counts go by key, which is a hash.
+
+    Ranges of counts are narrowed to the one count at which the number is passed, and that count
+    to a range of keys, so about ``most`` keys reach the driver however many share a count.
+    """
+    bins, width, above = {level: n for level, (n, _) in count_of_counts(packed).items()}, 0, 0
+    while True:
+        for low in sorted(bins, reverse=True):
+            if above + bins[low] > most:
+                break
+            above += bins[low]
+        else:
+            return frequent(packed, 1)
+        high = min(low + width, high) if width else low + 1 if low < LEVELS else 2 * low
+        if high - low == 1:
+            break
+        width = -(-(high - low) // BINS)
+        bins = _in_range(packed, low, high, width)
+    share = (most - above + 64) / bins[low]
+    while True:
+        keys, counts = frequent(packed, low + 1, min(int(share * 2.0**64), 2**64 - 1))
+        if len(keys) >= most:
+            keep = np.sort(np.lexsort((keys, -counts))[:most])
+            return keys[keep], counts[keep]
+        share *= 2
+
+
 def look_up(asked: DataFrame, packed: DataFrame, segments: int, answer: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """Rows of ``answer(uids, keys, counts)`` per segment, for ``asked`` (uid long, asked array<long>); a key not in ``packed`` counts 0.
 

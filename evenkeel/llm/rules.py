@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from evenkeel.llm import ngrams
 from evenkeel.llm.common import sliced, stored, texts_of
 
-#: Words of the vocabulary, and pairs that a worker holds at most: 12 MB a million pairs.
+#: Words of the vocabulary, and pairs that a worker holds at most: 16 MB a million pairs.
 VOCABULARY = 32_768
 PAIRS = 3_000_000
 #: Documents with fewer words have no verdict by perplexity.
@@ -130,10 +130,7 @@ def fit_all(docs: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -
 
     counted = ngrams.count_keys(docs.select("text"), segments, single)
     levels = ngrams.count_of_counts(counted)
-    words, counts = ngrams.frequent(counted, ngrams.floor_for(levels, 8 * vocabulary))
-    if len(words) > vocabulary:  # most frequent first, equal counts by hash
-        keep = np.lexsort((words, -counts))[:vocabulary]
-        words = np.sort(words[keep])
+    words, _ = ngrams.most_frequent(counted, vocabulary)
     types = sum(n for n, _ in levels.values()) - len(words)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -187,7 +184,7 @@ def _model(counted: DataFrame, levels: dict[int, tuple[int, int]], words: np.nda
     keys, counts = ngrams.frequent(counted, floor)
     left = (keys >> np.uint64(32)).astype(np.int64)
     kept = (counts - _cut(counts, (d1, d2, d3))) / np.maximum(total[left], 1)
-    return Model(words, keys, kept.astype(np.float32), back, single, float(np.log10(max(types, 1))), total, (d1, d2, d3))
+    return Model(words, keys, kept, back, single, float(np.log10(max(types, 1))), total, (d1, d2, d3))
 
 
 def _signals(text: bytes, words: list[bytes]) -> tuple[int, int, int]:
