@@ -42,6 +42,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(id_col: str, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % buckets
@@ -88,7 +97,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = stored(large)
         linked = _star(large, "a", "b")
         small = linked.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = stored(small.union(linked.select("a", F.col("low").alias("b"))).distinct())
+        after = stored(small.union(linked.select("a", F.col("low").alias("b"))).distinct())
+        discard(edges, large)
+        edges = after
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break
