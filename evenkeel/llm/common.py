@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,19 @@ SLICE_BYTES = 1_500_000
 SALTS = 32
 
 
+class _Open(threading.local):
+    """Per thread: lists of the tables that open calls of ``settled`` have stored; empty where functions travel to."""
+
+    def __init__(self):
+        self.calls: list[list[str]] = []
+
+    def __reduce__(self):
+        return _Open, ()
+
+
+_OPEN = _Open()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share; a temporary one only in local sessions that name none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,17 +52,35 @@ def new_path(spark: SparkSession, kind: str) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: no lineage, no second computation."""
     path = new_path(df.sparkSession, "stored")
+    if _OPEN.calls:
+        _OPEN.calls[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """``stored(build())``; the tables that ``build`` stored on its way are deleted, so nothing else may read them."""
+    _OPEN.calls.append([])
+    try:
+        found = build()
+    finally:
+        made = _OPEN.calls.pop()
+    out = stored(found)
+    for path in made:
+        _delete(spark, path)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by ``stored`` that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
         for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(table.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(id_col: str, buckets: int) -> Column:

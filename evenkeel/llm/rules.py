@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.llm import ngrams
-from evenkeel.llm.common import sliced, stored, texts_of
+from evenkeel.llm.common import settled, sliced, stored, texts_of
 
 #: Words of the vocabulary, and pairs that a worker holds at most: 16 MB a million pairs.
 VOCABULARY = 32_768
@@ -312,8 +312,11 @@ def judge(docs: DataFrame, keep: list[str], reach: float = 5.0, **bounds) -> Dat
     20 of 100 words in repeated windows. A null text has no words and fails; languages that are
     null are one language; repeated rows repeat. The language is used for the band only.
     """
-    model, counted, segments = fit_all(docs, **bounds)
-    scored = stored(score(docs, model, list(dict.fromkeys([*keep, "lang"])), counted, segments))
+    def scores() -> DataFrame:
+        model, counted, segments = fit_all(docs, **bounds)
+        return score(docs, model, list(dict.fromkeys([*keep, "lang"])), counted, segments)
+
+    scored = settled(docs.sparkSession, scores)
     band = stored(bands(scored, reach))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = scored.join(band, F.col("lang").eqNullSafe(F.col("band_lang")), "left").withColumn("base_failed", failed)
