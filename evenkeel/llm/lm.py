@@ -2,8 +2,13 @@
 
 The filter stores each word and word pair of the training texts once per level of its
 logarithmic count: level k stands for counts from 2^(k-1). A count is read back by asking for
-level 1, 2, ... until one is missing. Pairs get the smallest count floor at which all entries
-have ten bits; the filter's size, and so the broadcast, is a fixed parameter.
+level 1, 2, ... until one is missing. Every word and pair is held, at ten bits an entry, so the
+filter grows with the training text.
+
+Up to ``MOST_BITS`` one filter is broadcast. Beyond, the most frequent words and pairs, down to a
+count at which they fit, make up the broadcast filter; the others lie in filters of a segment of
+the keys each, and the keys of a text that the broadcast one misses meet them in a shuffle. The
+model is the same either way: no count level is left out.
 
 The base score needs exact counts of all words. Frequent words have theirs in a bounded table
 that workers hold too; the other words of each document go to their counts by a shuffle, so
@@ -20,45 +25,59 @@ from pyspark.sql import functions as F
 from evenkeel.llm import ngrams
 from evenkeel.llm.common import sliced, stored, texts_of
 
-#: Bits of the filter: 32 MB.
-FILTER_BITS = 1 << 28
+#: Most bits of the filter that is broadcast, 64 MB; it has no more than its entries need, from 2 MB on.
+MOST_BITS = 1 << 29
+LEAST_BITS = 1 << 24
 BITS_PER_ENTRY = 10
 HASHES = 6
 #: Words whose exact counts workers hold.
 HEAD_WORDS = 200_000
 #: Blocks of the filter; all bits of a key lie in one block, so blocks are built apart.
 BLOCKS = 4096
-#: Hash of the end token: no word hashes to it but by chance of 2^-64.
-END = np.uint64(0x5DEECE66D1234567)
+#: Words have even keys of 63 hashed bits, pairs odd ones. Key of the end token: a word has it by chance of 2^-63 only.
+END = np.uint64(0x5DEECE66D1234566)
+_ODD = np.uint64(1)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 DISCOUNT = 0.75
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return ngrams.spread(left * _PAIR + right)
+    return ngrams.spread(left * _PAIR + right) | _ODD
+
+
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Words lie in the first half of the segments, pairs in the second."""
+    half = segments // 2
+    return ngrams.segment_of(keys, half) + ((keys & _ODD) * np.uint64(half)).astype(np.int32)
 
 
-def _bits(keys: np.ndarray, level: int, block_bits: int) -> np.ndarray:
-    """(HASHES, keys) bit places of keys at a level inside their blocks."""
+def _probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of the probes of keys at a level."""
     a = ngrams.spread(keys ^ np.uint64((level * 0xA0761D6478BD642F) & (2**64 - 1)))
-    b = (a >> np.uint64(17)) | np.uint64(1)
-    places = [(a + np.uint64(i) * b) >> np.uint64(20) for i in range(HASHES)]
-    return np.stack([(p % np.uint64(block_bits)).astype(np.int64) for p in places])
+    return a, (a << np.uint64(32) | a >> np.uint64(32)) | _ODD
+
+
+def _place(a: np.ndarray, b: np.ndarray, i: int, block_bits: int) -> np.ndarray:
+    """Bit place of probe ``i`` inside a block of fewer than 2^32 bits."""
+    return ((a + np.uint64(i) * b >> np.uint64(32)) * np.uint64(block_bits) >> np.uint64(32)).astype(np.int64)
 
 
 class Filter:
     """Bytes of all blocks, one after another."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, blocks: int | None = None):
         self.data = data
-        self.block_bits = len(data) * 8 // BLOCKS
+        self.blocks = blocks or BLOCKS
+        self.block_bits = len(data) * 8 // self.blocks
 
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
-        base = ngrams.segment_of(keys, BLOCKS).astype(np.int64) * self.block_bits
+        a, b = _probes(keys, level)
+        base = ngrams.segment_of(keys, self.blocks).astype(np.int64) * self.block_bits
         found = np.arange(len(keys))
-        for places in _bits(keys, level, self.block_bits):
-            at = base[found] + places[found]
-            found = found[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        for i in range(HASHES):
+            at = base + _place(a, b, i, self.block_bits)
+            yes = np.flatnonzero((self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            found, a, b, base = found[yes], a[yes], b[yes], base[yes]
         out = np.zeros(len(keys), bool)
         out[found] = True
         return out
@@ -84,8 +103,23 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
 
 
-def build_filter(words: DataFrame, pairs: DataFrame, floor: int, bits: int = FILTER_BITS) -> np.ndarray:
-    """Filter over packed counts of words (count at least ``floor`` too) and pairs; blocks are built in tasks."""
+def block(keys: np.ndarray, tops: np.ndarray, block_bits: int) -> np.ndarray:
+    """Bytes of a block that holds ``keys`` at all levels up to ``tops``."""
+    bitmap = np.zeros(block_bits, np.uint8)
+    for level in range(1, int(tops.max(initial=0)) + 1):
+        a, b = _probes(keys[tops >= level], level)
+        for i in range(HASHES):
+            bitmap[_place(a, b, i, block_bits)] = 1
+    return np.packbits(bitmap, bitorder="little")
+
+
+def filter_bits(entries: int, most: int) -> int:
+    """Bits of a filter of ``entries``, in whole bytes per block."""
+    return min(most, max(LEAST_BITS, -(-entries * BITS_PER_ENTRY // (8 * BLOCKS)) * 8 * BLOCKS))
+
+
+def build_filter(words: DataFrame, pairs: DataFrame, floor: int, bits: int) -> np.ndarray:
+    """Filter over packed counts of words and pairs of at least ``floor``; blocks are built in tasks."""
     block_bits = bits // BLOCKS
 
     def entries(batches):
@@ -93,36 +127,33 @@ def build_filter(words: DataFrame, pairs: DataFrame, floor: int, bits: int = FIL
             for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
                 k, c = ngrams.unpack(k), np.frombuffer(c, np.int64)
                 k, c = k[c >= floor], c[c >= floor]
-                block = ngrams.segment_of(k, BLOCKS)
-                order = np.argsort(block, kind="stable")
-                k, top, block = k[order], level_of(c[order]), block[order]
-                starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(k) else np.zeros(0, int)
+                at = ngrams.segment_of(k, BLOCKS)
+                order = np.argsort(at, kind="stable")
+                k, top, at = k[order], level_of(c[order]), at[order]
+                starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(k) else np.zeros(0, int)
                 ends = np.append(starts[1:], len(k))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(block[starts]), pa.array([k[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                    pa.array(at[starts]), pa.array([k[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
                     pa.array([top[a:b].astype(np.uint8).tobytes() for a, b in zip(starts, ends)], pa.binary())], ["block", "keys", "tops"])
 
     def built(part: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(k, np.uint64) for k in part["keys"].to_pylist()])
         tops = np.concatenate([np.frombuffer(c, np.uint8) for c in part["tops"].to_pylist()])
-        bitmap = np.zeros(block_bits, np.uint8)
-        for level in range(1, int(tops.max(initial=0)) + 1):
-            bitmap[_bits(keys[tops >= level], level, block_bits).ravel()] = 1
-        return pa.table({"block": part["block"][:1].cast(pa.int32()), "data": pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())})
+        return pa.table({"block": part["block"][:1].cast(pa.int32()), "data": pa.array([block(keys, tops, block_bits).tobytes()], pa.binary())})
 
     rows = words.union(pairs).select("keys", "counts").mapInArrow(entries, "block int, keys binary, tops binary")
     data = np.zeros(bits // 8, np.uint8)
     width = block_bits // 8
-    for row in rows.groupBy("block").applyInArrow(built, "block int, data binary").collect():  # the filter: fixed size
+    for row in rows.groupBy("block").applyInArrow(built, "block int, data binary").collect():  # the filter: at most MOST_BITS
         data[row.block * width : (row.block + 1) * width] = np.frombuffer(bytes(row.data), np.uint8)
     return data
 
 
 def _tokens(batch: pa.RecordBatch, memory: ngrams.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of a slice, the end of each text included, and the tokens per text."""
+    """Keys of all tokens of a slice, the end of each text included, and the tokens per text."""
     texts = [t.lower().split() for t in texts_of(batch)]
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    words = memory.array([w for t in texts for w in t])
+    words = memory.array([w for t in texts for w in t]) & ~_ODD
     out = np.full(int(sizes.sum()), END, np.uint64)
     out[np.delete(np.arange(len(out)), np.cumsum(sizes) - 1)] = words
     return out, sizes
@@ -133,43 +164,91 @@ def _before(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(([END], tokens[:-1])) if len(tokens) else tokens
 
 
-def score(docs: DataFrame, training: DataFrame, bits: int = FILTER_BITS, head: int = HEAD_WORDS) -> DataFrame:
+def _find_levels(floor: int):
+    """Levels of a segment's wanted keys: probes of a filter over its counts below ``floor``, built where they lie."""
+
+    def find(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        keys, tops = keys[counts < floor], level_of(counts[counts < floor])
+        if not len(keys) or not len(wanted):
+            return np.zeros(len(wanted), np.int64)
+        bits = -(-max(int(tops.sum()) * BITS_PER_ENTRY, 64) // 8) * 8
+        return Filter(block(keys, tops, bits), 1).levels(wanted)
+
+    return find
+
+
+def _beyond(slim: DataFrame, packed: DataFrame, segments: int, floor: int, shared) -> DataFrame:
+    """``slim`` with ``more_keys`` and ``more_levels``: keys of a text that the broadcast filter misses and the others hold.
+
+    Texts ask once for each key. A key of at least ``floor`` occurrences in training is in the broadcast filter, so
+    a key may be asked by very many texts only if hardly any training text has it.
+    """
+
+    def run(batches):
+        bloom, memory = Filter(shared.value["filter"]), ngrams.word_hashes()
+        for batch in sliced(batches, "text"):
+            tokens, sizes = _tokens(batch, memory)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            keys, row = np.concatenate((tokens, pair_keys(_before(tokens, sizes), tokens))), np.concatenate((row, row))
+            unique, place = np.unique(keys, return_inverse=True)
+            out = (bloom.levels(unique) == 0)[place]
+            keys, row = keys[out], row[out]
+            order = np.lexsort((keys, row))
+            keys, row = keys[order], row[order]
+            first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])))[: len(keys)]
+            at = np.concatenate(([0], np.cumsum(np.bincount(row[first], minlength=len(sizes))))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("text_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[first].view(np.int64)))], ["uid", "asked"])
+
+    def answer(uids, keys, levels):
+        held = levels > 0
+        return pa.table({"uid": uids[held], "key": keys[held].view(np.int64), "level": levels[held].astype(np.int8)})
+
+    slim = slim.withColumn("text_id", F.xxhash64("text"))
+    asked = slim.select("text_id", "text").mapInArrow(run, "uid long, asked array<long>")
+    found = ngrams.look_up(asked, packed, segments, answer, "uid long, key long, level byte", segment_of, _find_levels(floor))
+    # equal texts ask for the same keys: each key stays once; a row has no more keys than its text has words and pairs
+    found = found.groupBy("uid", "key").agg(F.first("level").alias("level")).groupBy(F.col("uid").alias("text_id")).agg(
+        F.collect_list(F.struct("key", "level")).alias("more"))
+    return slim.join(found, "text_id", "left").select(
+        "doc_id", "text", "uid", F.col("more.key").alias("more_keys"), F.col("more.level").alias("more_levels"))
+
+
+def score(docs: DataFrame, training: DataFrame, bits: int = MOST_BITS, head: int = HEAD_WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``training`` holds the texts to learn from, ``text`` being null or empty for a text of one
     end token. ``docs`` may hold further columns, which are ignored. Rows that repeat an id and a
-    text get the same scores each. With no training text every token is unknown.
+    text get the same scores each. With no training text every token is unknown. ``bits`` bounds the
+    filter that is broadcast; words and pairs that it has no room for are probed where they lie.
     """
-    segments = ngrams.segments_for(training)
+    segments = 2 * ngrams.segments_for(training)
     spark = docs.sparkSession
 
-    def singles():
-        memory = ngrams.word_hashes()
-        return lambda batch: _tokens(batch, memory)[0]
-
-    def doubles():
+    def both():
         memory = ngrams.word_hashes()
 
         def keys(batch):
             tokens, sizes = _tokens(batch, memory)
-            return pair_keys(_before(tokens, sizes), tokens)
+            return np.concatenate((tokens, pair_keys(_before(tokens, sizes), tokens)))
 
         return keys
 
-    words = ngrams.count_keys(training.select("text"), segments, singles)
-    pairs = ngrams.count_keys(training.select("text"), segments, doubles)
+    packed = ngrams.count_keys(training.select("text"), segments, both, place=segment_of)
+    words, pairs = packed.where(F.col("seg") < segments // 2), packed.where(F.col("seg") >= segments // 2)
     word_levels, pair_levels = ngrams.count_of_counts(words), ngrams.count_of_counts(pairs)
     total, types = sum(t for _, t in word_levels.values()), sum(n for n, _ in word_levels.values())
-    both = {k: tuple(map(sum, zip(word_levels.get(k, (0, 0)), pair_levels.get(k, (0, 0))))) for k in {*word_levels, *pair_levels}}
-    floor = ngrams.floor_for(both, bits // BITS_PER_ENTRY, lambda level: int(level_of(np.array([level]))[0]))
-    kept = sum(t - DISCOUNT * n for k, (n, t) in pair_levels.items() if k >= floor)
-    rest = 1 - kept / max(total, 1)
+    levels = {k: tuple(map(sum, zip(word_levels.get(k, (0, 0)), pair_levels.get(k, (0, 0))))) for k in {*word_levels, *pair_levels}}
+    weight = lambda level: int(level_of(np.array([level]))[0])
+    size = filter_bits(sum(n * weight(k) for k, (n, _) in levels.items()), bits)
+    floor = ngrams.floor_for(levels, size // BITS_PER_ENTRY, weight)
+    rest = 1 - sum(t - DISCOUNT * n for n, t in pair_levels.values()) / max(total, 1)
     keys, counts = ngrams.frequent(words, ngrams.floor_for(word_levels, 2 * head))
     if len(keys) > head:
         best = np.lexsort((keys, -counts))[:head]
         best.sort()
         keys, counts = keys[best], counts[best]
-    shared = spark.sparkContext.broadcast({"filter": build_filter(words, pairs, floor, bits), "keys": keys, "counts": counts})
+    shared = spark.sparkContext.broadcast({"filter": build_filter(words, pairs, floor, size), "keys": keys, "counts": counts})
     scale = total + 0.5 * (types + 1)
 
     def run(batches):
@@ -177,11 +256,10 @@ def score(docs: DataFrame, training: DataFrame, bits: int = FILTER_BITS, head: i
         bloom, keys, exact = Filter(held["filter"]), held["keys"], held["counts"]
         memory = ngrams.word_hashes()
 
-        def known(tokens):
-            if not len(keys):
-                return np.zeros(len(tokens), np.int64)
-            at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
-            return np.where(keys[at] == tokens, exact[at], 0)
+        def read(asked, more):
+            """Levels in the broadcast filter, or those brought along for keys that it misses."""
+            out = bloom.levels(asked)
+            return out if more is None else np.where(out == 0, ngrams.counted(*more, asked), out)
 
         for batch in sliced(batches, "text"):
             tokens, sizes = _tokens(batch, memory)
@@ -189,11 +267,16 @@ def score(docs: DataFrame, training: DataFrame, bits: int = FILTER_BITS, head: i
             starts = ends - sizes
             sums = lambda x: np.add.reduceat(x, starts)
             unique, place = np.unique(tokens, return_inverse=True)
-            count = known(unique)
-            about = np.where(count > 0, count, counts_of(bloom.levels(unique)))
+            more = None
+            if beyond:
+                brought = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("more_keys", "more_levels")]
+                at, first = np.unique(brought[0].view(np.uint64), return_index=True)
+                more = at, brought[1][first].astype(np.int64)
+            count = ngrams.counted(keys, exact, unique)
+            about = np.where(count > 0, count, counts_of(read(unique, more)))
             single = (about + 0.5) / scale
             before = np.concatenate((np.flatnonzero(unique == END)[:1], place[:-1]))
-            pair = np.minimum(counts_of(bloom.levels(pair_keys(unique[before], tokens))), about[place])
+            pair = np.minimum(counts_of(read(pair_keys(unique[before], tokens), more)), about[place])
             with np.errstate(divide="ignore", invalid="ignore"):
                 seen = np.where(about[before] > 0, np.maximum(pair - DISCOUNT, 0) / np.maximum(about[before], 1), 0.0)
             share = np.where(about[before] > 0, rest, 1.0)
@@ -211,6 +294,9 @@ def score(docs: DataFrame, training: DataFrame, bits: int = FILTER_BITS, head: i
 
     slim = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
+    beyond = floor > 1
+    if beyond:
+        slim = _beyond(slim, packed, segments, floor, shared)
     part = stored(slim.mapInArrow(
         run, f"doc_id {id_type}, uid long, n_tokens long, head_known long, head_base double, score double, tail array<long>"))
     # the rare words of each text: rows that repeat have equal ids and equal tails, so one of them stands for all

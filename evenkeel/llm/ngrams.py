@@ -94,8 +94,12 @@ def segments_for(docs: DataFrame) -> int:
     return max(LEAST_SEGMENTS, int(size) // SEGMENT_BYTES)
 
 
-def count_keys(docs: DataFrame, segments: int, reader: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], most: int = HELD) -> DataFrame:
-    """(seg, keys, counts) with one row per segment: all keys that ``reader()`` finds in slices of ``docs``."""
+def count_keys(docs: DataFrame, segments: int, reader: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], most: int = HELD,
+               place: Callable[[np.ndarray, int], np.ndarray] = segment_of) -> DataFrame:
+    """(seg, keys, counts) with one row per segment: all keys that ``reader()`` finds in slices of ``docs``.
+
+    ``place(keys, segments)`` gives the segment of each key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_of = reader()
@@ -109,7 +113,7 @@ def count_keys(docs: DataFrame, segments: int, reader: Callable[[], Callable[[pa
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             counts = np.diff(np.append(starts, len(keys))).astype(np.uint32)
             keys = keys[starts]
-            seg = segment_of(keys, segments)
+            seg = place(keys, segments)
             order = np.argsort(seg, kind="stable")
             keys, counts, seg = keys[order], counts[order], seg[order]
             starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
@@ -241,10 +245,21 @@ def most_frequent(packed: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
         share *= 2
 
 
-def look_up(asked: DataFrame, packed: DataFrame, segments: int, answer: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+def counted(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Count of each wanted key; 0 if it is not among the sorted ``keys``."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[at], 0)
+
+
+def look_up(asked: DataFrame, packed: DataFrame, segments: int, answer: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str,
+            place: Callable[[np.ndarray, int], np.ndarray] = segment_of,
+            find: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] = counted) -> DataFrame:
     """Rows of ``answer(uids, keys, counts)`` per segment, for ``asked`` (uid long, asked array<long>); a key not in ``packed`` counts 0.
 
-    Keys travel packed to their segments, as the counts do; a key asked for very often makes its
+    ``place`` is the one that ``packed`` was counted with; ``find(keys, counts, wanted)`` gives what is answered for a
+    segment's wanted keys. Keys travel packed to their segments, as the counts do; a key asked for very often makes its
     segment's task large, so callers answer frequent keys before.
     """
 
@@ -255,7 +270,7 @@ def look_up(asked: DataFrame, packed: DataFrame, segments: int, answer: Callable
         def rows():
             uids, keys = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            seg = segment_of(keys, segments)
+            seg = place(keys, segments)
             order = np.argsort(seg, kind="stable")
             uids, keys, seg = uids[order], keys[order], seg[order]
             starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
@@ -285,11 +300,7 @@ def look_up(asked: DataFrame, packed: DataFrame, segments: int, answer: Callable
         uids, wanted = join(left["uids"], np.int64), join(left["asked"], np.uint64)
         keys = np.concatenate([np.zeros(0, np.uint64), *[unpack(k) for k in right["keys"].to_pylist()]])
         counts = join(right["counts"], np.int64)
-        found = np.zeros(len(wanted), np.int64)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            found = np.where(keys[at] == wanted, counts[at], 0)
-        return answer(uids, wanted, found)
+        return answer(uids, wanted, find(keys, counts, wanted))
 
     left = asked.select("uid", "asked").mapInArrow(dealt, "seg int, uids binary, asked binary")
     return left.groupBy("seg").cogroup(packed.groupBy("seg")).applyInArrow(looked, schema)

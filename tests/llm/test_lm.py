@@ -83,3 +83,61 @@ def test_counts_of_many_partitions(spark, monkeypatch):
     keys, counts = ngrams.frequent(counted, 1)
     want = Counter(f"w{i % 50}" for i in range(500)) + Counter(f"w{i % 7}" for i in range(500))
     assert sorted(counts.tolist()) == sorted(want.values()) and len(keys) == len(want)
+
+
+def model_scores(rows, train):
+    """Scores by plain counts put to their levels, with no filter between."""
+    c, p = Counter(), Counter()
+    for _, text in train:
+        ts = tokens(text)
+        c.update(ts)
+        p.update(zip([END, *ts], ts))
+    n, v = sum(c.values()), len(c)
+    exact = {t for t, _ in c.most_common(lm.HEAD_WORDS)}
+    assert len(exact) == v
+    level = lambda x: 0 if not x else 1 if x == 1 else 2 ** (math.floor(math.log2(x)) + 0.5)
+    rest = 1 - sum(x - lm.DISCOUNT for x in p.values()) / max(n, 1)
+    out = {}
+    for d, text in rows:
+        ts, total = tokens(text), 0.0
+        for a, b in zip([END, *ts], ts):
+            single = (c[b] + 0.5) / (n + 0.5 * (v + 1))
+            seen = max(min(level(p[a, b]), c[b]) - lm.DISCOUNT, 0) / c[a] if c[a] else 0.0
+            total += math.log10(min(seen + (rest if c[a] else 1.0) * single, 1.0))
+        out[d] = total, len(ts)
+    return out
+
+
+def gaps(got, want):
+    return np.array([abs(r.score - want[r.doc_id][0]) / want[r.doc_id][1] for r in got])
+
+
+def test_scores_by_brute_force_whether_or_not_the_filter_holds_all(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    train = docs.where("crc32(cast(doc_id as string)) % 5 <> 1")
+    want = model_scores(rows, [r for r in rows if remainder(r[0], 5) != 1])
+    whole = gaps(lm.score(docs, train).collect(), want)
+    assert whole.max() < 1e-3 and np.median(whole) < 1e-9
+    # a fraction of the bits that all entries need: most words and pairs are probed where they lie; blocks no smaller than usual
+    monkeypatch.setattr(lm, "BLOCKS", 32)
+    bits = 1 << 17
+    split = lm.score(docs, train, bits=bits)
+    apart = gaps(split.collect(), want)
+    assert apart.mean() < 0.005 and apart.max() < 0.1
+    same(split.collect(), base_scores(rows, [r for r in rows if remainder(r[0], 5) != 1]))
+
+
+def test_odd_rows_beyond_the_broadcast_filter(spark):
+    rows = [(1, "a b A"), (1, "a b A"), (2, None), (3, ""), (4, "zz a zz"), (None, "b\x1fc é"), (7, "q q r")]
+    rows += [(10 + i, f"w{i} x{i} y{i}") for i in range(3000)]
+    docs = spark.createDataFrame([(*r, 1, "u") for r in rows], "doc_id long, text string, uid int, more string")
+    got = lm.score(docs, docs, bits=1 << 15).collect()
+    same(got, base_scores(rows, rows))
+    assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
+
+
+def test_bits_follow_the_entries():
+    assert lm.filter_bits(10, 1 << 29) == lm.LEAST_BITS
+    assert 0 <= lm.filter_bits(10_000_000, 1 << 29) - 100_000_000 < 8 * lm.BLOCKS
+    assert lm.filter_bits(10**9, 1 << 29) == 1 << 29
