@@ -7,7 +7,7 @@ filter grows with the training text.
 
 Up to ``MOST_BITS`` one filter is broadcast. Beyond, the most frequent words and pairs, down to a
 count at which they fit, make up the broadcast filter; the others lie in filters of a segment of
-the keys each, and the keys of a text that the broadcast one misses meet them in a shuffle. The
+the keys each, and the keys of a chunk of texts that the broadcast one misses meet them in a shuffle. The
 model is the same either way: no count level is left out.
 
 The base score needs exact counts of all words. Frequent words have theirs in a bounded table
@@ -17,16 +17,19 @@ no frequent word is ever shuffled by document.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.llm import ngrams
-from evenkeel.llm.common import sliced, stored, texts_of
+from evenkeel.llm.common import discard, sliced, stored, texts_of
 
-#: Most bits of the filter that is broadcast, 64 MB; it has no more than its entries need, from 2 MB on.
-MOST_BITS = 1 << 29
+#: Most bits of the filter that is broadcast, 128 MB; it has no more than its entries need, from 2 MB on.
+MOST_BITS = 1 << 30
 LEAST_BITS = 1 << 24
 BITS_PER_ENTRY = 10
 HASHES = 6
@@ -177,41 +180,52 @@ def _find_levels(floor: int):
     return find
 
 
-def _beyond(slim: DataFrame, packed: DataFrame, segments: int, floor: int, shared) -> DataFrame:
-    """``slim`` with ``more_keys`` and ``more_levels``: keys of a text that the broadcast filter misses and the others hold.
+def _chunked(slim: DataFrame) -> DataFrame:
+    """``slim`` stored with ``chunk``, a random number that the texts of a slice share."""
+
+    def run(batches):
+        for batch in sliced(batches, "text"):
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.repeat(pa.scalar(uuid.uuid4().int >> 65, pa.int64()), batch.num_rows)], [*batch.schema.names, "chunk"])
+
+    return stored(slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("chunk", T.LongType())])))
+
+
+def _beyond(chunks: DataFrame, packed: DataFrame, segments: int, floor: int, shared) -> DataFrame:
+    """(chunk, keys, levels) in parts: keys of a chunk that the broadcast filter misses and the others hold.
 
-    Texts ask once for each key. A key of at least ``floor`` occurrences in training is in the broadcast filter, so
-    a key may be asked by very many texts only if hardly any training text has it.
+    A chunk asks once for each key. A key of at least ``floor`` occurrences in training is in the broadcast filter, so
+    a key may be asked by very many chunks only if hardly any training text has it.
     """
 
     def run(batches):
         bloom, memory = Filter(shared.value["filter"]), ngrams.word_hashes()
         for batch in sliced(batches, "text"):
             tokens, sizes = _tokens(batch, memory)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            keys, row = np.concatenate((tokens, pair_keys(_before(tokens, sizes), tokens))), np.concatenate((row, row))
-            unique, place = np.unique(keys, return_inverse=True)
-            out = (bloom.levels(unique) == 0)[place]
-            keys, row = keys[out], row[out]
-            order = np.lexsort((keys, row))
-            keys, row = keys[order], row[order]
-            first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])))[: len(keys)]
-            at = np.concatenate(([0], np.cumsum(np.bincount(row[first], minlength=len(sizes))))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("text_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[first].view(np.int64)))], ["uid", "asked"])
-
-    def answer(uids, keys, levels):
+            chunk, which = np.unique(batch.column("chunk").to_numpy(), return_inverse=True)
+            of = np.repeat(which, sizes)
+            asked = [np.zeros(0, np.int64)]
+            pairs = pair_keys(_before(tokens, sizes), tokens)
+            for k in range(len(chunk)):
+                keys = np.unique(np.concatenate((tokens[of == k], pairs[of == k])))
+                asked.append(keys[bloom.levels(keys) == 0].view(np.int64))
+            at = np.cumsum([len(x) for x in asked]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(asked)))],
+                                             ["uid", "asked"])
+
+    def answer(chunks, keys, levels):
         held = levels > 0
-        return pa.table({"uid": uids[held], "key": keys[held].view(np.int64), "level": levels[held].astype(np.int8)})
+        chunks, keys, levels = chunks[held], keys[held], levels[held].astype(np.uint8)
+        order = np.lexsort((keys, chunks))
+        chunks, keys, levels = chunks[order], keys[order], levels[order]
+        starts = np.flatnonzero(np.diff(chunks, prepend=chunks[:1] - 1))
+        ends = np.append(starts[1:], len(chunks))
+        return pa.table({"chunk": pa.array(chunks[starts], pa.int64()),
+                         "keys": pa.array([ngrams.pack(keys[x:y]) for x, y in zip(starts, ends)], pa.binary()),
+                         "levels": pa.array([levels[x:y].tobytes() for x, y in zip(starts, ends)], pa.binary())})
 
-    slim = slim.withColumn("text_id", F.xxhash64("text"))
-    asked = slim.select("text_id", "text").mapInArrow(run, "uid long, asked array<long>")
-    found = ngrams.look_up(asked, packed, segments, answer, "uid long, key long, level byte", segment_of, _find_levels(floor))
-    # equal texts ask for the same keys: each key stays once; a row has no more keys than its text has words and pairs
-    found = found.groupBy("uid", "key").agg(F.first("level").alias("level")).groupBy(F.col("uid").alias("text_id")).agg(
-        F.collect_list(F.struct("key", "level")).alias("more"))
-    return slim.join(found, "text_id", "left").select(
-        "doc_id", "text", "uid", F.col("more.key").alias("more_keys"), F.col("more.level").alias("more_levels"))
+    asked = chunks.select("chunk", "text").mapInArrow(run, "uid long, asked array<long>")
+    return ngrams.look_up(asked, packed, segments, answer, "chunk long, keys binary, levels binary", segment_of, _find_levels(floor))
 
 
 def score(docs: DataFrame, training: DataFrame, bits: int = MOST_BITS, head: int = HEAD_WORDS) -> DataFrame:
@@ -251,54 +265,61 @@ def score(docs: DataFrame, training: DataFrame, bits: int = MOST_BITS, head: int
     shared = spark.sparkContext.broadcast({"filter": build_filter(words, pairs, floor, size), "keys": keys, "counts": counts})
     scale = total + 0.5 * (types + 1)
 
-    def run(batches):
-        held = shared.value
+    def scored(batch: pa.RecordBatch, held: dict, more=None) -> pa.RecordBatch:
+        """Scores of a slice; ``more``: sorted keys, and levels, that the broadcast filter misses."""
         bloom, keys, exact = Filter(held["filter"]), held["keys"], held["counts"]
-        memory = ngrams.word_hashes()
+        memory = held.setdefault("memory", ngrams.word_hashes())
 
-        def read(asked, more):
-            """Levels in the broadcast filter, or those brought along for keys that it misses."""
+        def read(asked):
             out = bloom.levels(asked)
             return out if more is None else np.where(out == 0, ngrams.counted(*more, asked), out)
 
+        tokens, sizes = _tokens(batch, memory)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        sums = lambda x: np.add.reduceat(x, starts)
+        unique, place = np.unique(tokens, return_inverse=True)
+        count = ngrams.counted(keys, exact, unique)
+        about = np.where(count > 0, count, counts_of(read(unique)))
+        single = (about + 0.5) / scale
+        before = np.concatenate((np.flatnonzero(unique == END)[:1], place[:-1]))
+        pair = np.minimum(counts_of(read(pair_keys(unique[before], tokens))), about[place])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            seen = np.where(about[before] > 0, np.maximum(pair - DISCOUNT, 0) / np.maximum(about[before], 1), 0.0)
+        share = np.where(about[before] > 0, rest, 1.0)
+        model = np.log10(np.minimum(seen + share * single[place], 1.0))
+        inside = count[place] > 0
+        base = np.where(inside, np.log10((count[place] + 0.5) / scale), 0.0)
+        row = np.repeat(np.arange(len(sizes)), sizes)[~inside]
+        tail = tokens[~inside]
+        tail_at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(sizes))))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc_id"), batch.column("uid"), pa.array(sizes), pa.array(sums(inside.astype(np.int64))),
+            pa.array(sums(base)), pa.array(sums(model)),
+            pa.ListArray.from_arrays(pa.array(tail_at), pa.array(tail.view(np.int64)))],
+            ["doc_id", "uid", "n_tokens", "head_known", "head_base", "score", "tail"])
+
+    def run(batches):
         for batch in sliced(batches, "text"):
-            tokens, sizes = _tokens(batch, memory)
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            sums = lambda x: np.add.reduceat(x, starts)
-            unique, place = np.unique(tokens, return_inverse=True)
-            more = None
-            if beyond:
-                brought = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("more_keys", "more_levels")]
-                at, first = np.unique(brought[0].view(np.uint64), return_index=True)
-                more = at, brought[1][first].astype(np.int64)
-            count = ngrams.counted(keys, exact, unique)
-            about = np.where(count > 0, count, counts_of(read(unique, more)))
-            single = (about + 0.5) / scale
-            before = np.concatenate((np.flatnonzero(unique == END)[:1], place[:-1]))
-            pair = np.minimum(counts_of(read(pair_keys(unique[before], tokens), more)), about[place])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                seen = np.where(about[before] > 0, np.maximum(pair - DISCOUNT, 0) / np.maximum(about[before], 1), 0.0)
-            share = np.where(about[before] > 0, rest, 1.0)
-            model = np.log10(np.minimum(seen + share * single[place], 1.0))
-            inside = count[place] > 0
-            base = np.where(inside, np.log10((count[place] + 0.5) / scale), 0.0)
-            row = np.repeat(np.arange(len(sizes)), sizes)[~inside]
-            tail = tokens[~inside]
-            tail_at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(sizes))))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("uid"), pa.array(sizes), pa.array(sums(inside.astype(np.int64))),
-                pa.array(sums(base)), pa.array(sums(model)),
-                pa.ListArray.from_arrays(pa.array(tail_at), pa.array(tail.view(np.int64)))],
-                ["doc_id", "uid", "n_tokens", "head_known", "head_base", "score", "tail"])
+            yield scored(batch, shared.value)
+
+    def chunk_scored(texts: pa.Table, found: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.zeros(0, np.uint64), *[ngrams.unpack(k) for k in found["keys"].to_pylist()]])
+        levels = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(x, np.uint8) for x in found["levels"].to_pylist()]])
+        keys, first = np.unique(keys, return_index=True)
+        more = keys, levels[first].astype(np.int64)
+        return pa.Table.from_batches([scored(b, shared.value, more) for b in texts.combine_chunks().to_batches()])
 
     slim = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    beyond = floor > 1
-    if beyond:
-        slim = _beyond(slim, packed, segments, floor, shared)
-    part = stored(slim.mapInArrow(
-        run, f"doc_id {id_type}, uid long, n_tokens long, head_known long, head_base double, score double, tail array<long>"))
+    schema = f"doc_id {id_type}, uid long, n_tokens long, head_known long, head_base double, score double, tail array<long>"
+    if floor == 1:
+        part = stored(slim.mapInArrow(run, schema))
+    else:
+        chunks = _chunked(slim)
+        found = _beyond(chunks, packed, segments, floor, shared)
+        part = stored(chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(chunk_scored, schema))
+        discard(chunks)
     # the rare words of each text: rows that repeat have equal ids and equal tails, so one of them stands for all
     tails = part.where(F.size("tail") > 0).select("uid", F.explode("tail").alias("word"))
     tails = tails.groupBy("uid", "word").agg(F.count(F.lit(1)).alias("n"))
