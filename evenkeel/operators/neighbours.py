@@ -4,8 +4,9 @@
    block of copies costs one vector however large it is.
 2. Large groups are cut into cells around pivot vectors; a cell beyond ``block_rows`` is
    cut further into hashed chunks on both sides. One task sees one chunk against one chunk.
-3. Every vector searches its own cell; it then visits only those other cells whose
-   distance bound does not exclude a closer vector. Results are exact in every case.
+3. Every vector searches its own cell; it then visits other cells in waves, the nearest bound
+   first. After a wave its reach, the distance of its m-th best, is taken anew, and a vector whose
+   next bound lies beyond it leaves. Results are exact in every case.
 
 Tasks multiply blocks with numpy and emit k rows per vector, never all pairs.
 """
@@ -25,6 +26,8 @@ from evenkeel.operators.small import bounded_rows, cut_lineage, local, local_fra
 BLOCK_ROWS = 2048
 #: Pivots of all groups together; they are shipped to every task.
 MAX_PIVOTS = 16_384
+#: Cells a vector has visited when its reach is taken anew; the last wave visits all that remain.
+WAVES = (2, 8, 32, 128)
 
 
 def knn(
@@ -36,12 +39,13 @@ def knn(
     features: str = "features",
     block_rows: int = BLOCK_ROWS,
     max_cells: int = 1024,
+    visited: list | None = None,
 ) -> DataFrame:
     """``neighbours`` ARRAY<STRUCT<distance, id>>, nearest first, ties by id.
 
     With ``targets=None`` the rows search their own group and never find themselves
     (excluded by id, so exact copies do find each other). Rows without any neighbour
-    get an empty array.
+    get an empty array. ``visited`` receives the number of (vector, cell) visits of each wave.
     """
     to_self = targets is None
     m = k + 1 if to_self else k
@@ -50,10 +54,9 @@ def knn(
     t_vecs = _vectors(q_rows if to_self else _rows(targets, by, id_col, features), group, m)
     q_vecs = (t_vecs.select("_g", "_h", "features", F.get("ids", F.lit(0)).alias("qid")) if to_self
               else q_rows.groupBy("_g", "_h", "features").agg(F.min("id").alias("qid")))
-    found = _search(q_vecs, t_vecs, group, m, block_rows, max_cells, to_self)
-    w = Window.partitionBy("_g", "qid").orderBy("distance", "id")
+    found = _search(q_vecs, t_vecs, group, m, block_rows, max_cells, to_self, visited)
     best = (
-        found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= m)
+        _best(found, group, m)
         .groupBy("_g", "qid")
         .agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("neighbours"))
     )
@@ -84,8 +87,14 @@ def _vectors(rows: DataFrame, by: list[str], m: int) -> DataFrame:
     )
 
 
+def _best(found: DataFrame, by: list[str], m: int) -> DataFrame:
+    """The m nearest of each query, ties by id."""
+    w = Window.partitionBy(*by, "qid").orderBy("distance", "id")
+    return found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= m).drop("_rn")
+
+
 def _search(q: DataFrame, t: DataFrame, by: list[str], m: int, block_rows: int, max_cells: int,
-            to_self: bool) -> DataFrame:
+            to_self: bool, visited: list | None) -> DataFrame:
     sizes = _sizes(q, t, by, to_self)
     cells = max(1, min(max_cells, MAX_PIVOTS // max(len(sizes), 1)))
     if all(min(cells, -(-nt // block_rows)) <= 1 for _, _, nt in sizes):
@@ -100,15 +109,32 @@ def _search(q: DataFrame, t: DataFrame, by: list[str], m: int, block_rows: int,
     key = [*by, "cell"]
     t = cut_lineage(pivots.assign(t))
     q = cut_lineage(pivots.assign(q))
-    own = cut_lineage(_blocks(q, t, by, m, block_rows, _sizes(q, t, key, to_self)))
+    found = cut_lineage(_best(_blocks(q, t, by, m, block_rows, _sizes(q, t, key, to_self)), by, m))
     pivots.radii = {
         (pivots.group_of(r), r["cell"]): (r["lo"], r["hi"])
         for r in bounded_rows(t.groupBy(*key).agg(F.min("_d").alias("lo"), F.max("_d").alias("hi")))}
-    reach = own.groupBy(*by, "qid").agg(
-        F.when(F.count(F.lit(1)) >= m, F.max("distance")).alias("reach"))
-    visits = cut_lineage(pivots.visits(
-        q.alias("l").join(reach.alias("r"), same([*by, "qid"]), "left").select("l.*", "r.reach")))
-    return own.unionByName(_blocks(visits, t, by, m, block_rows, _sizes(visits, t, key, False)))
+    others = max(len(c) for c in pivots.centers.values()) - 1
+    asking = q.withColumn("seen", F.array().cast("array<int>"))
+    tried, near = 0, None
+    for upto in [*(w for w in WAVES if 2 * w < others), others]:
+        reach = found.groupBy(*by, "qid").agg(F.when(F.count(F.lit(1)) >= m, F.max("distance")).alias("reach"))
+        visits = cut_lineage(pivots.visits(
+            asking.alias("l").join(reach.alias("r"), same([*by, "qid"]), "left").select("l.*", "r.reach"), upto - tried))
+        counts = _sizes(visits, t, key, False)
+        if visited is not None:
+            visited.append(sum(nq for _, nq, _ in counts))
+        if not counts:
+            return found
+        near = _blocks(visits, t, by, m, block_rows, counts)
+        if upto == others:
+            break
+        found = cut_lineage(_best(found.unionByName(near), by, m))
+        # vectors that have more cells within reach go on; they keep the list of those visited
+        went = visits.where("more").groupBy(*by, "qid").agg(F.collect_list("cell").alias("went"))
+        asking = cut_lineage(asking.alias("l").join(went.alias("r"), same([*by, "qid"])).select(
+            *[f"l.{c}" for c in q.columns], F.concat("l.seen", "r.went").alias("seen")))
+        tried = upto
+    return found.unionByName(near)
 
 
 def _sizes(q: DataFrame, t: DataFrame, key: list[str], to_self: bool) -> list[tuple[tuple, int, int]]:
@@ -243,14 +269,17 @@ class _Pivots:
                                T.StructField("_d", T.DoubleType())])
         return df.mapInArrow(run, schema)
 
-    def visits(self, df: DataFrame) -> DataFrame:
-        """One row per (vector, other cell) that may hold something nearer than ``reach``."""
+    def visits(self, df: DataFrame, most: int) -> DataFrame:
+        """Rows (vector, other cell): the ``most`` nearest cells not ``seen`` that may hold something within ``reach``.
+
+        ``more`` tells that a vector has further ones.
+        """
         parts, centers, by = self._parts, self.centers, self.by
         bounds = {
             g: (np.array([self.radii.get((g, j), (np.inf, -np.inf)) for j in range(len(c))]),
                 np.sqrt(squared_distances(c, c)))
             for g, c in centers.items()}
-        names = [*by, "cell", "qid", "features"]
+        names = [*by, "cell", "qid", "features", "more"]
 
         def run(batches):
             for b in batches:
@@ -260,6 +289,9 @@ class _Pivots:
                 home = b.column("cell").to_numpy(zero_copy_only=False)
                 reach = b.column("reach").to_numpy(zero_copy_only=False)
                 reach = np.where(np.isnan(reach), np.inf, reach)
+                seen = b.column("seen")
+                lengths = seen.value_lengths().to_numpy()
+                flat, ends = seen.flatten().to_numpy(), np.cumsum(lengths)
                 for g, rows in parts(b):
                     if g not in centers:
                         continue
@@ -272,14 +304,19 @@ class _Pivots:
                     low = np.maximum(d - radius[:, 1], radius[:, 0] - d)
                     low = np.maximum(low, np.nan_to_num(plane, nan=0.0, posinf=0.0, neginf=0.0))
                     slack = 1e-6 * (1.0 + d.max())
-                    go = low <= reach[rows][:, None] + slack
-                    go[np.arange(len(rows)), own] = False
-                    go[:, ~np.isfinite(radius[:, 0])] = False
-                    r, cell = np.nonzero(go)
+                    low[low > reach[rows][:, None] + slack] = np.inf
+                    low[np.arange(len(rows)), own] = np.inf
+                    low[:, ~np.isfinite(radius[:, 0])] = np.inf
+                    for i, row in enumerate(rows):
+                        low[i, flat[ends[row] - lengths[row]:ends[row]]] = np.inf
+                    order = np.argsort(low, axis=1, kind="stable")[:, :most]
+                    r, at = np.nonzero(np.isfinite(np.take_along_axis(low, order, 1)))
+                    cell = order[r, at]
+                    more = np.isfinite(low).sum(1) > most
                     take = pa.array(rows[r])
                     yield pa.RecordBatch.from_arrays(
                         [*[b.column(n).take(take) for n in by], pa.array(cell.astype(np.int32)),
-                         b.column("qid").take(take), b.column("features").take(take)], names=names)
+                         b.column("qid").take(take), b.column("features").take(take), pa.array(more[r])], names=names)
 
-        fields = {f.name: f for f in df.schema.fields}
+        fields = {f.name: f for f in df.schema.fields} | {"more": T.StructField("more", T.BooleanType())}
         return df.mapInArrow(run, T.StructType([fields[n] for n in names]))

@@ -37,6 +37,48 @@ def test_knn_matches_brute_force_with_hot_copies(spark, block_rows):
     assert got == brute_knn(data, 4)
 
 
+def wave_rows(clustered: bool, n=3000, width=6):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, width))
+    if clustered:
+        x = x * 0.05 + rng.normal(size=(40, width))[rng.integers(0, 40, n)]
+    return x
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_knn_in_waves(spark, clustered, monkeypatch):
+    x = wave_rows(clustered)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :4]
+    visited = []
+
+    def run(waves):
+        monkeypatch.setattr(neighbours, "WAVES", waves)
+        counts = []
+        out = neighbours.knn(df, None, [], 4, block_rows=40, visited=counts).collect()
+        visited.append(counts)
+        return {r["row_id"]: [n["id"] for n in r["neighbours"]] for r in out}
+
+    assert run((2, 8, 32)) == run(()) == {i: w.tolist() for i, w in enumerate(want)}
+    waves, at_once = visited
+    assert len(at_once) == 1 and sum(waves) < at_once[0]
+    if clustered:  # a vector needs a few of 75 cells
+        assert sum(waves) < 8 * len(x)
+
+
+def test_knn_waves_do_not_depend_on_partitions(spark):
+    x = wave_rows(True, 600)
+    rows = [(i % 2, i, v.tolist()) for i, v in enumerate(x)]
+    seen = []
+    for n in (1, 5, 33):
+        df = spark.createDataFrame(rows, "g int, row_id long, features array<double>").repartition(n)
+        seen.append(sorted((r["row_id"], tuple(n["id"] for n in r["neighbours"]))
+                           for r in neighbours.knn(df, None, ["g"], 3, block_rows=12).collect()))
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_knn_between_two_tables(spark):
     data = hot_copies(90)
     df = spark.createDataFrame(data, "row_id long, g string, features array<double>")
