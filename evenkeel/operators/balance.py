@@ -320,6 +320,50 @@ def balance_hcbou(df: DataFrame, label: str = "label", max_clusters_maj: int = 8
     return reps.unionByName(grown)
 
 
+def class_cluster_quotas(df: DataFrame, label: str = "label", cluster: str = "cluster", k: int = 3) -> DataFrame:
+    """(label, cluster, n, quota, branch): rows that each cluster of each class ends with, for any number of classes.
+
+    Classes share the rows evenly, the larger ones taking what is over, ties to the smaller label. Clusters share their
+    class's rows by size with largest remainders, so both levels add up exactly. Branches: ``shrink`` to centroids,
+    ``keep``, ``copy`` where a cluster has too few rows for k neighbours, else ``grow``.
+    """
+    sizes = df.groupBy(label, cluster).agg(F.count(F.lit(1)).alias("n"))
+    classes = sizes.groupBy(label).agg(F.sum("n").alias("size"))
+    everything = Window.partitionBy()
+    total, number = F.sum("size").over(everything), F.count(F.lit(1)).over(everything)
+    over = F.row_number().over(Window.orderBy(F.desc("size"), F.asc(label))) <= total % number
+    targets = classes.withColumn("target", class_quota(total, number) + F.when(over, 1).otherwise(0))
+    sizes = sizes.alias("l").join(targets.alias("r"), same([label])).select("l.*", "r.target")
+    quotas = largest_remainder(sizes, F.col("target"), [cluster], [label]).drop("target")
+    branch = (F.when(F.col("quota") < F.col("n"), "shrink").when(F.col("quota") == F.col("n"), "keep")
+              .when(F.col("n") < k + 1, "copy").otherwise("grow"))
+    return quotas.withColumn("branch", branch)
+
+
+def balance_classes(df: DataFrame, label: str = "label", cluster: str = "cluster", k: int = 3, seed: int = SEED,
+                    mode: str = "allocated", id_col: str = "row_id") -> DataFrame:
+    """Every class to its even share of the rows, given clusters inside each class; any number of classes.
+
+    (class, cluster) is one key of the plan: all clusters of all classes shrink, grow or are copied in the same jobs,
+    so their number does not grow with the classes. Shrinking replaces rows by means of their nearest, growing keeps
+    all originals. A NULL label or cluster is one of its own. An empty table stays empty.
+    """
+    by = [label, cluster]
+    q = local(class_cluster_quotas(df, label, cluster, k))
+    part = lambda *b: q.where(F.col("branch").isin(*b))
+    rows = lambda *b: df.alias("l").join(F.broadcast(part(*b)).alias("r"), same(by), "left_semi")
+    more = lambda b: part(b).withColumn("quota", F.col("quota") - F.col("n"))
+    here = {r["branch"] for r in bounded_rows(q.select("branch").distinct())}
+    out = as_original(rows("keep", "copy", "grow"))
+    if "shrink" in here:
+        out = out.unionByName(centroid_undersample(rows("shrink"), by, part("shrink"), seed, id_col))
+    if "copy" in here:
+        out = out.unionByName(duplicate(rows("copy"), by, more("copy"), seed, id_col))
+    if "grow" in here:
+        out = out.unionByName(smote(rows("grow"), by, more("grow"), k, mode, seed, id_col))
+    return out
+
+
 METHODS = {"unbalanced": balance_unbalanced, "csbboost": balance_csbboost,
            "hcbou": balance_hcbou, "smote": balance_smote}
 

@@ -21,6 +21,8 @@ DIGITS = 3
 RANK_DIGITS = 4
 #: Most rows one task ranks directly.
 TASK_ROWS = 500_000
+#: Copies of one row that a task numbers.
+COPY_RUN = 100_000
 #: Sorts after every hex digest.
 _ABOVE_ALL = "~"
 
@@ -159,6 +161,34 @@ def hash_rank(
         *df.columns, (F.col("_rn") - 1 + F.col("_below")).cast("long").alias(name))
 
 
+def row_ids(df: DataFrame, name: str = "row_id", copy_run: int = COPY_RUN) -> DataFrame:
+    """Rows with ids 0 to N - 1 in order of the md5 of their content (as JSON); a column of that name is replaced.
+
+    The ids of a content are a range, and equal rows are interchangeable, so ids do not depend on files, splits or
+    partitions. Only contents are ranked, never rows: copies are counted before the shuffle, ranges are placed by window
+    partitions of hash prefixes, and rows are made again from the counts, ``copy_run`` copies at a time in any task.
+    NULL, empty text and NaN are contents of their own. Columns may have any names, and any types but maps.
+    """
+    df = df.drop(name)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    content = df.select(
+        F.struct(F.md5(F.to_json(row, {"ignoreNullFields": "false"})).alias("h"),
+                 F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("x")).alias("key"), row.alias("row"))
+    counts = content.groupBy("key").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("n")).withColumn(
+        "bucket", F.substring("key.h", 1, RANK_DIGITS))
+    sums = counts.groupBy("bucket").agg(F.sum("n").alias("all"))
+    below = sums.select("bucket", (F.sum("all").over(Window.orderBy("bucket")) - F.col("all")).alias("below"))
+    w = Window.partitionBy("bucket").orderBy("key")
+    placed = counts.withColumn("at", F.sum("n").over(w) - F.col("n")).join(below, "bucket").select(
+        "row", "n", (F.col("at") + F.col("below")).alias("start"))
+    runs = placed.select("row", "n", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(copy_run).cast("long"))).alias("first"))
+    often = runs.where(F.col("n") > copy_run).repartition("start", "first")
+    spread = runs.where(F.col("n") <= copy_run).unionByName(often)
+    last = F.least(F.col("first") + copy_run, F.col("n")) - 1
+    rows = spread.select("row", F.explode(F.sequence(F.col("start") + F.col("first"), F.col("start") + last)).alias("id"))
+    return rows.select("row.*", F.col("id").alias(name))
+
+
 def sample_exact(
     df: DataFrame,
     by: list[str],

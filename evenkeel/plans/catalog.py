@@ -257,6 +257,13 @@ def hash_rank(spark, d):
     return rank.hash_rank(ev, ["event_type"], "event_id", rank.row_key("event_id", 42, "rank"))
 
 
+@query("""WITH r AS (SELECT l_returnflag, l_linestatus, l_linenumber, md5('{"l_returnflag":"' || l_returnflag || '","l_linestatus":"' || l_linestatus ||
+ '","l_linenumber":' || l_linenumber || '}') AS h FROM lineitem)
+ SELECT l_returnflag, l_linestatus, l_linenumber, row_number() OVER (ORDER BY h) - 1 AS row_id FROM r""")
+def content_row_ids(spark, d):
+    return rank.row_ids(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"))
+
+
 @query(f"""WITH {_TOXIC}, c AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS r, sum(count(*)) OVER () AS nn FROM toxic GROUP BY label),
  k AS (SELECT t.*, row_number() OVER (PARTITION BY t.label ORDER BY md5('42|under|' || row_id), row_id) AS rn,
   CASE WHEN r = 1 THEN least(nn // 2, n) ELSE n END AS quota FROM toxic t JOIN c USING (label))
@@ -496,6 +503,44 @@ def centroid_undersample(spark, d):
     return dims(B.centroid_undersample(v, ["cluster"], quotas).select("cluster", "parent_id", "features"))
 
 
+def _three_classes(spark, d):
+    """Three classes of about 60, 30 and 10 percent, and clusters inside them."""
+    v = vectors(spark, d)
+    return v.withColumn("label", F.when(F.col("cluster") < 6, 0).when(F.col("cluster") < 9, 1).otherwise(2))
+
+
+@query(f"""WITH {_EMB}, v AS (SELECT *, CASE WHEN cluster < 6 THEN 0 WHEN cluster < 9 THEN 1 ELSE 2 END AS class FROM emb),
+ c AS (SELECT class, count(*) AS size, count(*) OVER () AS classes, sum(count(*)) OVER ()::BIGINT AS total, row_number() OVER (ORDER BY count(*) DESC, class) AS place FROM v GROUP BY class),
+ t AS (SELECT class, size, total // classes + (place <= total % classes)::INT AS target FROM c),
+ s AS (SELECT v.class, cluster, count(*) AS n, target, (target * count(*))::DOUBLE / size AS exact FROM v JOIN t ON v.class = t.class GROUP BY v.class, cluster, target, size),
+ f AS (SELECT *, floor(exact)::BIGINT AS base FROM s),
+ q AS (SELECT *, base + (row_number() OVER (PARTITION BY class ORDER BY exact - base DESC, cluster) <= target - sum(base) OVER (PARTITION BY class))::INT AS quota FROM f),
+ b AS (SELECT *, CASE WHEN quota < n THEN 'shrink' WHEN quota = n THEN 'keep' WHEN n < 4 THEN 'copy' ELSE 'grow' END AS branch FROM q)
+ SELECT class AS label, cluster, n, quota::BIGINT AS quota, branch FROM b""")
+def class_cluster_quotas(spark, d):
+    return B.class_cluster_quotas(_three_classes(spark, d))
+
+
+@query(f"""WITH {_EMB}, v AS (SELECT *, CASE WHEN cluster < 6 THEN 0 WHEN cluster < 9 THEN 1 ELSE 2 END AS class FROM emb),
+ c AS (SELECT class, count(*) AS size, count(*) OVER () AS classes, sum(count(*)) OVER ()::BIGINT AS total, row_number() OVER (ORDER BY count(*) DESC, class) AS place FROM v GROUP BY class),
+ t AS (SELECT class, size, total // classes + (place <= total % classes)::INT AS target FROM c),
+ s AS (SELECT v.class, cluster, count(*) AS n, target, (target * count(*))::DOUBLE / size AS exact FROM v JOIN t ON v.class = t.class GROUP BY v.class, cluster, target, size),
+ f AS (SELECT *, floor(exact)::BIGINT AS base FROM s),
+ q AS (SELECT *, base + (row_number() OVER (PARTITION BY class ORDER BY exact - base DESC, cluster) <= target - sum(base) OVER (PARTITION BY class))::INT AS quota FROM f),
+ p AS (SELECT v.*, q.n, q.quota, row_number() OVER (PARTITION BY v.class, v.cluster ORDER BY md5('42|pivot|' || row_id), row_id) AS rn
+  FROM v JOIN q ON v.class = q.class AND v.cluster = q.cluster),
+ o AS (SELECT class, cluster, row_id AS origin, 0 AS copy, quota < n AS made, 1 AS rows FROM p WHERE quota >= n OR rn <= quota),
+ g AS (SELECT class, cluster, sum(greatest(quota - n, 0))::BIGINT AS rows FROM q GROUP BY ALL)
+ SELECT class AS label, cluster, count(*) AS originals, sum(made::INT)::BIGINT AS centroids, sum(origin)::BIGINT AS origin_sum, any_value(g.rows) AS new_rows
+ FROM o JOIN g USING (class, cluster) GROUP BY class, cluster""")
+def balance_classes(spark, d):
+    out = B.balance_classes(_three_classes(spark, d))
+    first, centroid = F.col("copy") == 0, F.col("is_synthetic") & F.col("neighbour_id").isNull()
+    return out.groupBy("label", "cluster").agg(
+        F.count_if(first).alias("originals"), F.count_if(first & centroid).alias("centroids"),
+        F.sum(F.when(first, F.col("row_id"))).alias("origin_sum"), F.count_if(~first).alias("new_rows"))
+
+
 # ---- scaling -----------------------------------------------------------------------------------------
 
 LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.operators.rank import row_ids
+
 KEYS = ["method", "dataset", "scaler", "split"]
 
 
@@ -14,9 +16,14 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def read_dataset(spark: SparkSession, path: str, dataset: str, schema: str | None = None) -> DataFrame:
-    """One named CSV as rows of the multi-dataset table."""
-    return read_csv(spark, path, schema).withColumn("dataset", F.lit(dataset))
+def read_dataset(spark: SparkSession, path: str, dataset: str, schema: str | None = None,
+                 row_id: str | None = None) -> DataFrame:
+    """One named CSV as rows of the multi-dataset table.
+
+    ``row_id`` names a column of ids made from the rows' content: the same for any split of the file.
+    """
+    rows = read_csv(spark, path, schema)
+    return (row_ids(rows, row_id) if row_id else rows).withColumn("dataset", F.lit(dataset))
 
 
 def write_csv(df: DataFrame, path: str, by: list[str] | None = None) -> None:

@@ -109,6 +109,45 @@ def test_ovr_auc_map(spark):
     assert m[0] == 1.0 and m[2] == 0.75 and m[1] == pytest.approx((1 + 2 / 3) / 2)
 
 
+def clustered(spark, sizes):
+    """Rows of {(label, cluster): n}, vectors near a corner of their cluster."""
+    data, i = [], 0
+    for (label, cluster), n in sizes.items():
+        for _ in range(n):
+            data.append((i, label, cluster, [float(cluster or 0) * 10 + (i * 37 % 101) / 50, float(label or 0) + (i * 53 % 97) / 50]))
+            i += 1
+    return rows(spark, data, "row_id long, label int, cluster int, features array<double>")
+
+
+def test_classes_share_the_rows_evenly(spark):
+    sizes = {(0, 0): 50, (0, 1): 31, (1, 0): 20, (1, 5): 2, (2, 0): 9, (2, 1): 1, (None, 0): 4}
+    df = clustered(spark, sizes)
+    quotas = {(r["label"], r["cluster"]): r for r in B.class_cluster_quotas(df).collect()}
+    total = sum(sizes.values())
+    by_class = {}
+    for (label, _), r in quotas.items():
+        by_class[label] = by_class.get(label, 0) + r["quota"]
+    assert total == 117 and by_class == {0: 30, 1: 29, 2: 29, None: 29}
+    assert {r["branch"] for r in quotas.values()} == {"shrink", "copy", "grow"}
+    out = B.balance_classes(df)
+    got = {(r["label"], r["cluster"]): r["count"] for r in out.groupBy("label", "cluster").count().collect()}
+    assert got == {k: r["quota"] for k, r in quotas.items()}
+    assert out.select("row_id", "copy").distinct().count() == out.count() == total
+    kept = {r["row_id"] for r in out.where("copy = 0 and not is_synthetic").collect()}
+    assert kept == {r["row_id"] for r in df.where("label <> 0 or label is null").collect()}  # growing classes keep all rows
+    # a new row lies between two rows of its own class and cluster
+    group = {r["row_id"]: (r["label"], r["cluster"]) for r in df.collect()}
+    for r in out.where("is_synthetic and neighbour_id is not null").collect():
+        assert group[r["parent_id"]] == group[r["neighbour_id"]] == (r["label"], r["cluster"])
+
+
+def test_classes_of_even_size_and_no_rows_stay(spark):
+    df = clustered(spark, {(0, 0): 7, (1, 0): 7, (2, 3): 7})
+    out = B.balance_classes(df)
+    assert sorted(r["row_id"] for r in out.where("not is_synthetic").collect()) == list(range(21)) and out.count() == 21
+    assert B.balance_classes(df.limit(0)).collect() == []
+
+
 def test_equal_class_counts_give_two_labels(spark):
     r = B.majority_minority(rows(spark, [(1, 5), (0, 5)], "label int, n long")).first()
     assert (r["majority"], r["minority"]) == (0, 1)

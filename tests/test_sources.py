@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.operators import report
+from evenkeel.operators import rank, report
 from evenkeel.sources import results, tables
 
 
@@ -32,6 +32,36 @@ def test_csv_round_trip(spark, tmp_path):
     assert named.first()["dataset"] == "d1" and named.count() == 2
 
 
+def test_row_ids_do_not_depend_on_the_files(spark, tmp_path):
+    rows = [(f"f{i % 7}", float(i % 3) - 1, None if i % 5 == 0 else i % 2 == 0) for i in range(900)]
+    rows += [("hot, line", -0.0, True)] * 500 + [("", 0.0, None), (None, 0.0, None), ("n", float("nan"), None)]
+    schema = "`my name` string, f0 double, RealBug boolean"
+    df = spark.createDataFrame(rows, schema)
+    seen = []
+    for n in (1, 3, 40):
+        path = str(tmp_path / f"x{n}")
+        df.orderBy(F.xxhash64("f0", F.lit(n))).repartition(n).write.option("header", True).option("emptyValue", '""').csv(path)
+        got = tables.read_dataset(spark, path, "d1", schema, row_id="row_id")
+        assert got.columns == ["my name", "f0", "RealBug", "row_id", "dataset"]
+        seen.append(sorted((r["row_id"], str(r["my name"]), str(r["f0"]), r["RealBug"]) for r in got.collect()))
+        assert [r[0] for r in seen[-1]] == list(range(len(rows)))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_row_ids_of_hot_copies_and_odd_columns(spark):
+    hot = spark.range(2500).select(F.lit("a").alias("v.w"), F.lit(7).alias("row_id"))
+    df = hot.union(spark.createDataFrame([("b", 1), (None, 2), ("", 3), ("b", 4)], "`v.w` string, row_id int"))
+    got = rank.row_ids(df, copy_run=100)
+    plan = got.collect()
+    assert sorted(r.row_id for r in plan) == list(range(2504))
+    ids = {}
+    for r in plan:
+        ids.setdefault(r["v.w"], []).append(r.row_id)
+    assert {k: len(v) for k, v in ids.items()} == {"a": 2500, "b": 2, None: 1, "": 1}
+    assert all(max(v) - min(v) == len(v) - 1 for v in ids.values())
+    assert got.rdd.getNumPartitions() > 1 and rank.row_ids(df.limit(0)).collect() == []
+
+
 def test_phase_layout_prunes_and_overwrites_one_key(spark, tmp_path):
     path = str(tmp_path / "phase")
     df = spark.createDataFrame([("smote", "d", "standard", s, i) for i, s in enumerate(["train", "test"])]
