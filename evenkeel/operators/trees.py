@@ -7,8 +7,10 @@ levels of the unlimited one, so a depth grid costs a single tree. At most NODE_B
 are open per pass, which bounds what tasks hold.
 
 Histograms are summed in a shuffle and split choices made where they lie: a task has one
-(node, feature), sums compare the features, and one split per node and rule reaches the driver.
-Only passes whose partial counts are few altogether skip the shuffle.
+node, and one split per node and rule reaches the driver. Only passes whose partial counts are
+few altogether skip the shuffle. A node of at most ``LOCAL_ROWS`` rows is not opened in passes:
+one shuffle brings its rows together and a task grows all that lies below it, so passes
+do not multiply with the rows. A grid is scored there as well, and its lower nodes never leave the tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evenkeel.functions.kernels import list_column, matrix
 from evenkeel.functions.numeric import safe_divide
@@ -30,7 +34,9 @@ from evenkeel.operators.small import bounded_rows, local_frame
 NODE_BATCH = 512
 #: Histogram cells (partitions x nodes x cells) up to which the driver adds partial counts and chooses;
 #: beyond, executors do both. The splits are the same.
-DRIVER_CELLS = 16_000_000
+DRIVER_CELLS = 400_000
+#: Rows up to which one task grows the rest of a node's trees.
+LOCAL_ROWS = 8192
 
 
 def impurity(pos: Column, n: Column, criterion: str = "gini") -> Column:
@@ -131,6 +137,7 @@ class _Growth:
         self.roots = [self.child(s.fold, None, 0, 0, True) for s in specs]
         self.splits: list[dict[int, tuple]] = [{} for _ in specs]  # per tree: node -> (feature, cut, left, right)
         self.open: list[set[int]] = [{r} for r in self.roots]
+        self.local: dict[int, tuple[int, list[int]]] = {}  # node that a task grows on -> (depth, trees)
 
     def child(self, fold, parent, feature, cut, left) -> int:
         key = (fold, parent, feature, cut, left)
@@ -150,11 +157,12 @@ class _Growth:
         return [(i, n.fold, n.parent, n.feature, n.cut, n.left) for i in sorted(need) for n in (self.nodes[i],)]
 
 
-def _rows_of(lineage: list[tuple], bins: np.ndarray, fold: np.ndarray) -> dict[int, np.ndarray]:
+def _rows_of(lineage: list[tuple], bins: np.ndarray, fold: np.ndarray, held: bool = False) -> dict[int, np.ndarray]:
+    """Training rows of each node; ``held``: rows of the left-out fold that come to it."""
     rows: dict[int, np.ndarray] = {}
     for i, f, parent, feature, cut, left in lineage:
         if parent is None:
-            rows[i] = np.arange(len(fold)) if f is None else np.nonzero(fold != f)[0]
+            rows[i] = np.arange(len(fold)) if f is None else np.nonzero((fold == f) == held)[0]
         else:
             up = rows[parent]
             rows[i] = up[(bins[up, feature] <= cut) == left]
@@ -227,30 +235,26 @@ def _splits(parts: DataFrame, count: int, width: int, bins: int, partitions: int
 
     def chosen(part: pa.Table) -> pa.Table:
         cell, n = part.column("cell").to_numpy(), part.column("n").to_numpy()
-        node, feature = int(cell[0] // size), int(cell[0] % size // (bins * 2))
-        hist = np.zeros(bins * 2)
-        hist[cell % (bins * 2)] = n
-        hist = hist.reshape(1, bins, 2)
+        node = int(cell[0] // size)
+        hist = np.zeros(size)
+        hist[cell % size] = n
+        hist = hist.reshape(width, bins, 2)
         counts = tuple(map(float, hist[0].sum(0)))
-        found = [(node, feature, *counts, None, None, None, None)]
-        for (kind, leaf), (score, cut) in _scores(hist, rules_of(node, counts)).items():
-            found.append((node, feature, *counts, kind, leaf, score, cut))
-        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.float64(), pa.int32()]
-        names = ["node", "feature", "n0", "n1", "kind", "leaf", "score", "cut"]
+        rules = rules_of(node, counts)
+        found = [(node, *counts, None, None, None, None)]
+        found += [(node, *counts, *rule, *at) for rule, at in (_choose(hist, rules) if rules else {}).items()]
+        kinds = [pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        names = ["node", "n0", "n1", "kind", "leaf", "feature", "cut"]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=names)
 
     cells = parts.groupBy("cell").agg(F.sum("n").alias("n"))
-    by_feature = cells.groupBy(F.floor(F.col("cell") / (bins * 2)).alias("_f")).applyInArrow(
-        chosen, "node int, feature int, n0 double, n1 double, kind string, leaf int, score double, cut int")
-    # equal scores go to the lowest feature, then the lowest cut
-    best = by_feature.groupBy("node", "kind", "leaf").agg(
-        F.min("n0").alias("n0"), F.min("n1").alias("n1"), F.min(F.struct("score", "feature", "cut")).alias("at"))
+    best = cells.groupBy(F.floor(F.col("cell") / size).alias("_n")).applyInArrow(
+        chosen, "node int, n0 double, n1 double, kind string, leaf int, feature int, cut int")
     out: list[tuple] = [((0.0, 0.0), {}) for _ in range(count)]
     for r in best.toArrow().to_pylist():
-        if r["kind"] is None:
-            out[r["node"]] = (r["n0"], r["n1"]), out[r["node"]][1]
-        else:
-            out[r["node"]][1][r["kind"], r["leaf"]] = (r["at"]["feature"], r["at"]["cut"])
+        out[r["node"]] = (r["n0"], r["n1"]), out[r["node"]][1]
+        if r["kind"] is not None:
+            out[r["node"]][1][r["kind"], r["leaf"]] = (r["feature"], r["cut"])
     return out
 
 
@@ -285,6 +289,119 @@ def _choose(hist: np.ndarray, rules: set[tuple[str, int]]) -> dict:
     return {rule: divmod(at, hist.shape[1] - 1) for rule, (_, at) in _scores(hist, rules).items()}
 
 
+def _grow(rows: DataFrame, specs: list[TreeSpec], partitions: int, width: int, bins: int) -> _Growth:
+    """The nodes above those that a task can grow on (``local``)."""
+    growth = _Growth(specs)
+    depth = 0
+    while any(growth.open):
+        users: dict[int, list[int]] = {}
+        for t, nodes in enumerate(growth.open):
+            for i in nodes:
+                users.setdefault(i, []).append(t)
+        level = sorted(users)
+        for s in range(0, len(level), NODE_BATCH):
+            batch = level[s:s + NODE_BATCH]
+            wants = [{(specs[t].criterion, specs[t].min_leaf, specs[t].min_split) for t in users[node]
+                      if specs[t].max_depth is None or depth < specs[t].max_depth} for node in batch]
+
+            def rules_of(k, counts, wants=wants):
+                return {(c, leaf) for c, leaf, split in wants[k] if min(counts) > 0 and sum(counts) >= split}
+
+            parts = _histograms(rows, growth, batch, width, bins)
+            for node, (counts, best) in zip(batch, _splits(parts, len(batch), width, bins, partitions, rules_of)):
+                growth.nodes[node].counts, growth.nodes[node].best = counts, best
+        for t, nodes in enumerate(growth.open):
+            nxt, spec = set(), specs[t]
+            for i in nodes:
+                node = growth.nodes[i]
+                best = node.best.get((spec.criterion, spec.min_leaf))
+                grows = (best is not None and min(node.counts) > 0 and sum(node.counts) >= spec.min_split
+                         and (spec.max_depth is None or depth < spec.max_depth))
+                if grows and sum(node.counts) <= LOCAL_ROWS:
+                    growth.local.setdefault(i, (depth, []))[1].append(t)
+                elif grows:
+                    pair = [growth.child(spec.fold, i, *best, side) for side in (True, False)]
+                    growth.splits[t][i] = (*best, *pair)
+                    nxt.update(pair)
+            growth.open[t] = nxt
+        depth += 1
+    return growth
+
+
+def _below(x: np.ndarray, y: np.ndarray, bins: int, specs: dict[int, TreeSpec], depth: int, held: np.ndarray):
+    """Grows trees on the rows ``x``, ``y`` of a node. Yields per tree and node: tree, place, depth, counts, the split
+    (feature, cut, left, right) or None, and how many rows of ``held`` come there. A place is a node's number in its tree."""
+    width = x.shape[1]
+    size = width * bins * 2
+    cell = np.arange(width, dtype=np.int64) * bins * 2 + x.astype(np.int64) * 2 + y[:, None]
+    next_place = dict.fromkeys(specs, 1)
+    todo = [(np.arange(len(y)), np.arange(len(held)), depth, dict.fromkeys(specs, 0))]
+    while todo:
+        rows, out, depth, places = todo.pop()
+        n1 = int(y[rows].sum())
+        counts = float(len(rows) - n1), float(n1)
+        wants = [t for t in places if min(counts) > 0 and len(rows) >= specs[t].min_split
+                 and (specs[t].max_depth is None or depth < specs[t].max_depth)]
+        best = {}
+        if wants:
+            hist = np.bincount(cell[rows].ravel(), minlength=size).astype(np.float64).reshape(width, bins, 2)
+            best = _choose(hist, {(specs[t].criterion, specs[t].min_leaf) for t in wants})
+        sides: dict[tuple[int, int], tuple[dict, dict]] = {}
+        for t, place in places.items():
+            at = best.get((specs[t].criterion, specs[t].min_leaf)) if t in wants else None
+            if at is None:
+                yield t, place, depth, counts, None, len(out)
+                continue
+            low = next_place[t]
+            next_place[t] += 2
+            yield t, place, depth, counts, (*at, low, low + 1), len(out)
+            lows, highs = sides.setdefault(at, ({}, {}))
+            lows[t], highs[t] = low, low + 1
+        for (feature, cut), pair in sides.items():
+            goes, comes = x[rows, feature] <= cut, held[out, feature] <= cut
+            todo += [(rows[goes], out[comes], depth + 1, pair[0]), (rows[~goes], out[~comes], depth + 1, pair[1])]
+
+
+def _in_tasks(growth: _Growth, specs: list[TreeSpec], rows: DataFrame, held: DataFrame | None, width: int, bins: int,
+              use, schema: str) -> DataFrame:
+    """Rows of ``use(node, grown)`` for each node of ``growth.local``; ``grown`` is what ``_below`` yields."""
+    local = {i: (depth, {t: specs[t] for t in trees}) for i, (depth, trees) in growth.local.items()}
+    lineage = growth.lineage(sorted(local))
+    wanted = sorted(local)
+
+    def route(is_held: bool):
+        def run(batches):
+            for b in batches:
+                if b.num_rows == 0:
+                    continue
+                at = _rows_of(lineage, _bytes(b.column("bins"), width), b.column("fold").to_numpy(zero_copy_only=False), is_held)
+                for i in wanted:
+                    if len(at[i]):
+                        some = b.select(["y", "bins"]).take(pa.array(at[i]))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(at[i]), i, np.int64)), pa.array(np.full(len(at[i]), is_held)), *some.columns],
+                            names=["node", "held", "y", "bins"])
+        return run
+
+    def grow(part: pa.Table) -> pa.Table:
+        node = part.column("node")[0].as_py()
+        is_held = part.column("held").to_numpy()
+        x, y = _bytes(part.column("bins"), width), part.column("y").to_numpy()
+        depth, trees = local[node]
+        found = use(depth, _below(x[~is_held], y[~is_held], bins, trees, depth, x[is_held]))
+        return pa.Table.from_pylist([{"node": node, **f} for f in found], schema=names)
+
+    kinds = "node long, held boolean, y int, bins binary"
+    routed = rows.mapInArrow(route(False), kinds)
+    if held is not None:
+        routed = routed.union(held.mapInArrow(route(True), kinds))
+    schema = "node long, " + schema
+    names = to_arrow_schema(T._parse_datatype_string(schema))
+    # few bytes may be much work: the number of tasks follows the nodes
+    tasks = min(len(local), 8 * rows.sparkSession.sparkContext.defaultParallelism)
+    return routed.repartition(tasks, "node").groupBy("node").applyInArrow(grow, schema)
+
+
 def fit_trees(df: DataFrame, specs: list[TreeSpec], label: str = "label", features: str = "features",
               fold: str | None = None, max_bins: int = 64) -> list[Tree]:
     """All trees together. ``min_split``, ``min_leaf`` and unlimited depth hold exactly."""
@@ -293,60 +410,90 @@ def fit_trees(df: DataFrame, specs: list[TreeSpec], label: str = "label", featur
     cuts = bin_cuts(df, features, max_bins)
     width, bins = len(cuts), max(len(c) for c in cuts) + 1
     rows, _, partitions = hold(_binned(df, cuts, label, features, fold), rows_per_core=10_000)
+
+    def use(depth, grown):
+        nodes: dict[int, list[tuple]] = {}
+        for t, place, _, counts, split, _ in grown:
+            nodes.setdefault(t, []).append((place, *counts, *(split or (0, 0, place, place))))
+        for t, found in nodes.items():
+            yield {"tree": t, **{c: list(v) for c, v in zip(("n0", "n1", "feature", "cut", "left", "right"), list(zip(*sorted(found)))[1:])}}
+
+    try:
+        growth = _grow(rows, specs, partitions, width, bins)
+        lower: dict[tuple[int, int], dict] = {}
+        if growth.local:
+            found = _in_tasks(growth, specs, rows, None, width, bins, use,
+                              "tree int, n0 array<double>, n1 array<double>, feature array<int>, cut array<int>, "
+                              "left array<int>, right array<int>")
+            for batch in found.toArrow().to_batches():
+                for r in batch.to_pylist():
+                    lower[r["tree"], r["node"]] = r
+        return [_compact(growth, t, s, cuts, lower)[0] for t, s in enumerate(specs)]
+    finally:
+        rows.unpersist()
+
+
+def grid_recalls(train: DataFrame, valid: DataFrame, specs: list[TreeSpec], depths: list[int | None], label: str = "label",
+                 features: str = "features", fold: str | None = None, max_bins: int = 64) -> list[dict[int | None, float]]:
+    """``recalls`` on ``valid`` of the trees of ``train``, scored where their nodes are grown."""
+    cuts = bin_cuts(train, features, max_bins)
+    width, bins = len(cuts), max(len(c) for c in cuts) + 1
+    rows, _, partitions = hold(_binned(train, cuts, label, features, fold), rows_per_core=10_000)
+    places = range(len(depths))
+
+    def use(base, grown):
+        hits: dict[int, list[float]] = {}
+        for t, _, depth, (n0, n1), split, held in grown:
+            mine = hits.setdefault(t, [0.0] * (len(depths) + 1))
+            if n1 > n0 and held:
+                for k in places:
+                    d = depths[k]
+                    if (d is None and split is None) or (d is not None and d > base and (d == depth or split is None and d > depth)):
+                        mine[k] += held
+        return ({"at": t, "values": v} for t, v in hits.items())
+
     try:
-        growth = _Growth(specs)
-        depth = 0
-        while any(growth.open):
-            users: dict[int, list[int]] = {}
-            for t, nodes in enumerate(growth.open):
-                for i in nodes:
-                    users.setdefault(i, []).append(t)
-            level = sorted(users)
-            for s in range(0, len(level), NODE_BATCH):
-                batch = level[s:s + NODE_BATCH]
-                wants = [{(specs[t].criterion, specs[t].min_leaf, specs[t].min_split) for t in users[node]
-                          if specs[t].max_depth is None or depth < specs[t].max_depth} for node in batch]
-
-                def rules_of(k, counts, wants=wants):
-                    return {(c, leaf) for c, leaf, split in wants[k] if min(counts) > 0 and sum(counts) >= split}
-
-                parts = _histograms(rows, growth, batch, width, bins)
-                for node, (counts, best) in zip(batch, _splits(parts, len(batch), width, bins, partitions, rules_of)):
-                    growth.nodes[node].counts, growth.nodes[node].best = counts, best
-            for t, nodes in enumerate(growth.open):
-                nxt, spec = set(), specs[t]
-                for i in nodes:
-                    node = growth.nodes[i]
-                    best = node.best.get((spec.criterion, spec.min_leaf))
-                    grows = (best is not None and min(node.counts) > 0 and sum(node.counts) >= spec.min_split
-                             and (spec.max_depth is None or depth < spec.max_depth))
-                    if grows:
-                        pair = [growth.child(spec.fold, i, *best, side) for side in (True, False)]
-                        growth.splits[t][i] = (*best, *pair)
-                        nxt.update(pair)
-                growth.open[t] = nxt
-            depth += 1
-        return [_compact(growth, t, s, cuts) for t, s in enumerate(specs)]
+        growth = _grow(rows, specs, partitions, width, bins)
+        top = [_compact(growth, t, s, cuts, None) for t, s in enumerate(specs)]
+        sums = _hits(valid, [t for t, _ in top], depths, label, features, fold, [p for _, p in top])
+        if growth.local:
+            held = _binned(valid.where(F.col(label) == 1), cuts, label, features, fold)
+            found = _in_tasks(growth, specs, rows, held, width, bins, use, "at int, values array<double>").drop("node")
+            sums = sums + sum_rows(found, len(growth.local), len(specs), len(depths) + 1)
+        return _shares(sums, depths)
     finally:
         rows.unpersist()
 
 
-def _compact(growth: _Growth, t: int, spec: TreeSpec, cuts: list[list[float]]) -> Tree:
+def _compact(growth: _Growth, t: int, spec: TreeSpec, cuts: list[list[float]], lower: dict | None) -> tuple[Tree, dict[int, int]]:
+    """The tree, and the depth of those of its nodes that go on in a task if ``lower`` has none of it."""
     order, place = [growth.roots[t]], {growth.roots[t]: 0}
     for i in order:
         for c in growth.splits[t].get(i, ())[2:]:
             place[c] = len(order)
             order.append(c)
-    feature, threshold = np.zeros(len(order), np.int64), np.zeros(len(order))
-    left = right = np.arange(len(order))
-    left, right = left.copy(), right.copy()
+    mine = [i for i in order if i in growth.local and t in growth.local[i][1]]
+    ends = {place[i]: growth.local[i][0] for i in mine}
+    size = len(order) + sum(len(lower[t, i]["left"]) - 1 for i in mine) if lower is not None else len(order)
+    feature, threshold, counts = np.zeros(size, np.int64), np.zeros(size), np.zeros((size, 2))
+    left, right = np.arange(size), np.arange(size)
     for i in order:
+        counts[place[i]] = growth.nodes[i].counts
         if i in growth.splits[t]:
             f, cut, lo, hi = growth.splits[t][i]
             at = place[i]
             feature[at], threshold[at] = f, cuts[f][cut]
             left[at], right[at] = place[lo], place[hi]
-    return Tree(spec, feature, threshold, left, right, np.array([growth.nodes[i].counts for i in order]))
+    start = len(order)
+    for i in mine if lower is not None else ():
+        part = lower[t, i]
+        # place 0 is the node itself, the others follow each other
+        to = np.concatenate(([place[i]], np.arange(start, start + len(part["left"]) - 1)))
+        start += len(to) - 1
+        feature[to], left[to], right[to] = part["feature"], to[part["left"]], to[part["right"]]
+        threshold[to] = [cuts[f][c] if l != k else 0.0 for k, (f, c, l) in enumerate(zip(part["feature"], part["cut"], part["left"]))]
+        counts[to] = np.column_stack([part["n0"], part["n1"]])
+    return Tree(spec, feature, threshold, left, right, counts), ends
 
 
 def predict(df: DataFrame, tree: Tree, features: str = "features") -> DataFrame:
@@ -362,6 +509,16 @@ def predict(df: DataFrame, tree: Tree, features: str = "features") -> DataFrame:
 def recalls(df: DataFrame, trees: list[Tree], depths: list[int | None], label: str = "label",
             features: str = "features", fold: str | None = None) -> list[dict[int | None, float]]:
     """Per tree: recall on its left-out fold when cut at each depth; one pass for all of them."""
+    return _shares(_hits(df, trees, depths, label, features, fold, [{}] * len(trees)), depths)
+
+
+def _shares(sums: np.ndarray, depths: list[int | None]) -> list[dict[int | None, float]]:
+    return [{d: float(row[j] / row[-1]) if row[-1] else 0.0 for j, d in enumerate(depths)} for row in sums]
+
+
+def _hits(df: DataFrame, trees: list[Tree], depths: list[int | None], label: str, features: str, fold: str | None,
+          ends: list[dict[int, int]]) -> np.ndarray:
+    """Per tree: positives found at each depth, then all. Below the nodes of ``ends`` (place -> depth) nothing counts."""
     rows = df.where(F.col(label) == 1).select(
         (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"),
         F.col(features).cast("array<double>").alias("x"))
@@ -377,15 +534,16 @@ def recalls(df: DataFrame, trees: list[Tree], depths: list[int | None], label: s
                 if not len(part):
                     continue
                 positive = tree.counts[:, 1] > tree.counts[:, 0]
-                steps = [int(positive[at].sum()) for at in tree.levels(part)]
-                acc[i, :-1] += [steps[-1 if d is None else min(d, len(steps) - 1)] for d in depths]
+                steps = list(tree.levels(part))
+                for j, d in enumerate(depths):
+                    counted = positive.copy()
+                    counted[[k for k, at in ends[i].items() if d is None or d > at]] = False
+                    acc[i, j] += int(counted[steps[-1 if d is None else min(d, len(steps) - 1)]].sum())
                 acc[i, -1] += len(part)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(trees), dtype=np.int32)), list_column(acc)], names=["at", "values"])
 
-    sums = sum_rows(rows.mapInArrow(hits, "at int, values array<double>"), rows.rdd.getNumPartitions(),
-                    len(trees), len(depths) + 1)
-    return [{d: float(row[j] / row[-1]) if row[-1] else 0.0 for j, d in enumerate(depths)} for row in sums]
+    return sum_rows(rows.mapInArrow(hits, "at int, values array<double>"), rows.rdd.getNumPartitions(), len(trees), len(depths) + 1)
 
 
 def paths(spark, tree: Tree) -> DataFrame:

@@ -92,7 +92,7 @@ def _tree_scores(train: DataFrame, valid: DataFrame, keys: list[tuple], folds: l
     depths = list(dict.fromkeys(k[3] for k in keys))
     deepest = None if None in depths else max(depths)
     specs = [trees.TreeSpec(*r, f, deepest) for f in folds for r in rules]
-    scores = trees.recalls(valid, trees.fit_trees(train, specs, fold=fold), depths, fold=fold)
+    scores = trees.grid_recalls(train, valid, specs, depths, fold=fold)
     return {((*r, d), f): by[d] for (f, r), by in zip(product(folds, rules), scores) for d in depths}
 
 

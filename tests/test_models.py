@@ -159,6 +159,31 @@ def test_executors_choose_the_same_splits(spark, monkeypatch):
                 assert np.array_equal(getattr(a, name), getattr(b, name))
 
 
+def test_tasks_grow_the_same_trees_and_scores(spark, monkeypatch):
+    """Trees grown below small nodes in tasks equal those of shared passes, and so do the scores of a grid; passes do not follow the nodes."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 9, (160, 3)).astype(float)
+    y = ((x[:, 0] + x[:, 1] > 8) ^ (rng.random(160) < 0.3)).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist(), i % 2) for i in range(160)],
+                               "row_id long, label int, features array<double>, fold int").repartition(3)
+    depths = [0, 2, 4, None]
+    specs = [trees.TreeSpec(c, s, m, f) for c in ("gini", "entropy") for s, m, f in ((2, 1, 0), (12, 1, 1), (2, 6, 0), (2, 1, None))]
+    specs.append(trees.TreeSpec("gini", 2, 1, 1, 4))
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 0)
+    want = trees.fit_trees(df, specs, fold="fold")
+    scores = trees.recalls(df, want, depths, fold="fold")
+    shape = lambda t, at=0: (t.counts[at].tolist(), None if t.left[at] == at else (
+        t.feature[at], t.threshold[at], shape(t, t.left[at]), shape(t, t.right[at])))
+    passes, histograms = [], trees._histograms
+    monkeypatch.setattr(trees, "_histograms", lambda *a: (passes.append(1), histograms(*a))[1])
+    for limit, most in ((8192, 1), (40, 8)):
+        monkeypatch.setattr(trees, "LOCAL_ROWS", limit)
+        passes.clear()
+        assert [shape(t) for t in trees.fit_trees(df, specs, fold="fold")] == [shape(t) for t in want]
+        assert len(passes) <= most
+        assert trees.grid_recalls(df, df, specs, depths, fold="fold") == scores
+
+
 def test_depth_grid_comes_from_one_tree(blobs):
     df, _, _ = blobs
     full = trees.fit_trees(df, [trees.TreeSpec()])[0]
