@@ -24,6 +24,8 @@ from evenkeel.operators.small import bounded_rows, local_frame
 
 #: Width of the smoothed part of the hinge.
 SMOOTHING = 0.02
+#: Most rows whose feature maps a task holds at once.
+MAP_ROWS = 1024
 
 
 def gamma_value(spec: str | float, width: int, variance: float) -> float:
@@ -114,25 +116,32 @@ class _Pass:
         self.size, self.width = size, width
         self.g, self.b = fourier_draws(size, width, seed)
 
-    def blocks(self, x: np.ndarray, specs: list[Spec], known: dict | None = None):
-        """(positions of the models, their mapped rows) per distinct feature map."""
+    def blocks(self, x: np.ndarray, specs: list[Spec]):
+        """(positions of the models, their mapped rows) per distinct feature map; one map is held at a time."""
         by_map: dict[float | None, list[int]] = {}
         for i, s in enumerate(specs):
             by_map.setdefault(s.gamma, []).append(i)
-        known = {None: x} if known is None else known
         projected = None
         for gamma, at in by_map.items():
-            if gamma not in known:
-                projected = x @ self.g.T if projected is None else projected
-                known[gamma] = np.sqrt(2.0 / self.size) * np.cos(np.sqrt(2.0 * gamma) * projected + self.b)
-            yield at, known[gamma]
+            if gamma is None:
+                yield at, x
+                continue
+            projected = x @ self.g.T if projected is None else projected
+            yield at, np.sqrt(2.0 / self.size) * np.cos(np.sqrt(2.0 * gamma) * projected + self.b)
+
+
+def _pieces(batches):
+    """Batches of at most MAP_ROWS rows: what a task holds does not follow the size of Spark's batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, MAP_ROWS):
+            yield batch.slice(at, MAP_ROWS)
 
 
 def _losses(run: _Pass, specs: list[Spec], weights: list[np.ndarray], wide: int,
-            x: np.ndarray, y: np.ndarray, fold: np.ndarray, known: dict | None = None) -> np.ndarray:
+            x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
     """Per model: row count, loss sum, then the gradient sum (padded to one width)."""
     acc = np.zeros((len(specs), wide))
-    for at, z in run.blocks(x, specs, known):
+    for at, z in run.blocks(x, specs):
         w = np.stack([weights[i][:-1] for i in at], axis=1)
         c = np.array([weights[i][-1] for i in at])
         use = np.stack([np.ones(len(y)) if specs[i].fold is None else (fold != specs[i].fold) * 1.0
@@ -153,11 +162,10 @@ def _evaluate(rows: DataFrame, run: _Pass, specs: list[Spec], weights: list[np.n
 
     def losses(batches):
         acc = np.zeros((len(specs), wide))
-        for batch in batches:
-            if batch.num_rows:
-                acc += _losses(run, specs, weights, wide, matrix(batch.column("x")),
-                               batch.column("y").to_numpy(zero_copy_only=False),
-                               batch.column("fold").to_numpy(zero_copy_only=False))
+        for batch in _pieces(batches):
+            acc += _losses(run, specs, weights, wide, matrix(batch.column("x")),
+                           batch.column("y").to_numpy(zero_copy_only=False),
+                           batch.column("fold").to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(specs), dtype=np.int32)), list_column(acc)], names=["at", "values"])
 
@@ -272,9 +280,7 @@ def recalls(df: DataFrame, models: list[SvmModel], label: str = "label", feature
 
     def hits(batches):
         acc = np.zeros((len(models), 2))
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _pieces(batches):
             x, at_fold = matrix(batch.column("x")), batch.column("fold").to_numpy(zero_copy_only=False)
             for at, z in run.blocks(x, specs):
                 score = z @ np.stack([models[i].weights for i in at], axis=1) + [models[i].intercept for i in at]

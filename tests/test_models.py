@@ -1,10 +1,15 @@
 """Models against plain numpy, grids, leak checks and whole runs."""
 
+import gc
+import weakref
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.operators import bayes, models, rank, svm, trees, tuning
+from evenkeel.functions.kernels import list_column, matrix
+from evenkeel.operators import bayes, cluster, models, rank, svm, trees, tuning
 from evenkeel.plans import flow
 
 
@@ -252,3 +257,26 @@ def test_whole_run(spark):
     again, _, new = flow.run(rows.where("dataset = 'a'"), ["smote"], ["robust"], ["naive_bayes_gaussian"],
                              order="reference", done=tuned)
     assert new is None and again.count() == 1
+
+
+def test_feature_maps_are_made_for_few_rows_at_a_time(spark, monkeypatch):
+    """A batch of any size is mapped in pieces, one map at a time, with the same sums."""
+    rng = np.random.default_rng(3)
+    x, y, fold = rng.normal(size=(500, 4)), np.sign(rng.normal(size=500)), rng.integers(0, 2, 500).astype(np.int32)
+    specs = [svm.Spec(1.0, g, f) for g in (None, 0.1, 1.0, 3.0) for f in (0, 1)]
+    run = svm._Pass(4, 16, 42)
+    weights = [rng.normal(size=(4 if s.gamma is None else 16) + 1) for s in specs]
+    whole = svm._losses(run, specs, weights, 20, x, y, fold)
+    monkeypatch.setattr(svm, "MAP_ROWS", 64)
+    batch = pa.RecordBatch.from_arrays([list_column(x), pa.array(y), pa.array(fold)], names=["x", "y", "fold"])
+    pieces = list(svm._pieces([batch]))
+    assert max(p.num_rows for p in pieces) == 64 and sum(p.num_rows for p in pieces) == 500
+    parts = sum(svm._losses(run, specs, weights, 20, matrix(p.column("x")), p.column("y").to_numpy(), p.column("fold").to_numpy()) for p in pieces)
+    assert np.allclose(parts, whole)
+    held = []
+    for _, z in run.blocks(x, specs):
+        if z is not x:
+            gc.collect()
+            assert sum(r() is not None for r in held) == 0
+            held.append(weakref.ref(z))
+        del z
