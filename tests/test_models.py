@@ -280,3 +280,11 @@ def test_feature_maps_are_made_for_few_rows_at_a_time(spark, monkeypatch):
             assert sum(r() is not None for r in held) == 0
             held.append(weakref.ref(z))
         del z
+
+
+def test_few_cells_reach_the_driver(spark):
+    """A pass over the 32 nodes of a fifth level in 60 partitions is judged in tasks."""
+    parts = spark.createDataFrame([(0, 3.0), (1, 1.0), (2, 1.0), (3, 4.0)], "cell long, n double")
+    parts.toArrow = None  # partial counts must not be collected
+    found = trees._splits(parts, 32, 64, 64, 60, lambda k, counts: {("gini", 1)} if min(counts) > 0 else set())
+    assert found[0] == ((4.0, 5.0), {("gini", 1): (0, 0)}) and found[1] == ((0.0, 0.0), {})
