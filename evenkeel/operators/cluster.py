@@ -18,8 +18,11 @@ from evenkeel.operators.passes import hold, sum_rows
 from evenkeel.operators.scale import moments
 from evenkeel.operators.small import local, small
 
-#: Rows of one block in the exact silhouette.
+#: Most bytes of the vectors of one block in the exact silhouette; blocks of more rows than this are cut to feed all cores.
+BLOCK_BYTES = 16_000_000
 BLOCK_ROWS = 2048
+#: Share of the squared norms below which a squared distance is taken from the differences.
+_CLOSE = 1e-5
 #: Least number of candidates that a seeding pass draws, and starts of each k that are finished on all rows.
 DRAW, FINISHED = 40, 3
 
@@ -236,45 +239,76 @@ def silhouettes(df: DataFrame, models: list[Clustering], features: str = "featur
     return [float(v) / out[-1] for v in out[:-1]]
 
 
+def _one_hot(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kinds, inverse = np.unique(c, return_inverse=True)
+    hot = np.zeros((len(c), len(kinds)))
+    hot[np.arange(len(c)), inverse] = 1.0
+    return kinds, hot
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x and y by one matrix product; close pairs, where it loses digits, by their differences."""
+    fine = y[np.isfinite(y).all(1)]
+    middle = fine.mean(0) if len(fine) else 0.0
+    x, y = x - middle, y - middle
+    nx, ny = (x * x).sum(1), (y * y).sum(1)
+    d = x @ y.T
+    d *= -2.0
+    d += nx[:, None]
+    d += ny[None, :]
+    i, j = np.nonzero(~(d > _CLOSE * (nx[:, None] + ny[None, :])))
+    for at in range(0, len(i), 16_384):
+        diff = x[i[at:at + 16_384]] - y[j[at:at + 16_384]]
+        d[i[at:at + 16_384], j[at:at + 16_384]] = (diff * diff).sum(1)
+    return np.sqrt(d, out=d)
+
+
 def silhouette_exact(df: DataFrame, cluster: str = "cluster", id_col: str = "row_id",
-                     features: str = "features", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                     features: str = "features", block_rows: int | None = None) -> DataFrame:
     """Per-row Euclidean silhouette. Quadratic work by nature, so for moderate tables only.
 
-    Blocks of rows meet blocks of rows; a task returns one distance sum per (row, cluster),
-    never a pair of rows.
+    Each two blocks of rows meet once, for both sides; a task returns one distance sum per
+    (row, cluster), never a pair of rows. ``block_rows``: rows of a block; by default as many as
+    BLOCK_BYTES hold, fewer if there were fewer tasks than cores.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(cluster).cast("int").alias("c"),
                      F.col(features).cast("array<double>").alias("features"))
-    sizes = local(rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // block_rows))
+    sizes = local(rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("width")))
+    total, width = sizes.agg(F.sum("n"), F.max("width")).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if block_rows is None:
+        most = max(1, BLOCK_BYTES // (8 * max(width or 1, 1)))
+        blocks = max(-(-(total or 0) // most), min(-(-(total or 0) // BLOCK_ROWS), int((8 * cores) ** 0.5) + 1), 1)
+    else:
+        blocks = max(1, -(-(total or 0) // block_rows))
     home = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select(F.col("id").alias("id"), F.col("features").alias("x"), home.alias("a"),
-                       every.alias("b"))
-    right = rows.select(F.col("c").alias("c"), F.col("features").alias("y"), home.alias("b"),
-                        every.alias("a"))
+    sent = rows.withColumn("home", home).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
+    sent = sent.select("id", "c", "features", "home", F.least("home", "k").alias("a"), F.greatest("home", "k").alias("b"))
 
-    def sums(lt: pa.Table, rt: pa.Table) -> pa.Table:
+    def sums(part: pa.Table) -> pa.Table:
         names = ["id", "other", "total"]
-        if lt.num_rows == 0 or rt.num_rows == 0:
+        a, b = part.column("a")[0].as_py(), part.column("b")[0].as_py()
+        at = part.column("home").to_numpy()
+        sides = [part.filter(pa.array(at == h)) for h in dict.fromkeys((a, b))]
+        if any(side.num_rows == 0 for side in sides):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.float64())], names=names)
-        x, y = matrix(lt.column("x")), matrix(rt.column("y"))
-        c = rt.column("c").to_numpy()
-        kinds, inverse = np.unique(c, return_inverse=True)
-        hot = np.zeros((len(y), len(kinds)))
-        hot[np.arange(len(y)), inverse] = 1.0
-        out = []
-        step = max(1, 4_000_000 // (len(y) * x.shape[1]))
+        x, y = matrix(sides[0].column("features")), matrix(sides[-1].column("features"))
+        kinds, hot = zip(*(_one_hot(side.column("c").to_numpy()) for side in sides))
+        over = [np.zeros((len(x), len(kinds[-1])))]
+        if a != b:
+            over.append(np.zeros((len(y), len(kinds[0]))))
+        step = max(1, 4_000_000 // len(y))
         for s in range(0, len(x), step):
-            diff = x[s:s + step][:, None, :] - y[None, :, :]
-            out.append(np.sqrt((diff * diff).sum(2)) @ hot)
-        total_ = np.concatenate(out)
-        return pa.table([np.repeat(lt.column("id").to_numpy(), len(kinds)),
-                         np.tile(kinds.astype(np.int32), len(x)), total_.ravel()], names=names)
-
-    parts = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(
-        sums, "id long, other int, total double")
+            d = _distances(x[s:s + step], y)
+            over[0][s:s + step] = d @ hot[-1]
+            if a != b:
+                over[1] += d.T @ hot[0][s:s + step]
+        ids = [np.repeat(side.column("id").to_numpy(), o.shape[1]) for side, o in zip(sides, over)]
+        others = [np.tile(k.astype(np.int32), len(o)) for k, o in zip(kinds[::-1], over)]
+        return pa.table([np.concatenate(ids), np.concatenate(others), np.concatenate([o.ravel() for o in over])], names=names)
+
+    tasks = min(blocks * (blocks + 1) // 2, 16 * cores)
+    parts = sent.repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(sums, "id long, other int, total double")
     per = parts.groupBy("id", "other").agg(F.sum("total").alias("total"))
     own = rows.select("id", "c").join(small(sizes), "c").select("id", "c", F.col("n").alias("own_n"))
     joined = per.join(own, "id").join(

@@ -288,3 +288,21 @@ def test_few_cells_reach_the_driver(spark):
     parts.toArrow = None  # partial counts must not be collected
     found = trees._splits(parts, 32, 64, 64, 60, lambda k, counts: {("gini", 1)} if min(counts) > 0 else set())
     assert found[0] == ((4.0, 5.0), {("gini", 1): (0, 0)}) and found[1] == ((0.0, 0.0), {})
+
+
+@pytest.mark.parametrize("block_rows", [None, 7])
+def test_exact_silhouette_by_products(spark, block_rows):
+    """Far from the origin, with copies and near copies; each two blocks meet once, for both sides."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3)) + 1e4
+    x[1], x[2], x[3] = x[0], x[0] + 1e-7, x[0]
+    c = rng.integers(0, 3, 60)
+    c[59] = 9  # alone
+    df = spark.createDataFrame([(i, int(c[i]), x[i].tolist()) for i in range(60)], "row_id long, cluster int, features array<double>")
+    got = {r["row_id"]: r["silhouette"] for r in cluster.silhouette_exact(df, block_rows=block_rows).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(60):
+        own = (c == c[i]).sum()
+        a = d[i, c == c[i]].sum() / max(own - 1, 1)
+        b = min(d[i, c == k].mean() for k in set(c) - {c[i]})
+        assert abs(got[i] - (0.0 if own == 1 else (b - a) / max(a, b))) < 1e-9
