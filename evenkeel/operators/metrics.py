@@ -90,11 +90,19 @@ def score_counts(pred: DataFrame, keys: list[str], label="y_true", score="score"
 
 
 def _score_cuts(pred: DataFrame, keys: list[str], score: str, ranges: int | None) -> DataFrame | None:
-    """Scores that cut keys beyond RANGE_ROWS into ranges of about that size; None if no key is."""
+    """Scores that cut keys beyond RANGE_ROWS into ranges of about that size; None if no key is.
+
+    ``ranges``: every key is cut into so many at least.
+    """
     s = nan_to_null(F.col(score).cast("double"))
     rows = pred.select(_key(keys).alias("_k"), s.alias("score")).where(F.col("score").isNotNull())
+    counted = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
+    if ranges is not None and ranges > 1:
+        most, keys_ = counted.agg(F.max("n"), F.count(F.lit(1))).first()
+        by_size = min(MAX_RANGES, MAX_CUTS // max(keys_, 1), -(-(most or 0) // RANGE_ROWS))
+        ranges = max(ranges, by_size)
     if ranges is None:
-        sizes = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RANGE_ROWS)
+        sizes = counted.where(F.col("n") > RANGE_ROWS)
         large = bounded_rows(sizes, MAX_CUTS)
         if not large:
             return None

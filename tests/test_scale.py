@@ -216,3 +216,16 @@ def test_thin_roc_curve(spark, ranges):
     area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(line, line[1:]))
     full = metrics.area_under_curves(df.where("g = 'a'"), ["g"]).first()["roc_auc"]
     assert area == pytest.approx(full) and len(got["b"]) == 3
+
+
+def test_given_ranges_grow_with_a_key(spark, monkeypatch):
+    """A curve with a given number of ranges is cut further where a key has more rows than a task should sort."""
+    df = spark.range(400).select((F.col("id") % 3 == 0).cast("int").alias("y_true"), ((F.col("id") * 37) % 401 / 7).alias("score"),
+                                 F.when(F.col("id") < 390, "large").otherwise("few").alias("k"))
+    curve = lambda **o: sorted(map(str, metrics.roc_curve(df, ["k"], **o).collect()))
+    want = [curve(ranges=1), curve(ranges=1, thin=True)]
+    cuts = lambda: {r._k.k: len(r._cuts) for r in metrics._score_cuts(df, ["k"], "score", 2).collect()}
+    assert cuts() == {"large": 1, "few": 1}
+    monkeypatch.setattr(metrics, "RANGE_ROWS", 20)
+    assert cuts()["large"] == 19
+    assert [curve(ranges=2), curve(ranges=2, thin=True)] == want
