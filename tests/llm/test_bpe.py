@@ -54,3 +54,14 @@ def test_query(spark, sf):
         ids = PLAIN.encode_ordinary(t or "")
         assert (got[d].n_tokens, got[d].ids_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()))
         assert got[d].decoded_sha256 == sha((t or "").encode())
+
+
+def test_words_are_merged_once():
+    """A word is remembered whether it came alone or before a sign, and takes one place in one memory; ids are those of the parts."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b" ab": 258}
+    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    merged, merge = [], encoder.merge
+    encoder.merge = lambda data: (merged.append(data), merge(data))[1]
+    text = "x abcab, abcab abcab. abcab"
+    assert encoder.encode(text) == [120] + [258, 99, 256, 44] + [258, 99, 256] + [258, 99, 256, 46] + [258, 99, 256]
+    assert merged == [b" abcab"] and " abcab" not in encoder.pieces
