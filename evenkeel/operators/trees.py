@@ -34,7 +34,7 @@ from evenkeel.operators.small import bounded_rows, local_frame
 NODE_BATCH = 512
 #: Histogram cells (partitions x nodes x cells) up to which the driver adds partial counts and chooses;
 #: beyond, executors do both. The splits are the same.
-DRIVER_CELLS = 400_000
+DRIVER_CELLS = 200_000
 #: Rows up to which one task grows the rest of a node's trees.
 LOCAL_ROWS = 8192
 
