@@ -78,6 +78,15 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """Keys in any order, byte planes apart."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(len(keys), 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted keys with their summed counts."""
     if not len(keys):
@@ -259,8 +268,9 @@ def look_up(asked: DataFrame, packed: DataFrame, segments: int, answer: Callable
     """Rows of ``answer(uids, keys, counts)`` per segment, for ``asked`` (uid long, asked array<long>); a key not in ``packed`` counts 0.
 
     ``place`` is the one that ``packed`` was counted with; ``find(keys, counts, wanted)`` gives what is answered for a
-    segment's wanted keys. Keys travel packed to their segments, as the counts do; a key asked for very often makes its
-    segment's task large, so callers answer frequent keys before.
+    segment's wanted keys. Keys travel packed to their segments, as the counts do, and uids as differences, which are
+    short where ``asked`` is in order of small uids; a key asked for very often makes its segment's task large, so callers
+    answer frequent keys before.
     """
 
     def dealt(batches):
@@ -278,8 +288,8 @@ def look_up(asked: DataFrame, packed: DataFrame, segments: int, answer: Callable
             for k in range(0, len(starts), 256):
                 a, b = starts[k : k + 256], ends[k : k + 256]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(seg[a]), pa.array([uids[x:y].tobytes() for x, y in zip(a, b)], pa.binary()),
-                    pa.array([keys[x:y].tobytes() for x, y in zip(a, b)], pa.binary())], ["seg", "uids", "asked"])
+                    pa.array(seg[a]), pa.array([pack(uids[x:y].view(np.uint64)) for x, y in zip(a, b)], pa.binary()),
+                    pa.array([planes(keys[x:y]) for x, y in zip(a, b)], pa.binary())], ["seg", "uids", "asked"])
 
         for batch in batches:
             lists = batch.column("asked")
@@ -296,10 +306,11 @@ def look_up(asked: DataFrame, packed: DataFrame, segments: int, answer: Callable
             yield from rows()
 
     def looked(left: pa.Table, right: pa.Table) -> pa.Table:
-        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in parts.to_pylist()]])
-        uids, wanted = join(left["uids"], np.int64), join(left["asked"], np.uint64)
-        keys = np.concatenate([np.zeros(0, np.uint64), *[unpack(k) for k in right["keys"].to_pylist()]])
-        counts = join(right["counts"], np.int64)
+        join = lambda parts, read, kind: np.concatenate([np.zeros(0, kind), *map(read, parts.to_pylist())])
+        uids = join(left["uids"], unpack, np.uint64).view(np.int64)
+        wanted = join(left["asked"], from_planes, np.uint64)
+        keys = join(right["keys"], unpack, np.uint64)
+        counts = join(right["counts"], lambda x: np.frombuffer(x, np.int64), np.int64)
         return answer(uids, wanted, find(keys, counts, wanted))
 
     left = asked.select("uid", "asked").mapInArrow(dealt, "seg int, uids binary, asked binary")

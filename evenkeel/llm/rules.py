@@ -18,12 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.llm import ngrams
-from evenkeel.llm.common import settled, sliced, stored, texts_of
+from evenkeel.llm.common import discard, settled, sliced, stored, texts_of
 
 #: Words of the vocabulary, and pairs that a worker holds at most: 16 MB a million pairs.
 VOCABULARY = 32_768
@@ -132,6 +133,7 @@ def fit_all(docs: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -
     levels = ngrams.count_of_counts(counted)
     words, _ = ngrams.most_frequent(counted, vocabulary)
     types = sum(n for n, _ in levels.values()) - len(words)
+    discard(counted)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def double():
@@ -237,6 +239,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], counted: DataFrame | N
         model = Model(**shared.value)
         hashes = ngrams.word_hashes()
         ids = _word_ids(model.words)
+        row = (TaskContext.get().partitionId() << 40) if counted_too else 0
         for batch in sliced(batches, "text"):
             texts = texts_of(batch)
             plain = [t.split() for t in texts]
@@ -251,8 +254,10 @@ def score(docs: DataFrame, model: Model, keep: list[str], counted: DataFrame | N
             if counted_too:
                 out = missing != _HELD
                 at = np.concatenate(([0], np.cumsum(out)))[np.concatenate(([0], ends))].astype(np.int32)
-                more = [batch.column("uid"), pa.ListArray.from_arrays(pa.array(at), pa.array(missing[out].view(np.int64)))]
+                # numbers of rows, in order: their differences are short on the way to the segments
+                more = [pa.array(np.arange(row, row + len(texts))), pa.ListArray.from_arrays(pa.array(at), pa.array(missing[out].view(np.int64)))]
                 names = ["uid", "asked"]
+                row += len(texts)
             yield pa.RecordBatch.from_arrays(
                 [*more, *[batch.column(c) for c in keep], pa.array(sizes), *[pa.array(signals[:, k].copy()) for k in range(3)],
                  pa.array(_repeat_words(own, sizes)), pa.array(surprise)],
@@ -264,7 +269,6 @@ def score(docs: DataFrame, model: Model, keep: list[str], counted: DataFrame | N
     fields.append(T.StructField("surprise", T.DoubleType()))
     if not counted_too:
         return slim.mapInArrow(run, T.StructType(fields))
-    slim = slim.withColumn("uid", F.xxhash64("text"))
     asked = [T.StructField("uid", T.LongType()), T.StructField("asked", T.ArrayType(T.LongType()))]
     part = stored(slim.mapInArrow(run, T.StructType([*asked, *fields])))
     more = _more(part, model, counted, segments)
@@ -274,7 +278,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], counted: DataFrame | N
 
 
 def _more(part: DataFrame, model: Model, counted: DataFrame, segments: int) -> DataFrame:
-    """(uid, gain): log10 that the pairs outside the model add per text."""
+    """(uid, gain): log10 that the pairs outside the model add per row."""
     shared = part.sparkSession.sparkContext.broadcast((model.back, model.single, model.total, model.cuts))
 
     def answer(uids, keys, counts):
@@ -285,9 +289,7 @@ def _more(part: DataFrame, model: Model, counted: DataFrame, segments: int) -> D
         ids, at = np.unique(uids, return_inverse=True)
         return pa.table({"uid": ids, "gain": np.bincount(at, gain, len(ids))})
 
-    copies = part.where(F.size("asked") > 0).groupBy("uid").agg(F.count(F.lit(1)).alias("copies"))
-    found = ngrams.look_up(part, counted, segments, answer, "uid long, gain double").groupBy("uid").agg(F.sum("gain").alias("gain"))
-    return found.join(copies, "uid").select("uid", (F.col("gain") / F.col("copies")).alias("gain"))
+    return ngrams.look_up(part, counted, segments, answer, "uid long, gain double").groupBy("uid").agg(F.sum("gain").alias("gain"))
 
 
 def bands(scored: DataFrame, reach: float) -> DataFrame:

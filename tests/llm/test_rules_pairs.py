@@ -1,8 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 import xxhash
 
-from evenkeel.llm import ngrams, rules
+from evenkeel.llm import common, ngrams, rules
 
 
 @pytest.mark.parametrize("pairs", [0, 40])
@@ -30,3 +32,17 @@ def test_vocabulary_cuts_inside_a_count(spark, monkeypatch, vocabulary):
     h = xxhash.xxh64_intdigest
     want = sorted(counts, key=lambda w: (-counts[w], h(w)))[:vocabulary]
     assert model.words.tolist() == sorted(map(h, want))
+
+
+def test_counts_of_words_are_deleted_once_read(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(f"w{i} w{i % 7} w{i % 3} w{i}",) for i in range(40)], "text string")
+    assert rules.fit_all(docs, vocabulary=5, pairs=0)[1] is not None
+    assert len(os.listdir(tmp_path)) == 1
+
+
+def test_asked_keys_travel_whole():
+    rng = np.random.default_rng(3)
+    for keys in (rng.integers(0, 2**64, 100, np.uint64), np.zeros(0, np.uint64)):
+        assert (ngrams.from_planes(ngrams.planes(keys)) == keys).all()
+        assert (ngrams.unpack(ngrams.pack(keys)) == keys).all()
