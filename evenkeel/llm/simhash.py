@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import components, sliced, stored, texts_of
+from evenkeel.llm.common import components, in_small_batches, sliced, stored, texts_of
 
 BITS = 3
 #: Two-bit segments of each block of axes.
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
             fps = _fingerprints([t.lower().split() for t in texts_of(batch)], n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    slim = docs.select("doc_id", "text")
+    slim = in_small_batches(docs).select("doc_id", "text")
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
 
 

@@ -38,3 +38,28 @@ def test_discard(spark):
     before = tables(spark)
     common.discard(common.stored(spark.range(3)), common.stored(spark.range(0)))
     assert tables(spark) == before
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def largest(docs):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+        return docs.mapInArrow(run, "n long").agg(F.max("n")).first()[0]
+
+    rows = spark.range(0, 6000, 1, 1).select(F.col("id").alias("n"), F.repeat(F.lit("text "), 1000).alias("text"))
+    own = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "6000000")
+        assert common.in_small_batches(rows) is rows and spark.conf.get(key) == "6000000"
+        spark.conf.unset(key)
+        assert largest(rows) == 6000
+        assert 400 < largest(common.in_small_batches(rows)) < 2000
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
