@@ -63,3 +63,37 @@ def test_whole_texts_go_to_python_in_small_batches(spark):
         assert 400 < largest(common.in_small_batches(rows)) < 2000
     finally:
         spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+
+
+def rooted(pairs):
+    """The smallest node reachable, per node that has a link to another."""
+    root = {x: x for a, b in pairs if a != b for x in (a, b)}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if a != b and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    return root
+
+
+@pytest.mark.parametrize("hub", [1, 5, 1000])
+def test_components_with_and_without_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)
+    star = [(-3, k) for k in range(100, 140)] + [(k, 500) for k in range(120, 160)]
+    chain = [(k, k + 1) for k in range(1000, 1012)]
+    pairs = star + chain + [(2000, 2001), (2001, 2000), (2000, 2001), (7, 7), (2100, 2000)]
+    got = common.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == rooted(pairs) and len(got) == len(rooted(pairs))
+    assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_star_makes_no_rows_but_its_edges(spark, monkeypatch):
+    """Nothing is spread over salts, and a hub's edges are not brought together."""
+    monkeypatch.setattr(common, "HUB", 20)
+    edges = spark.createDataFrame([(1, k) for k in range(2, 50)] + [(k, 1) for k in range(2, 50)], "a long, b long")
+    star = common._star(edges, "a", "b")
+    assert sorted(map(tuple, star.collect())) == sorted((r.a, r.b, 2 if r.a == 1 else 1) for r in edges.collect())
+    plan = star._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("strategy=broadcast") == 2
